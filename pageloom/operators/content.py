@@ -37,6 +37,7 @@ CONTENT_COLUMNS = [
     "page_id", "url", "node_id", "end_id", "parent_id", "depth", "kind", "tag", "text", "attrs",
     "ancestors", "ancestor_tags",
 ]
+NODE_PLACE = ["page_id", "node_id", "end_id", "depth", "tag"]
 NEVER = 2**31 - 1
 
 
@@ -92,14 +93,14 @@ def strip_noise(nodes: DataFrame) -> DataFrame:
 
 
 def score_nodes(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Content score of the candidate elements ``(page_id, node_id, class, id)``.
+    """Content score of the elements in ``candidates(page_id, node_id, end_id, depth, tag, class, id)``.
 
-    Gives ``(page_id, node_id, bytes, n_p, n_list, n_img, link_bytes, score)``.
-    Text lengths are UTF-8 bytes after trimming; a candidate with less than 100
-    bytes, or more than half of them in links, scores 0.
+    Adds ``bytes, n_p, n_list, n_img, link_bytes, score``.  Text lengths are
+    UTF-8 bytes after trimming; a candidate with less than 100 bytes, or more
+    than half of them in links, scores 0.
     """
     wanted = candidates.groupBy("page_id").agg(
-        F.collect_list(F.struct(F.col("node_id").alias("c"), "class", "id")).alias("_wanted")
+        F.collect_list(F.struct(*NODE_PLACE[1:], "class", "id")).alias("_wanted")
     )
     link_pieces = f"""
         CASE WHEN kind = 'text' THEN
@@ -110,24 +111,21 @@ def score_nodes(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
         nodes.join(wanted, "page_id")
         .selectExpr(
             "page_id", "node_id", "kind", "tag", "text", f"{link_pieces} AS _links",
-            "filter(_wanted, w -> w.c = node_id OR array_contains(ancestors, w.c)) AS _of",
+            "filter(_wanted, w -> w.node_id = node_id OR array_contains(ancestors, w.node_id)) AS _of",
         )
-        .selectExpr("*", "explode_outer(_of) AS _cand")
-        .where("_cand IS NOT NULL AND (_cand.c = node_id OR kind != 'comment')")
+        .selectExpr("*", "explode_outer(_of) AS cand")
+        .where("cand IS NOT NULL")
         .selectExpr(
-            "page_id", "_cand.c AS cand", "_cand.class AS class", "_cand.id AS id", "node_id", "tag",
-            "kind = 'element' AND _cand.c != node_id AS inside",
-            "if(kind = 'text', text, NULL) AS text",
-            "filter(_links, l -> l.a > _cand.c) AS links",
+            "page_id", "cand", "node_id", "tag",
+            "kind = 'element' AND cand.node_id != node_id AS inside",
+            "if(kind = 'text', struct(node_id AS n, text AS t), NULL) AS text",
+            "filter(_links, l -> l.a > cand.node_id) AS links",
         )
     )
-    link_text = "array_join(transform(array_sort(flatten(collect_list(links))), l -> l.t), '')"
-    sums = parts.groupBy("page_id", F.col("cand").alias("node_id"), "class", "id").agg(
-        F.expr(
-            "array_join(transform(array_sort(collect_list(if(text IS NULL, NULL,"
-            " struct(node_id AS n, text AS t)))), x -> x.t), '')"
-        ).alias("_text"),
-        F.expr(link_text).alias("_link_text"),
+    joined = "array_join(transform(array_sort({0}), x -> x.t), '')"
+    sums = parts.groupBy("page_id", "cand").agg(
+        F.expr(joined.format("collect_list(text)")).alias("_text"),
+        F.expr(joined.format("flatten(collect_list(links))")).alias("_link_text"),
         F.expr("count_if(inside AND tag = 'p')").alias("n_p"),
         F.expr("count_if(inside AND tag IN ('ul', 'ol'))").alias("n_list"),
         F.expr("count_if(inside AND tag = 'img')").alias("n_img"),
@@ -144,76 +142,86 @@ def score_nodes(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
              ELSE bytes + 10 * n_p + 5 * n_list + 2 * n_img
                   + 50 * {hits(GOOD_WORDS)} - 100 * {hits(BAD_WORDS)} END"""
     return sums.selectExpr(
-        "page_id", "node_id", f"octet_length({squeeze('_text')}) AS bytes", "n_p", "n_list", "n_img",
-        f"octet_length({squeeze('_link_text')}) AS link_bytes", "class", "id",
-    ).selectExpr(
-        "page_id", "node_id", "bytes", "n_p", "n_list", "n_img", "link_bytes",
-        f"cast({score} AS DOUBLE) AS score",
-    )
+        "page_id", "cand.*", f"octet_length({squeeze('_text')}) AS bytes", "n_p", "n_list", "n_img",
+        f"octet_length({squeeze('_link_text')}) AS link_bytes",
+    ).selectExpr("*", f"cast({score} AS DOUBLE) AS score")
 
 
 def best_candidates(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per page the best-scored candidate; the first wins ties and if no score is positive."""
-    best = F.max(F.struct(F.greatest("score", F.lit(0.0)).alias("s"), (-F.col("node_id")).alias("n")))
+    """Per page the best-scored of ``candidates``; the first wins ties and if none is above 0.
+
+    Gives ``(page_id, best(node_id, end_id, depth, tag), score, n_candidates)``.
+    """
+    rank = F.struct(F.greatest("score", F.lit(0.0)), -F.col("node_id"))
+    place = F.struct("node_id", "end_id", "depth", "tag")
     return (
         score_nodes(nodes, candidates)
         .groupBy("page_id")
-        .agg(best.alias("_best"), F.count("*").alias("n_candidates"))
-        .selectExpr("page_id", "-_best.n AS node_id", "_best.s AS score", "n_candidates")
+        .agg(
+            F.max_by(place, rank).alias("best"),
+            F.max(F.greatest("score", F.lit(0.0))).alias("score"),
+            F.count("*").alias("n_candidates"),
+        )
     )
 
 
-def content_roots(kept: DataFrame) -> DataFrame:
-    """``(page_id, url, root_id, root_end, root_depth, root_tag)``, one row per page.
+def with_roots(kept: DataFrame) -> DataFrame:
+    """Adds ``root`` ``(node_id, end_id, depth, tag)`` to every node of a page.
 
     First ``article``, else first ``main``, else the best container by class,
     else ``body``.  Only pages without article and main are scored.  ``kept`` is
     read more than once, so pass a stored table.
     """
+    page = Window.partitionBy("page_id")
+    place = F.struct("node_id", "end_id", "depth", "tag")
 
     def first(tag: str) -> Column:
-        place = F.struct("node_id", "end_id", "depth", "tag")
-        return F.min(F.when((F.col("kind") == "element") & (F.col("tag") == tag), place)).alias(tag)
-
-    named = kept.groupBy("page_id").agg(
-        F.max("url").alias("url"), first("article"), first("main"), first("body")
-    )
-    containers = kept.where(f"kind = 'element' AND {_has_class(CONTAINER_CLASSES)}").selectExpr(
-        "page_id", "node_id", "end_id", "depth", "tag", "attrs['class'] AS class", "attrs['id'] AS id"
-    )
-    unnamed = named.where("article IS NULL AND main IS NULL").select("page_id")
-    scored = containers.join(unnamed, "page_id", "left_semi")
-    best = (
-        best_candidates(kept, scored)
-        .select("page_id", "node_id")
-        .join(containers, ["page_id", "node_id"])
-        .select("page_id", F.struct("node_id", "end_id", "depth", "tag").alias("best"))
+        return F.min(F.when((F.col("kind") == "element") & (F.col("tag") == tag), place))
+
+    tags = ["article", "main", "body"]
+    unnamed = kept.groupBy("page_id").agg(F.coalesce(first("article"), first("main")).alias("_r"))
+    containers = (
+        kept.where(f"kind = 'element' AND {_has_class(CONTAINER_CLASSES)}")
+        .selectExpr(*NODE_PLACE, "attrs['class'] AS class", "attrs['id'] AS id")
+        .join(unnamed.where("_r IS NULL"), "page_id", "left_semi")
     )
+    best = best_candidates(kept, containers).select("page_id", F.col("best"))
     return (
-        named.join(best, "page_id", "left")
-        .withColumn("_root", F.coalesce("article", "main", "best", "body"))
-        .selectExpr(
-            "page_id", "url", "_root.node_id AS root_id", "_root.end_id AS root_end",
-            "_root.depth AS root_depth", "_root.tag AS root_tag",
-        )
+        kept.withColumns({f"_{tag}": first(tag).over(page) for tag in tags})
+        .join(best, "page_id", "left")
+        .withColumn("root", F.coalesce("_article", "_main", "best", "_body"))
+        .drop("best", *[f"_{tag}" for tag in tags])
     )
 
 
-def below_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes strictly below the page's root, with ancestors counted from the root down."""
-    inside = F.expr("node_id > root_id AND node_id <= root_end")
-    cut = "slice({0}, root_depth + 2, size({0})) AS {0}"
+def content_roots(kept: DataFrame) -> DataFrame:
+    """``(page_id, url, root_id, root_end, root_tag)``, one row per page; NULL root if all is noise."""
     return (
-        nodes.drop("url")
-        .join(roots.drop("url"), "page_id")
-        .where(inside)
+        with_roots(kept)
+        .where("node_id = 0")
         .selectExpr(
-            "page_id", "node_id", "end_id", "parent_id", "kind", "tag", "text", "attrs",
-            cut.format("ancestors"), cut.format("ancestor_tags"),
+            "page_id", "url", "root.node_id AS root_id", "root.end_id AS root_end",
+            "root.tag AS root_tag",
         )
     )
 
 
+def below_roots(rooted: DataFrame) -> DataFrame:
+    """Nodes strictly below the page's root, with ancestors counted from the root down.
+
+    Each page also keeps one row of kind ``page`` that holds its URL, so pages
+    without content stay in the result without a join.
+    """
+    cut = "if(node_id = 0, NULL, slice({0}, root.depth + 2, size({0}))) AS {0}"
+    return rooted.where(
+        "node_id = 0 OR (node_id > root.node_id AND node_id <= root.end_id)"
+    ).selectExpr(
+        "page_id", "url", "node_id", "if(node_id = 0, 0, end_id) AS end_id", "parent_id",
+        "if(node_id = 0, 'page', kind) AS kind", "tag", "text", "attrs",
+        cut.format("ancestors"), cut.format("ancestor_tags"),
+    )
+
+
 def flag_clean(content: DataFrame, *, keep_media: bool = False) -> DataFrame:
     """Adds ``dropped``: blank paragraphs and divs, then blank elements without markup inside.
 
@@ -274,26 +282,22 @@ def clean_content(content: DataFrame, *, keep_media: bool = False) -> DataFrame:
     return clean_attributes(join_texts(kept))
 
 
-def main_content(pages: DataFrame, *, keep_media: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``(roots, content)`` of captured pages; both stored, ready to be read many times."""
-    kept = cut_lineage(strip_noise(shred(pages, CONTENT_COLUMNS)))
-    roots = content_roots(kept)
-    return roots, cut_lineage(clean_content(below_roots(kept, roots), keep_media=keep_media))
+def stored_nodes(pages: DataFrame, *, noise: bool = False) -> DataFrame:
+    """Nodes of all pages, parsed once and written down, by default without noise."""
+    nodes = shred(pages, CONTENT_COLUMNS)
+    return cut_lineage(nodes if noise else strip_noise(nodes))
 
 
-def whole_body(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(roots, content)`` with everything below ``body``, nothing removed."""
-    nodes = cut_lineage(shred(pages, CONTENT_COLUMNS).repartition("page_id"))
-    place = F.min(F.when(F.expr("kind = 'element' AND tag = 'body'"), F.struct("node_id", "end_id", "depth")))
-    roots = (
-        nodes.groupBy("page_id")
-        .agg(F.max("url").alias("url"), place.alias("_r"))
-        .selectExpr(
-            "page_id", "url", "_r.node_id AS root_id", "_r.end_id AS root_end",
-            "_r.depth AS root_depth", "'body' AS root_tag",
-        )
-    )
-    return roots, cut_lineage(below_roots(nodes, roots))
+def main_content(kept: DataFrame, *, keep_media: bool = False) -> DataFrame:
+    """Cleaned content of every page, from stored nodes without noise."""
+    return clean_content(below_roots(with_roots(kept)), keep_media=keep_media)
+
+
+def whole_body(nodes: DataFrame) -> DataFrame:
+    """Everything below ``body``, nothing removed (converting HTML as it is)."""
+    place = F.struct("node_id", "end_id", "depth", "tag")
+    body = F.min(F.when(F.expr("kind = 'element' AND tag = 'body'"), place))
+    return below_roots(nodes.withColumn("root", body.over(Window.partitionBy("page_id"))))
 
 
 # How a tree is written out.
@@ -308,8 +312,8 @@ def _escaped(text: str) -> str:
     return out
 
 
-def content_html(roots: DataFrame, content: DataFrame) -> DataFrame:
-    """``(page_id, html)``: the content written out as HTML.
+def content_html(content: DataFrame) -> DataFrame:
+    """``(page_id, url, html)``: the content written out as HTML.
 
     Start tags and texts sort by their own position, end tags by the end of
     their element, inner ones first.
@@ -318,26 +322,22 @@ def content_html(roots: DataFrame, content: DataFrame) -> DataFrame:
         e -> concat(' ', e.key, '="', {_escaped('e.value')}, '"')), '')"""
     is_void = f"array_contains({_strings(_VOID)}, tag)"
     start = f"concat('<', tag, {attributes}, if({is_void}, '/>', '>'))"
+    here = "node_id AS at, 0 AS side, 0 AS inner"
     pieces = f"""
         CASE kind
-          WHEN 'text' THEN array(struct(node_id AS at, 0 AS side, 0 AS inner,
+          WHEN 'page' THEN array(struct({here}, '' AS piece))
+          WHEN 'text' THEN array(struct({here},
                if(array_contains({_strings(_RAW)}, tag), text, {_escaped('text')}) AS piece))
-          WHEN 'comment' THEN array(struct(node_id AS at, 0 AS side, 0 AS inner,
-               concat('<!--', text, '-->') AS piece))
-          ELSE filter(array(struct(node_id AS at, 0 AS side, 0 AS inner, {start} AS piece),
-               struct(end_id AS at, 1 AS side, -node_id AS inner,
-                      if({is_void}, '', concat('</', tag, '>')) AS piece)), x -> x.piece != '') END"""
-    written = (
-        content.select("page_id", F.expr(f"inline({pieces})"))
+          WHEN 'comment' THEN array(struct({here}, concat('<!--', text, '-->') AS piece))
+          ELSE array(struct({here}, {start} AS piece),
+                     struct(end_id AS at, 1 AS side, -node_id AS inner,
+                            if({is_void}, '', concat('</', tag, '>')) AS piece)) END"""
+    joined = "array_join(transform(array_sort(collect_list(struct(at, side, inner, piece))), x -> x.piece), '')"
+    return (
+        content.selectExpr("page_id", "url", f"inline({pieces})")
         .groupBy("page_id")
-        .agg(
-            F.expr(
-                "array_join(transform(array_sort(collect_list(struct(at, side, inner, piece))),"
-                " x -> x.piece), '')"
-            ).alias("html")
-        )
+        .agg(F.max("url").alias("url"), F.expr(joined).alias("html"))
     )
-    return roots.select("page_id").join(written, "page_id", "left").na.fill("", ["html"])
 
 
 def body_text(pages: DataFrame) -> DataFrame:

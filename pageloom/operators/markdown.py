@@ -22,254 +22,241 @@ from pageloom.session import cut_lineage
 # How tags are rendered.
 SWALLOWING = "h1 h2 h3 h4 h5 h6 blockquote pre code a strong b em i img hr".split()
 CONTAINERS = "p ul ol li tr table".split()
+ROOT = -1
+USUAL_DEPTH = 6
+
 _STOPS = [*SWALLOWING, "table", "p", "ul", "ol"]
 _TEXT_TAKERS = [*SWALLOWING, "td", "th"]
-ROOT = -1
-LEVELS_PER_STORE = 6
+_NO_TARGETS = "cast(NULL AS array<struct<id: int, level: int>>)"
 
 
 def _one_of(tag: str, tags: list[str]) -> str:
     return f"{tag} IN ({', '.join(literal(t) for t in tags)})"
 
 
+def _count(tags: str) -> str:
+    return f"size(filter({tags}, t -> {_one_of('t', CONTAINERS)}))"
+
+
+def nesting_depth(nodes: DataFrame) -> int:
+    """Deepest nesting of anything that is rendered; one number, computed on the cluster."""
+    rendered = _one_of("tag", [*CONTAINERS, *_TEXT_TAKERS])
+    level = f"if(kind = 'element' AND {rendered}, 1 + {_count('ancestor_tags')}, 0)"
+    return nodes.selectExpr(f"max({level})").first()[0] or 0
+
+
 def _line(content: DataFrame) -> DataFrame:
-    """Adds ``_up`` (ancestors, nearest first, with their levels) and the node's own level.
+    """Adds ``_up`` (ancestors, nearest first, with their levels), ``_level`` and ``_targets``.
 
-    The level of a container is 1 plus the number of containers above it.
+    The level of an element is 1 plus the number of containers above it.
     """
-    is_container = f"transform(ancestor_tags, t -> {_one_of('t', CONTAINERS)})"
-    level = "1 + size(filter(slice(_boxes, 1, i), b -> b))"
-    chain = (
-        f"reverse(transform(ancestors, (a, i) -> struct(a AS id, ancestor_tags[i] AS tag, {level} AS level)))"
-    )
+    level = f"1 + {_count('slice(ancestor_tags, 1, i)')}"
+    chain = f"struct(a AS id, ancestor_tags[i] AS tag, {level} AS level)"
     return (
-        content.withColumn("_boxes", F.expr(is_container))
-        .withColumn("_up", F.expr(chain))
-        .withColumn("_level", F.expr("1 + size(filter(_boxes, b -> b))"))
+        content.withColumn("_up", F.expr(f"reverse(transform(ancestors, (a, i) -> {chain}))"))
+        .withColumn("_level", F.expr(f"1 + {_count('ancestor_tags')}"))
+        .withColumn("_targets", F.expr(_targets()))
     )
 
 
 def _receivers() -> str:
     """Containers that show this node: items passed on the way up, then the first paragraph or root."""
     stop = f"array_position(transform(_up, u -> {_one_of('u.tag', _STOPS)}), true)"
-    here = "struct(u.id AS id, u.level AS level)"
 
     def shown(at: str) -> str:
         passed = f"if({at} = 0, _up, slice(_up, 1, {at} - 1))"
-        items = f"transform(filter({passed}, u -> u.tag = 'li'), u -> {here})"
-        last = (
-            f"CASE WHEN {at} = 0 THEN array(struct({ROOT} AS id, 0 AS level))"
-            f" WHEN _up[{at} - 1].tag = 'p' THEN transform(slice(_up, {at}, 1), u -> {here})"
-            f" ELSE filter(transform(_up, u -> {here}), u -> false) END"
-        )
-        return f"concat({items}, {last})"
+        items = f"filter({passed}, u -> u.tag = 'li')"
+        last = f"filter(slice(_up, greatest({at}, 1), if({at} = 0, 0, 1)), u -> u.tag = 'p')"
+        root = f"if({at} = 0, array(struct({ROOT} AS id, 0 AS level)), array())"
+        return f"concat({_places(f'concat({items}, {last})')}, {root})"
 
     return let(stop, shown)
 
 
+def _places(elements: str) -> str:
+    return f"transform({elements}, u -> struct(u.id AS id, u.level AS level))"
+
+
 def _targets() -> str:
-    def above(tags: str) -> str:
-        return f"transform(filter(_up, u -> u.tag IN ({tags})), u -> struct(u.id AS id, u.level AS level))"
+    def above(*tags: str) -> str:
+        return _places(f"filter(_up, u -> {_one_of('u.tag', list(tags))})")
 
-    return (
-        f"CASE WHEN kind = 'text' THEN _shown_by WHEN kind != 'element' THEN NULL"
-        f" WHEN tag = 'li' THEN {above(repr('ul') + ', ' + repr('ol'))}"
-        f" WHEN tag IN ('td', 'th') THEN {above(repr('tr'))}"
-        f" WHEN tag = 'tr' THEN {above(repr('table'))}"
-        f" WHEN {_one_of('tag', [*SWALLOWING, 'p', 'ul', 'ol', 'table'])} THEN _shown_by END"
-    )
+    shown = _one_of("tag", [*SWALLOWING, "p", "ul", "ol", "table"])
+    return f"""
+        CASE WHEN kind = 'text' THEN {_receivers()} WHEN kind != 'element' THEN NULL
+             WHEN tag = 'li' THEN {above('ul', 'ol')}
+             WHEN tag IN ('td', 'th') THEN {above('tr')}
+             WHEN tag = 'tr' THEN {above('table')}
+             WHEN {shown} THEN {_receivers()} END"""
 
 
-def _swallowed(lined: DataFrame) -> DataFrame:
-    """Elements that swallow text, each with all text below it, as fragments of their targets."""
-    taker = _one_of("u.tag", _TEXT_TAKERS)
-    pieces = f"""
-        CASE WHEN kind = 'text' THEN transform(filter(_up, u -> {taker}),
-               u -> struct(u.id AS id, node_id AS n, text AS t, string(NULL) AS lang))
-             WHEN kind = 'element' AND tag = 'code' THEN transform(filter(_up, u -> u.tag = 'pre'),
-               u -> struct(u.id AS id, node_id AS n, string(NULL) AS t, coalesce(attrs['class'], '') AS lang))
-             END"""
-    own = f"""
-        if(kind = 'element' AND {_one_of('tag', _TEXT_TAKERS)},
-           struct(tag, _targets AS targets, coalesce(attrs['href'], '') AS href,
-                  coalesce(attrs['alt'], '') AS alt, coalesce(attrs['src'], '') AS src), NULL)"""
-    rows = (
-        lined.selectExpr("page_id", "node_id", f"{pieces} AS _pieces", f"{own} AS own")
-        .selectExpr(
-            "page_id",
-            "own",
-            "inline_outer(concat(if(own IS NULL, array(), array(struct(node_id AS id, -1 AS n,"
-            " string(NULL) AS t, string(NULL) AS lang))), coalesce(_pieces, array())))",
-        )
-        .where("id IS NOT NULL")
-        .withColumn("own", F.expr("if(n = -1, own, NULL)"))
-    )
-    text = (
-        "array_join(transform(array_sort(collect_list(if(t IS NULL, NULL, struct(n, t)))), x -> x.t), '')"
-    )
-    grouped = rows.groupBy("page_id", "id").agg(
-        F.first("own", ignorenulls=True).alias("own"),
-        F.expr(text).alias("_raw"),
-        F.expr("coalesce(min_by(lang, if(lang IS NULL, NULL, n)), '')").alias("lang"),
-    )
+def _row(target: str, level: str, at: str, side: int, kind: str, md: str, targets: str) -> str:
     return (
-        grouped.where("own IS NOT NULL AND size(own.targets) > 0")
-        .select("page_id", "id", "own.*", "_raw", "lang", F.expr(f"{squeeze('_raw')} AS text"))
-        .selectExpr("page_id", "id AS ord", "tag", "targets", f"{_render()} AS md")
-        .selectExpr("page_id", "inline(targets)", "ord", "tag AS kind", "md")
-        .selectExpr("page_id", "id AS target", "level", "ord", "kind", "md")
+        f"struct({target} AS target, {level} AS level, {at} AS ord, {side} AS side, {kind} AS kind,"
+        f" {md} AS md, string(NULL) AS md2, {targets} AS targets)"
     )
 
 
-def _render() -> str:
-    lines = f"transform(filter(split(text, '\\n'), l -> NOT {is_blank('l')}), l -> concat('> ', {squeeze('l')}, '\\n'))"
-    language = substitute("lang", "^language-", "")
-    return f"""
-        CASE WHEN tag IN ('td', 'th') THEN text
-             WHEN tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') THEN
-               concat(repeat('#', int({extract('tag', '[1-6]')})), ' ', text, '\\n')
-             WHEN tag = 'blockquote' THEN array_join({lines}, '')
-             WHEN tag = 'pre' THEN concat('```', {language}, '\\n', text, '\\n```\\n')
-             WHEN tag = 'code' THEN concat('`', text, '`')
-             WHEN tag = 'img' THEN concat('![', alt, '](', src, ')\\n')
-             WHEN tag = 'a' THEN concat('[', text, '](', href, ')')
-             WHEN tag IN ('strong', 'b') THEN concat('**', text, '**')
-             WHEN tag IN ('em', 'i') THEN concat('*', text, '*')
-             ELSE '---\\n' END"""
-
-
-def _loose_texts_and_containers(lined: DataFrame) -> DataFrame:
-    """Texts as fragments of their receivers, and one ``box`` row per container.
-
-    A text directly in a paragraph or item is trimmed and followed by a space
-    even if blank; below transparent tags blank texts vanish; directly below the
-    root all text is lost.
+def fragments(content: DataFrame) -> DataFrame:
+    """All fragments before folding: ``(page_id, url, target, level, ord, side, kind, md, ...)``.
+
+    * ``text``: a text shown by a paragraph, an item or the root.  Directly in a
+      paragraph or item it is trimmed and followed by a space even if blank;
+      below transparent tags blank texts vanish; directly below the root all
+      text is lost.
+    * ``raw`` and ``lang``: text, and the class of the first code, for elements
+      that swallow what is below them.
+    * ``box``: the element itself, which waits for its fragments; ``md`` holds
+      what its attributes add.
+    * ``edge``: line ends around the children of the root.
     """
+    lined = _line(content)
     direct = "size(_up) > 0 AND t.id = _up[0].id"
-    keep = f"(t.id = {ROOT} AND size(_up) > 0 OR t.id != {ROOT}) AND ({direct} OR NOT {is_blank('text')})"
-    none = "cast(NULL AS array<struct<id: int, level: int>>)"
+    shown = f"(t.id != {ROOT} OR size(_up) > 0) AND ({direct} OR NOT {is_blank('text')})"
+    text = _row("t.id", "t.level", "node_id", 1, "'text'", f"concat({squeeze('text')}, ' ')", _NO_TARGETS)
+    raw = _row("u.id", "u.level", "node_id", 1, "'raw'", "text", _NO_TARGETS)
+    lang = _row("u.id", "u.level", "node_id", 1, "'lang'", "coalesce(attrs['class'], '')", _NO_TARGETS)
+    note = """CASE tag WHEN 'a' THEN coalesce(attrs['href'], '')
+        WHEN 'img' THEN concat('![', coalesce(attrs['alt'], ''), '](', coalesce(attrs['src'], ''), ')\\n')
+        ELSE '' END"""
+    box = _row("node_id", "_level", "node_id", 1, "concat('box ', tag)", note, "_targets")
+    before = "if(tag = 'table' AND NOT coalesce(_after_table, false), '\\n', '')"
+    after = "if(tag = 'table', '\\n', '\\n\\n')"
+    edges = ", ".join(
+        _row(str(ROOT), "0", at, side, "'edge'", md, _NO_TARGETS)
+        for at, side, md in (("node_id", 0, before), ("end_id", 2, after))
+    )
     rows = f"""
-        CASE WHEN kind = 'text' THEN
-               transform(filter(_targets, t -> {keep}), t -> struct(t.id AS target, t.level AS level,
-                 node_id AS ord, 'text' AS kind, concat({squeeze('text')}, ' ') AS md, {none} AS targets))
-             WHEN kind = 'element' AND {_one_of('tag', CONTAINERS)} THEN
-               array(struct(node_id AS target, _level AS level, node_id AS ord,
-                 concat('box ', tag) AS kind, '' AS md, _targets AS targets)) END"""
+        CASE kind
+          WHEN 'page' THEN array({_row(str(ROOT), '0', '0', 0, "'page'", "''", _NO_TARGETS)})
+          WHEN 'text' THEN concat(
+            transform(filter(_targets, t -> {shown}), t -> {text}),
+            transform(filter(_up, u -> {_one_of('u.tag', _TEXT_TAKERS)}), u -> {raw}))
+          WHEN 'element' THEN concat(
+            if({_one_of('tag', [*CONTAINERS, *_TEXT_TAKERS])}, array({box}), array()),
+            if(tag = 'code', transform(filter(_up, u -> u.tag = 'pre'), u -> {lang}), array()),
+            if(size(ancestors) = 0, array({edges}), array()))
+          END"""
+    earlier = Window.partitionBy("page_id").orderBy("node_id")
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    top = F.when(F.expr("kind = 'element' AND size(ancestors) = 0"), F.col("tag") == "table")
     return (
-        lined.selectExpr("page_id", f"inline_outer({rows})")
+        lined.withColumn("_after_table", F.last(top, ignorenulls=True).over(earlier))
+        .selectExpr("page_id", "url", "_page_depth", f"inline_outer({rows})")
         .where("target IS NOT NULL")
     )
 
 
-def fragments(content: DataFrame) -> DataFrame:
-    """All fragments before folding: ``(page_id, target, level, ord, kind, md, md2, targets)``."""
-    lined = (
-        _line(content)
-        .withColumn("_shown_by", F.expr(_receivers()))
-        .withColumn("_targets", F.expr(_targets()))
-    )
-    return (
-        _loose_texts_and_containers(lined)
-        .unionByName(_swallowed(lined), allowMissingColumns=True)
-        .withColumn("md2", F.lit(None).cast("string"))
+def _render() -> str:
+    """Markdown of a box from its parts; rows also give their body form (``_render_body_row``)."""
+    inline = "array_join(transform(_parts, x -> x.md), '')"
+    text = squeeze("array_join(transform(filter(_parts, x -> x.kind = 'raw'), x -> x.md), '')")
+    lang = "coalesce(filter(_parts, x -> x.kind = 'lang')[0].md, '')"
+    lines = (
+        f"transform(filter(split({text}, '\\n'), l -> NOT {is_blank('l')}),"
+        f" l -> concat('> ', {squeeze('l')}, '\\n'))"
     )
+    # The indent is one more than the UTF-8 length of the item number as a character.
+    indent = "CASE WHEN i < 127 THEN 2 WHEN i < 2047 THEN 3 WHEN i < 65535 THEN 4 ELSE 5 END"
+    ruler = f"array_repeat('---', size({_cells('td', 'th')}))"
+    rest = "array_join(transform(slice(_parts, 2, size(_parts)), x -> coalesce(x.md2, '')), '')"
+    return f"""
+        CASE WHEN _box = 'p' THEN concat({squeeze(inline)}, '\\n')
+             WHEN _box = 'li' THEN {squeeze(inline)}
+             WHEN _box = 'ul' THEN array_join(transform(_parts, x -> concat('- ', x.md, '\\n')), '')
+             WHEN _box = 'ol' THEN array_join(transform(_parts,
+               (x, i) -> concat(repeat(' ', {indent}), '1. ', x.md, '\\n')), '')
+             WHEN _box IN ('td', 'th') THEN {text}
+             WHEN _box = 'tr' THEN if(size({_cells('td', 'th')}) > 0,
+               concat({_table_line(_cells('td', 'th'))}, {_table_line(ruler)}), NULL)
+             WHEN _box = 'table' THEN
+               concat('\\n', if(_parts[0].md IS NULL, '', concat(_parts[0].md, {rest})))
+             WHEN _box IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') THEN
+               concat(repeat('#', int({extract('_box', '[1-6]')})), ' ', {text}, '\\n')
+             WHEN _box = 'blockquote' THEN array_join({lines}, '')
+             WHEN _box = 'pre' THEN
+               concat('```', {substitute(lang, '^language-', '')}, '\\n', {text}, '\\n```\\n')
+             WHEN _box = 'code' THEN concat('`', {text}, '`')
+             WHEN _box = 'img' THEN _note
+             WHEN _box = 'a' THEN concat('[', {text}, '](', _note, ')')
+             WHEN _box IN ('strong', 'b') THEN concat('**', {text}, '**')
+             WHEN _box IN ('em', 'i') THEN concat('*', {text}, '*')
+             WHEN _box = 'hr' THEN '---\\n' END"""
+
+
+def _cells(*kinds: str) -> str:
+    return f"transform(filter(_parts, x -> {_one_of('x.kind', list(kinds))}), x -> x.md)"
+
+
+def _table_line(cells: str) -> str:
+    return f"concat('| ', array_join({cells}, ' | '), ' |\\n')"
 
 
 def _fold(pool: DataFrame, level: int) -> DataFrame:
-    """Turn the containers of ``level`` into fragments of lower levels; other rows pass."""
+    """Turn the boxes of ``level`` into fragments of lower levels; other rows pass unchanged."""
     at_level = f"level = {level}"
-    mine = "array_sort(collect_list(if(kind LIKE 'box %', NULL, struct(ord, kind, md, md2))))"
+    is_box = "kind LIKE 'box %'"
+    parts = f"array_sort(collect_list(if({is_box} AND {at_level}, NULL, struct(ord, kind, md, md2))))"
     grouped = (
         pool.withColumn("_slot", F.expr(f"if({at_level}, -1, ord)"))
+        .withColumn("_side", F.expr(f"if({at_level}, 1, side)"))
         .withColumn("_pass", F.expr(f"if({at_level}, '', kind)"))
-        .groupBy("page_id", "target", "level", "_slot", "_pass")
+        .groupBy("page_id", "target", "level", "_slot", "_side", "_pass")
         .agg(
-            F.expr(mine).alias("_parts"),
-            F.expr("first(if(kind LIKE 'box %', substring(kind, 5), NULL), true)").alias("_box"),
+            F.expr(parts).alias("_parts"),
+            F.expr(f"first(if({is_box}, substring(kind, 5), NULL), true)").alias("_box"),
+            F.expr(f"first(if({is_box}, md, NULL), true)").alias("_note"),
             F.expr("first(targets, true)").alias("_targets"),
+            F.max("url").alias("url"),
+            F.max("_page_depth").alias("_page_depth"),
         )
     )
-    inline = "array_join(transform(_parts, x -> x.md), '')"
-    indent = """CASE WHEN i < 127 THEN 2 WHEN i < 2047 THEN 3 WHEN i < 65535 THEN 4 ELSE 5 END"""
-    cells = "transform(filter(_parts, x -> x.kind IN ({0})), x -> x.md)"
-    every, plain = cells.format("'td', 'th'"), cells.format("'td'")
-    row = "concat('| ', array_join({0}, ' | '), ' |\\n')"
-    head = f"concat({row.format(every)}, {row.format('array_repeat(' + repr('---') + f', size({every}))')})"
-    rest = "array_join(transform(slice(_parts, 2, size(_parts)), x -> coalesce(x.md2, '')), '')"
-    md = f"""
-        CASE _box WHEN 'p' THEN concat({squeeze(inline)}, '\\n')
-                  WHEN 'li' THEN {squeeze(inline)}
-                  WHEN 'ul' THEN array_join(transform(_parts, x -> concat('- ', x.md, '\\n')), '')
-                  WHEN 'ol' THEN array_join(transform(_parts,
-                    (x, i) -> concat(repeat(' ', {indent}), '1. ', x.md, '\\n')), '')
-                  WHEN 'tr' THEN if(size({every}) > 0, {head}, NULL)
-                  ELSE concat('\\n', if(_parts[0].md IS NULL, '', concat(_parts[0].md, {rest}))) END"""
-    md2 = f"CASE WHEN _box = 'tr' AND size({plain}) > 0 THEN {row.format(plain)} END"
-    none = "cast(NULL AS array<struct<id: int, level: int>>)"
+    body_row = f"if(_box = 'tr' AND size({_cells('td')}) > 0, {_table_line(_cells('td'))}, NULL)"
     out = f"""
-        CASE WHEN _slot != -1 AND _box IS NOT NULL THEN array(struct(target, level, _slot AS ord,
-               concat('box ', _box) AS kind, '' AS md, string(NULL) AS md2, _targets AS targets))
-             WHEN _slot != -1 THEN transform(_parts, x -> struct(target, level, x.ord AS ord,
-               x.kind AS kind, x.md AS md, x.md2 AS md2, {none} AS targets))
-             ELSE transform(_targets, t -> struct(t.id AS target, t.level AS level, target AS ord,
-               _box AS kind, _md AS md, _md2 AS md2, {none} AS targets)) END"""
+        if(_slot != -1,
+           transform(_parts, x -> struct(target, level, x.ord AS ord, _side AS side, x.kind AS kind,
+             x.md AS md, x.md2 AS md2, _targets AS targets)),
+           transform(_targets, t -> struct(t.id AS target, t.level AS level, target AS ord, 1 AS side,
+             _box AS kind, _md AS md, _md2 AS md2, {_NO_TARGETS} AS targets)))"""
     return (
-        grouped.withColumn("_md", F.expr(f"if(_slot = -1, {md}, NULL)"))
-        .withColumn("_md2", F.expr(f"if(_slot = -1, {md2}, NULL)"))
-        .selectExpr("page_id", f"inline_outer({out})")
+        grouped.withColumn("_md", F.expr(f"if(_slot = -1, {_render()}, NULL)"))
+        .withColumn("_md2", F.expr(f"if(_slot = -1, {body_row}, NULL)"))
+        .selectExpr("page_id", "url", "_page_depth", f"inline_outer({out})")
         .where("target IS NOT NULL")
     )
 
 
-def _block_edges(content: DataFrame) -> DataFrame:
-    """Line ends around the children of the root: one row before and one after each element."""
-    order = Window.partitionBy("page_id").orderBy("node_id")
-    blocks = content.where("kind = 'element' AND size(ancestors) = 0").select(
-        "page_id", "node_id", "end_id", (F.col("tag") == "table").alias("is_table")
-    )
-    after_table = F.coalesce(F.lag("is_table").over(order), F.lit(False))
-    edges = """array(
-        struct(node_id AS ord, 0 AS side, if(is_table AND NOT _after, '\\n', '') AS md),
-        struct(end_id AS ord, 2 AS side, if(is_table, '\\n', '\\n\\n') AS md))"""
-    return blocks.withColumn("_after", after_table).selectExpr("page_id", f"inline({edges})")
-
+def root_fragments(content: DataFrame, depth: int) -> DataFrame:
+    """Everything the root shows, rendered: ``(page_id, url, ord, side, kind, md)``.
 
-def root_fragments(content: DataFrame) -> DataFrame:
-    """``(page_id, ord, kind, md)``: the fragments shown directly by the root, fully rendered.
-
-    The number of rounds is the deepest nesting in the data; only that number
-    comes back to the driver.
-    """
-    depth = content.selectExpr(
-        f"max(if(kind = 'element' AND {_one_of('tag', CONTAINERS)},"
-        f" 1 + size(filter(ancestor_tags, t -> {_one_of('t', CONTAINERS)})), 0))"
-    ).first()[0]
-    pool = fragments(content)
-    for round_no, level in enumerate(range(depth or 0, 0, -1), start=1):
-        pool = _fold(pool, level)
-        if round_no % LEVELS_PER_STORE == 0:
-            pool = cut_lineage(pool)
-    return pool.where(f"target = {ROOT}").select("page_id", "ord", "kind", "md")
-
-
-def to_markdown(roots: DataFrame, content: DataFrame) -> DataFrame:
-    """``(page_id, url, markdown)`` for every page in ``roots``; empty if there is no content.
-
-    ``content`` is read several times, so pass a stored table.
+    ``depth`` is :func:`nesting_depth`, or anything larger.  Only pages nested
+    deeper than usual take part in the rounds for the deep levels, so one odd
+    page does not add rounds to all others.
     """
-    pieces = (
-        root_fragments(content)
-        .selectExpr("page_id", "ord", "1 AS side", "md")
-        .unionByName(_block_edges(content))
-    )
-    joined = (
-        "array_join(transform(array_sort(collect_list(struct(ord, side, md))), x -> x.md), '')"
-    )
-    documents = pieces.groupBy("page_id").agg(F.expr(joined).alias("_doc"))
+    page = Window.partitionBy("page_id")
+    level = F.expr(f"1 + {_count('ancestor_tags')}")
+    pool = fragments(content.withColumn("_page_depth", F.max(level).over(page)))
+    if depth > USUAL_DEPTH:
+        pool = cut_lineage(pool)
+        deep = pool.where(f"_page_depth > {USUAL_DEPTH}")
+        for round_no, at in enumerate(range(depth, USUAL_DEPTH, -1), start=1):
+            deep = _fold(deep, at)
+            if round_no % USUAL_DEPTH == 0:
+                deep = cut_lineage(deep)
+        pool = pool.where(f"_page_depth <= {USUAL_DEPTH}").unionByName(deep)
+    for at in range(min(depth, USUAL_DEPTH), 0, -1):
+        pool = _fold(pool, at)
+    return pool.where(f"target = {ROOT}").select("page_id", "url", "ord", "side", "kind", "md")
+
+
+def to_markdown(content: DataFrame, depth: int) -> DataFrame:
+    """``(page_id, url, markdown)`` for every page; empty text if there is no content."""
+    joined = "array_join(transform(array_sort(collect_list(struct(ord, side, md))), x -> x.md), '')"
     tidy = substitute("_doc", r"(\|[^\n]*\|)\n\n(\|)", "$1\n$2")
     tidy = squeeze(substitute(tidy, r"\n{4,}", "\n\n\n"))
     return (
-        roots.select("page_id", "url")
-        .join(documents.selectExpr("page_id", f"{tidy} AS markdown"), "page_id", "left")
-        .na.fill("", ["markdown"])
+        root_fragments(content, depth)
+        .groupBy("page_id")
+        .agg(F.max("url").alias("url"), F.expr(joined).alias("_doc"))
+        .selectExpr("page_id", "url", f"{tidy} AS markdown")
     )

@@ -7,15 +7,22 @@ Columns that the caller does not ask for are not built.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pageloom.sources import tree
 from pageloom.sources.tree import TreeBuilder, flatten
 
+# Ship this code with the task, so that executors need no installed package.
+for _module in (tree, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(_module)
+
 NODE_SCHEMA = T.StructType(
     [
         T.StructField("page_id", T.LongType()),
