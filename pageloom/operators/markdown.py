@@ -22,7 +22,7 @@ from pageloom.session import cut_lineage
 # How tags are rendered.
 SWALLOWING = "h1 h2 h3 h4 h5 h6 blockquote pre code a strong b em i img hr".split()
 CONTAINERS = "p ul ol li tr table".split()
-ROOT = -1
+ROOT, PASSING = -1, -2
 USUAL_DEPTH = 6
 
 _STOPS = [*SWALLOWING, "table", "p", "ul", "ol"]
@@ -193,35 +193,35 @@ def _table_line(cells: str) -> str:
 
 
 def _fold(pool: DataFrame, level: int) -> DataFrame:
-    """Turn the boxes of ``level`` into fragments of lower levels; other rows pass unchanged."""
-    at_level = f"level = {level}"
-    is_box = "kind LIKE 'box %'"
-    parts = f"array_sort(collect_list(if({is_box} AND {at_level}, NULL, struct(ord, kind, md, md2))))"
+    """Turn the boxes of ``level`` into fragments of lower levels; other rows pass unchanged.
+
+    One group per box of this level, and one per page for all that passes.
+    """
+    fields = "ord, kind, md, md2, side, target, level, targets"
     grouped = (
-        pool.withColumn("_slot", F.expr(f"if({at_level}, -1, ord)"))
-        .withColumn("_side", F.expr(f"if({at_level}, 1, side)"))
-        .withColumn("_pass", F.expr(f"if({at_level}, '', kind)"))
-        .groupBy("page_id", "target", "level", "_slot", "_side", "_pass")
+        pool.withColumn("_box_id", F.expr(f"if(level = {level}, target, {PASSING})"))
+        .groupBy("page_id", "_box_id")
         .agg(
-            F.expr(parts).alias("_parts"),
-            F.expr(f"first(if({is_box}, substring(kind, 5), NULL), true)").alias("_box"),
-            F.expr(f"first(if({is_box}, md, NULL), true)").alias("_note"),
-            F.expr("first(targets, true)").alias("_targets"),
+            F.expr(f"collect_list(struct({fields}))").alias("_rows"),
             F.max("url").alias("url"),
             F.max("_page_depth").alias("_page_depth"),
         )
-    )
+        .withColumn("_passing", F.expr(f"_box_id = {PASSING}"))
+        .withColumn("_own", F.expr("if(_passing, NULL, filter(_rows, x -> x.kind LIKE 'box %')[0])"))
+        .withColumn("_parts", F.expr(
+            "if(_passing, NULL, array_sort(filter(_rows, x -> x.kind NOT LIKE 'box %')))"))
+        .withColumn("_box", F.expr("substring(_own.kind, 5)"))
+        .withColumn("_note", F.expr("_own.md"))
+    )
     body_row = f"if(_box = 'tr' AND size({_cells('td')}) > 0, {_table_line(_cells('td'))}, NULL)"
-    out = f"""
-        if(_slot != -1,
-           transform(_parts, x -> struct(target, level, x.ord AS ord, _side AS side, x.kind AS kind,
-             x.md AS md, x.md2 AS md2, _targets AS targets)),
-           transform(_targets, t -> struct(t.id AS target, t.level AS level, target AS ord, 1 AS side,
-             _box AS kind, _md AS md, _md2 AS md2, {_NO_TARGETS} AS targets)))"""
+    rendered = f"""transform(_own.targets, t -> struct(_box_id AS ord, _box AS kind, _md AS md,
+        _md2 AS md2, 1 AS side, t.id AS target, t.level AS level, {_NO_TARGETS} AS targets))"""
     return (
-        grouped.withColumn("_md", F.expr(f"if(_slot = -1, {_render()}, NULL)"))
-        .withColumn("_md2", F.expr(f"if(_slot = -1, {body_row}, NULL)"))
-        .selectExpr("page_id", "url", "_page_depth", f"inline_outer({out})")
+        grouped.withColumn("_md", F.expr(f"if(_passing, NULL, {_render()})"))
+        .withColumn("_md2", F.expr(f"if(_passing, NULL, {body_row})"))
+        .selectExpr(
+            "page_id", "url", "_page_depth", f"inline_outer(if(_passing, _rows, {rendered}))"
+        )
         .where("target IS NOT NULL")
     )
 
