@@ -109,7 +109,7 @@ _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*+(?:;|(?!=)
 
 def _decode_reference(token: str) -> str:
     decimal = extract(token, "^&#([0-9]+)", 1)
-    hexadecimal = extract(token, "^&#[xX]([0-9a-fA-F]+)", 1)
+    hexadecimal = extract(token, "^&#[xX]0*([0-9a-fA-F]{1,8});?$", 1)
     code = f"try_cast(if({matches(token, '^&#[xX]')}, conv({hexadecimal}, 16, 10), {decimal}) AS BIGINT)"
     character = let(
         code,

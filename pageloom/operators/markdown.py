@@ -111,7 +111,7 @@ def fragments(content: DataFrame) -> DataFrame:
     * ``edge``: line ends around the children of the root.
     """
     lined = _line(content)
-    direct = "size(_up) > 0 AND t.id = _up[0].id"
+    direct = "size(_up) > 0 AND t.id = get(_up, 0).id"
     shown = f"(t.id != {ROOT} OR size(_up) > 0) AND ({direct} OR NOT {is_blank('text')})"
     text = _row("t.id", "t.level", "node_id", 1, "'text'", f"concat({squeeze('text')}, ' ')", _NO_TARGETS)
     raw = _row("u.id", "u.level", "node_id", 1, "'raw'", "text", _NO_TARGETS)
@@ -151,7 +151,7 @@ def _render() -> str:
     """Markdown of a box from its parts; rows also give their body form (``_render_body_row``)."""
     inline = "array_join(transform(_parts, x -> x.md), '')"
     text = squeeze("array_join(transform(filter(_parts, x -> x.kind = 'raw'), x -> x.md), '')")
-    lang = "coalesce(filter(_parts, x -> x.kind = 'lang')[0].md, '')"
+    lang = "coalesce(get(filter(_parts, x -> x.kind = 'lang'), 0).md, '')"
     lines = (
         f"transform(filter(split({text}, '\\n'), l -> NOT {is_blank('l')}),"
         f" l -> concat('> ', {squeeze('l')}, '\\n'))"
@@ -170,7 +170,7 @@ def _render() -> str:
              WHEN _box = 'tr' THEN if(size({_cells('td', 'th')}) > 0,
                concat({_table_line(_cells('td', 'th'))}, {_table_line(ruler)}), NULL)
              WHEN _box = 'table' THEN
-               concat('\\n', if(_parts[0].md IS NULL, '', concat(_parts[0].md, {rest})))
+               concat('\\n', if(get(_parts, 0).md IS NULL, '', concat(get(_parts, 0).md, {rest})))
              WHEN _box IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') THEN
                concat(repeat('#', int({extract('_box', '[1-6]')})), ' ', {text}, '\\n')
              WHEN _box = 'blockquote' THEN array_join({lines}, '')
@@ -207,7 +207,7 @@ def _fold(pool: DataFrame, level: int) -> DataFrame:
             F.max("_page_depth").alias("_page_depth"),
         )
         .withColumn("_passing", F.expr(f"_box_id = {PASSING}"))
-        .withColumn("_own", F.expr("if(_passing, NULL, filter(_rows, x -> x.kind LIKE 'box %')[0])"))
+        .withColumn("_own", F.expr("if(_passing, NULL, get(filter(_rows, x -> x.kind LIKE 'box %'), 0))"))
         .withColumn("_parts", F.expr(
             "if(_passing, NULL, array_sort(filter(_rows, x -> x.kind NOT LIKE 'box %')))"))
         .withColumn("_box", F.expr("substring(_own.kind, 5)"))
