@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import is_ascii_blank, is_blank, literal, squeeze
-from pageloom.session import cut_lineage
+from pageloom.session import bucket_count, store_by
 from pageloom.sources.dom import shred
 
 # What is removed before content is chosen.
@@ -78,14 +78,9 @@ def flag_noise(nodes: DataFrame) -> DataFrame:
 
 
 def strip_noise(nodes: DataFrame) -> DataFrame:
-    """Nodes outside noise subtrees; the first node of a page always stays (it carries the URL).
-
-    Text of scripts and styles is dropped before the shuffle: it is noise in any
-    case and often half of a page.
-    """
-    light = nodes.where("NOT (kind = 'text' AND tag IN ('script', 'style'))")
+    """Nodes outside noise subtrees; the first node of a page always stays (it carries the URL)."""
     return (
-        flag_noise(light)
+        flag_noise(nodes)
         .where("NOT noise OR node_id = 0")
         .withColumn("kind", F.expr("if(noise, 'removed', kind)"))
         .drop("noise")
@@ -283,9 +278,19 @@ def clean_content(content: DataFrame, *, keep_media: bool = False) -> DataFrame:
 
 
 def stored_nodes(pages: DataFrame, *, noise: bool = False) -> DataFrame:
-    """Nodes of all pages, parsed once and written down, by default without noise."""
+    """Nodes of all pages, parsed once and stored by page, by default without noise.
+
+    This is the one shuffle of the pipeline; windows, groupings and joins per
+    page that follow find their rows already together.  Text of scripts and
+    styles is noise in any case and often half of a page, so it is dropped
+    before.
+    """
+    buckets = bucket_count(pages)
     nodes = shred(pages, CONTENT_COLUMNS)
-    return cut_lineage(nodes if noise else strip_noise(nodes))
+    if not noise:
+        nodes = nodes.where("NOT (kind = 'text' AND tag IN ('script', 'style'))")
+    nodes = nodes.repartition(buckets, "page_id")
+    return store_by(nodes if noise else strip_noise(nodes), "page_id", buckets)
 
 
 def main_content(kept: DataFrame, *, keep_media: bool = False) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Depth is the least number of links from the start.  Each round is written to
 shared storage, which keeps plans short and lets the crawl survive lost
-executors.  HTML is read once, to get the links; the rounds move narrow rows.
+executors.  HTML is read once, to get the links; links and captures are stored
+by URL, so a round shuffles its own level and the visited set, not the graph.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pageloom.operators.frontier import fetch_outcome, frontier_step, seed_level
 from pageloom.operators.links import captures, extract_links, literal_allowlist
 from pageloom.operators.ranking import first_per_group
 from pageloom.plans.config import CrawlConfig
-from pageloom.session import cut_lineage
+from pageloom.session import bucket_count, cut_lineage, store_by
 
 ORDER = ["depth", "path"]
 
@@ -34,8 +35,10 @@ def crawl(
     """
     first = cut_lineage(seed_level(seeds))
     usable = _reachable(pages.where("html IS NOT NULL"), first, config, allowed)
-    captured = cut_lineage(captures(usable))
-    edges = cut_lineage(_edges(usable, captured, config, allowed))
+    one_site = first.limit(2).count() == 1
+    buckets = bucket_count(pages)
+    captured = _stored(captures(usable), one_site, buckets)
+    edges = _stored(_edges(usable, captured, config, allowed), one_site, buckets)
 
     levels: list[DataFrame] = []
     level = first
@@ -52,6 +55,19 @@ def crawl(
     return reduce(DataFrame.unionByName, levels)
 
 
+def _stored(by_url: DataFrame, one_site: bool, buckets: int) -> DataFrame:
+    """Store links or captures for the rounds.
+
+    In a single crawl every URL occurs once per level, so bucketing by URL is
+    safe and saves the shuffle in each round.  When many crawls run together,
+    one URL may be in most of them; then both sides of the join are shuffled, so
+    that the adaptive skew join can split it.
+    """
+    if not one_site:
+        return cut_lineage(by_url)
+    return store_by(by_url.repartition(buckets, "url"), "url", buckets)
+
+
 def _reachable(
     pages: DataFrame, first: DataFrame, config: CrawlConfig, allowed: DataFrame | None
 ) -> DataFrame:

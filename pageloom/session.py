@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BYTES_PER_BUCKET = 256 * 1024 * 1024
+MAX_SENSIBLE_BYTES = 1 << 58  # beyond this the optimizer has no idea of the size
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; in local mode a temporary one if it names none."""
@@ -37,3 +40,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer expects ``df`` to hold; nothing is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def bucket_count(source: DataFrame) -> int:
+    """Buckets for tables made from ``source``: by its size, at least one per core."""
+    spark = source.sparkSession
+    size = estimated_bytes(source)
+    if size > MAX_SENSIBLE_BYTES:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, -(-size // BYTES_PER_BUCKET))
+
+
+def store_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` as Parquet bucketed by ``key`` in the shared folder, and read it back.
+
+    Cuts lineage like a checkpoint does, but readers get only the columns they
+    need, and joins, groupings and windows on the key need no further shuffle.
+    ``df`` must be repartitioned by ``key`` into ``buckets``, so that every task
+    writes one file.  The table leaves no name behind.
+    """
+    spark = df.sparkSession
+    name = f"pageloom_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").bucketBy(buckets, key).option("path", new_folder(spark, name))
+    writer.saveAsTable(name)
+    stored = spark.table(name)
+    stored.schema  # resolved before the name goes away
+    spark.sql(f"DROP TABLE {name}")
+    return stored

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pageloom.session import estimated_bytes
 from pageloom.sources import tree
 from pageloom.sources.tree import TreeBuilder, flatten
 
@@ -51,6 +52,7 @@ _ARROW = {
     "ancestor_tags": pa.list_(pa.string()),
 }
 ROWS_PER_BATCH = 20_000
+SMALL_SPLIT = 16 * 1024 * 1024
 
 
 def shred(pages: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -66,14 +68,15 @@ def shred(pages: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the input has fewer splits than the cluster has cores.
+    """Give every core work when the input is too small to fill its splits.
 
-    Large inputs have more splits than cores and are left alone: no shuffle of HTML.
+    Only inputs known to be small are shuffled; large ones have splits enough
+    and are left alone, so HTML is never shuffled at scale.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    if df.isStreaming:
         return df
-    return df.repartition(cores)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if estimated_bytes(df) < cores * SMALL_SPLIT else df
 
 
 def _shred_batches(
