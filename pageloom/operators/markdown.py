@@ -6,7 +6,7 @@ paragraphs, lists, list items, table rows and tables are containers; any other
 tag is transparent.  One grouping per nesting level turns the containers of
 that level into fragments of the levels above, and the last one makes the
 documents.  A list shows every item below it at any depth and an item shows its
-own content, so nested items appear more than once, as in the reference rules.
+own content, so nested items appear more than once.
 
 All groupings include ``page_id`` and keep its partitioning.
 """

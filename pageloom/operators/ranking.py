@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from pageloom.session import cut_lineage
 
+SMALL_LIMIT = 100
+
 
 def ordered_rank(
     df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "rank"
@@ -46,9 +48,10 @@ def first_per_group(
     """The first ``size`` rows of every group by ``order``.
 
     A small ``size`` is a window limit, which Spark applies before the shuffle
-    as well, so a task holds at most ``size`` rows per input partition.
+    as well, so a task gets at most ``size`` rows of a group per input partition.
+    A larger one would let a hot group fill one task, so it goes by exact ranks.
     """
-    if size > 10_000:
+    if size > SMALL_LIMIT:
         return ordered_rank(df, group, order, "_rank").where(F.col("_rank") <= size).drop("_rank")
     place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn("_rank", place).where(F.col("_rank") <= size).drop("_rank")

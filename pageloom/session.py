@@ -11,15 +11,20 @@ BYTES_PER_BUCKET = 256 * 1024 * 1024
 MAX_SENSIBLE_BYTES = 1 << 58  # beyond this the optimizer has no idea of the size
 
 
+_local_folders: dict[str, str] = {}  # application id -> folder, local mode only
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names; in local mode a temporary one if it names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="pageloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder is not None:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="pageloom-")
+    return _local_folders[context.applicationId]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
