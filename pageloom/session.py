@@ -48,8 +48,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """What the optimizer expects ``df`` to hold; nothing is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Size of the inputs ``df`` is made from; nothing is run.
+
+    The estimate of the whole plan is no use here: it multiplies the sizes of
+    joined tables.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def bucket_count(source: DataFrame) -> int:
