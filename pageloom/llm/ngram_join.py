@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.components import components
-from pageloom.llm.tables import stored, texts_of
+from pageloom.llm.tables import release, stored, texts_of
 
 WORDS, PERCENT = 5, 80
 MOST_MATCHES = 4
@@ -280,8 +280,8 @@ class NgramJoin:
             .select("a", "b")
         )
 
-    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs whose whole sets are similar."""
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets are similar; sets are made for documents in pairs only."""
         percent = self.percent
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,42 +297,65 @@ class NgramJoin:
                 keep = pa.array(good, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
 
-        joined = pairs.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("a_grams")), "a").join(
-            sets.select(F.col("doc").alias("b"), F.col("grams").alias("b_grams")), "b"
-        )
-        return joined.select("a", "b", "a_grams", "b_grams").mapInArrow(compare, "a bigint, b bigint")
+        pairs = stored(pairs, "pairs")
+        release(self.spark)
+        ones, others = (pairs.select(F.col(c).alias("doc")).distinct() for c in ("a", "b"))
+        sets = stored(self.sets_of(ones.union(others).distinct()), "sets")
+        first = sets.join(_sized(ones), "doc", "left_semi").select(F.col("doc").alias("a"), F.col("grams").alias("a_grams"))
+        second = sets.join(_sized(others), "doc", "left_semi").select(F.col("doc").alias("b"), F.col("grams").alias("b_grams"))
+        joined = pairs.join(first, "a").join(second, "b")
+        found = joined.select("a", "b", "a_grams", "b_grams").mapInArrow(compare, "a bigint, b bigint")
+        return stored(found, "links")
 
     def _pivots(self, lists: DataFrame, salt: int) -> DataFrame:
         """Rows of lists that hold several components, each with its list's pivot."""
-        head = F.struct(F.xxhash64("doc", F.lit(salt)).alias("h"), "component", "doc", "meta")
+        head = F.struct(F.xxhash64("doc", F.lit(salt)).alias("h"), "component", "doc")
         heads = (
             lists.groupBy("token")
             .agg(F.min(head).alias("head"), F.min("component").alias("low"), F.max("component").alias("high"))
             .where("low <> high")
-            .selectExpr("token", "head.component AS b_component", "head.doc AS b", "head.meta AS b_meta")
+            .selectExpr("token", "head.component AS b_component", "head.doc AS b")
         )
         return lists.join(heads, "token")
 
+    def _stars(self, rows: DataFrame) -> DataFrame:
+        """``(a, b)``: documents and their pivots.
+
+        No pair is lost by leaving some out here: those are among the crossing
+        pairs, if they are not in one component by then.
+        """
+        enough = F.shiftright(F.first("meta").bitwiseAND(63), 3)
+        return (
+            rows.groupBy(F.col("doc").alias("a"), "b")
+            .agg(F.count("*").alias("shared"), enough.alias("need"))
+            .where("shared >= need")
+            .select("a", "b")
+        )
+
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links found between nodes, and ``(doc, component)`` of all nodes that share a gram."""
-        postings = self.postings().withColumn("component", F.col("doc"))
-        lists = stored(self._pivots(postings, 0), "lists")
+        postings = self.postings()
+        heads = postings.groupBy("token").agg(F.min("doc").alias("b"), F.max("doc").alias("high"))
+        lists = stored(postings.join(heads.where("b <> high").drop("high"), "token"), "lists")
+        del postings, heads
+        release(self.spark)
         labels = lists.select("doc", F.col("doc").alias("component")).distinct()
-        sets = stored(self.sets_of(lists.select("doc").distinct()), "sets")
-        rows, alone = lists, lists.select("token", "doc", "meta")
+        stars = self._stars(lists.where("doc <> b"))
+        alone = lists.select("token", "doc", "meta")
         found: list[DataFrame] = []
         for salt in range(1, PIVOT_ROUNDS + 1):
-            stars = rows.where("component <> b_component").selectExpr("doc AS a", "b", "meta AS a_meta", "b_meta")
-            new = stored(self._verified(self._matching(stars), sets), "links")
+            new = self._verified(stars)
             found.append(new)
             many = new.count()
             if many:
                 labels = stored(self._relabelled(labels, new), "labels")
             rows = stored(self._pivots(alone.join(labels, "doc"), salt), "lists")
-            if not many or rows.isEmpty():
+            release(self.spark)
+            if not many or self._few_crossing(rows):
                 break
+            stars = self._stars(rows.where("component <> b_component"))
         if not rows.isEmpty():
-            new = stored(self._verified(self._matching(self._crossing(rows)), sets), "links")
+            new = self._verified(self._matching(self._crossing(rows)))
             found.append(new)
             if new.count():
                 labels = stored(self._relabelled(labels, new), "labels")
@@ -341,6 +364,13 @@ class NgramJoin:
             links = links.unionByName(more)
         return links, labels
 
+    def _few_crossing(self, rows: DataFrame) -> bool:
+        """Whether listing the crossing pairs is less work than two more rounds of pivots."""
+        groups = rows.groupBy("token", "component").agg(F.count("*").cast("double").alias("n"))
+        lists = groups.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+        crossing, read = lists.select(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2), F.sum("n")).first()
+        return (crossing or 0) <= 4 * (read or 0)
+
     def _relabelled(self, labels: DataFrame, new: DataFrame) -> DataFrame:
         """Components after ``new`` links, which connect components."""
         a = labels.select(F.col("doc").alias("a"), F.col("component").alias("ca"))
