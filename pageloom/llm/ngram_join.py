@@ -47,7 +47,7 @@ from pageloom.llm.tables import release, stored, texts_of
 
 WORDS, PERCENT = 5, 80
 MOST_MATCHES = 4
-TABLE_BITS = 22
+TABLE_BITS, BLOCK_BITS = 22, 12
 #: Grams that occur up to this often (as a power of two) count as rare.
 RARE_POWER = 4
 PIVOT_ROUNDS = 5
@@ -222,11 +222,24 @@ class NgramJoin:
             .groupBy((F.col("token").bitwiseAND((1 << TABLE_BITS) - 1)).cast("int").alias("place"))
             .agg(F.max(F.floor(F.log2("n"))).cast("tinyint").alias("power"))
         )
-        # At most 2 ** TABLE_BITS rows of five bytes, for any corpus.
-        found = places.toPandas()
-        table = np.zeros(1 << TABLE_BITS, np.uint8)
-        table[found["place"].to_numpy(np.int64)] = found["power"].to_numpy(np.uint8)
-        return table
+        block = F.shiftright("place", BLOCK_BITS).alias("block")
+        blocks = places.groupBy(block).agg(F.collect_list(F.struct("place", "power")).alias("filled"))
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                parts = []
+                for filled in batch["filled"]:
+                    part = np.zeros(1 << BLOCK_BITS, np.uint8)
+                    for entry in filled.as_py():
+                        part[entry["place"] & ((1 << BLOCK_BITS) - 1)] = entry["power"]
+                    parts.append(part.tobytes())
+                yield pa.RecordBatch.from_pydict({"block": batch["block"], "part": pa.array(parts, pa.binary())})
+
+        # One byte for each of the 2 ** TABLE_BITS places, for any corpus.
+        table = np.zeros((1 << (TABLE_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
+        for row in blocks.mapInArrow(packed, "block int, part binary").toLocalIterator():
+            table[row["block"]] = np.frombuffer(row["part"], np.uint8)
+        return table.reshape(-1)
 
     def postings(self) -> DataFrame:
         """``(token, doc, meta)``: the adaptive prefix of every node."""
