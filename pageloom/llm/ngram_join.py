@@ -47,9 +47,11 @@ from pageloom.llm.tables import release, stored, texts_of
 
 WORDS, PERCENT = 5, 80
 MOST_MATCHES = 4
-TABLE_BITS, BLOCK_BITS = 22, 12
-#: Grams that occur up to this often (as a power of two) count as rare.
-RARE_POWER = 4
+#: Places of the table of frequent grams, and from which power of two on a gram is in it.
+POWER_BITS, LEAST_POWER = 22, 3
+#: Bits of the map of repeated grams: eight for each of them, within these bounds (128 MB at most).
+LEAST_MAP_BITS, MOST_MAP_BITS = 20, 30
+BLOCK_BITS = 12
 PIVOT_ROUNDS = 5
 MAX_BROADCAST_ROWS = 500_000
 
@@ -104,23 +106,42 @@ def prefix_length(n: int, matches: int, percent: int = PERCENT) -> int:
 
 def _kept(n: int, percent: int) -> int:
     """Lowest hashes kept of a document: its longest prefix and something for frequent grams."""
-    return min(n, prefix_length(n, MOST_MATCHES, percent) + 4 + n // 50)
+    return min(n, prefix_length(n, MOST_MATCHES, percent) + 4 + n // 12)
 
 
-def adaptive_prefix(grams: np.ndarray, n: int, table: np.ndarray, percent: int) -> tuple[np.ndarray, int] | None:
+class Frequencies:
+    """How often grams occur: a map of those that occur twice, and a table of powers of two.
+
+    Both are hashed, so a gram may look more frequent than it is.  That costs
+    time at most: they only put grams in order.
+    """
+
+    def __init__(self, repeated: np.ndarray, powers: np.ndarray):
+        self.repeated, self.powers = repeated, powers
+
+    def power(self, grams: np.ndarray) -> np.ndarray:
+        """0 for grams that occur once, 1 for a few times, then the power of two."""
+        place = grams & np.uint64(8 * len(self.repeated) - 1)
+        bit = np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)
+        seen = (self.repeated[(place >> np.uint64(3)).astype(np.int64)] & bit) != 0
+        often = self.powers[(grams & np.uint64(len(self.powers) - 1)).astype(np.int64)].astype(np.int64)
+        return np.where(seen, np.maximum(often, 1), 0)
+
+
+def adaptive_prefix(grams: np.ndarray, n: int, table: Frequencies, percent: int) -> tuple[np.ndarray, int] | None:
     """The chosen prefix and its number of matches.
 
     ``grams`` are the lowest of the document's ``n`` hashes, sorted.  None if
     grams that are not among them might belong to the prefix.
     """
-    power = table[(grams & np.uint64(len(table) - 1)).astype(np.int64)].astype(np.int64)
+    power = table.power(grams)
     most = min(MOST_MATCHES, least_overlap(n, percent))
     longest = prefix_length(n, most, percent)
-    rank = np.maximum(power - RARE_POWER, 0)
+    rank = power
     if len(grams) < n and np.count_nonzero(rank == 0) < longest:
         return None
     order = np.argsort(rank, kind="stable")[:longest]
-    often = np.exp2(power[order])
+    often = np.where(power[order] == 1, 3.0, np.exp2(power[order]))
     reads = np.cumsum(often)
     best, chosen = np.inf, 1
     for matches in range(1, most + 1):
@@ -155,6 +176,28 @@ def _sized(narrow: DataFrame) -> DataFrame:
     return F.broadcast(narrow) if narrow.count() <= MAX_BROADCAST_ROWS else narrow.hint("merge")
 
 
+def _bytes(cells: DataFrame, size: int) -> np.ndarray:
+    """``size`` bytes from ``cells (place, value)``, sent to the driver in packed blocks."""
+    width = 1 << BLOCK_BITS
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for filled in batch["filled"]:
+                part = np.zeros(width, np.uint8)
+                for entry in filled.as_py():
+                    part[entry["place"] & (width - 1)] = entry["value"]
+                parts.append(part.tobytes())
+            yield pa.RecordBatch.from_pydict({"block": batch["block"], "part": pa.array(parts, pa.binary())})
+
+    block = F.shiftright("place", BLOCK_BITS).alias("block")
+    blocks = cells.groupBy(block).agg(F.collect_list(F.struct("place", "value")).alias("filled"))
+    table = np.zeros((size // width, width), np.uint8)
+    for row in blocks.mapInArrow(packed, "block int, part binary").toLocalIterator():
+        table[row["block"]] = np.frombuffer(row["part"], np.uint8)
+    return table.reshape(-1)
+
+
 class NgramJoin:
     """One run of the join over one table of documents."""
 
@@ -202,13 +245,8 @@ class NgramJoin:
 
     # -- prefixes ----------------------------------------------------------------------------
 
-    def frequencies(self) -> np.ndarray:
-        """How often grams occur, as powers of two in a hashed table of fixed size.
-
-        Counts are exact and cover all documents; grams that share a place have
-        the larger power.  The table only orders grams, so sharing costs time at
-        most.
-        """
+    def frequencies(self) -> Frequencies:
+        """Exact counts over all documents, hashed into tables of bound size."""
 
         def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -217,29 +255,17 @@ class NgramJoin:
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(counts)], ["token", "n"])
 
         counted = self.signed.select("low").mapInArrow(low, "token bigint, n bigint")
-        places = (
-            counted.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
-            .groupBy((F.col("token").bitwiseAND((1 << TABLE_BITS) - 1)).cast("int").alias("place"))
-            .agg(F.max(F.floor(F.log2("n"))).cast("tinyint").alias("power"))
-        )
-        block = F.shiftright("place", BLOCK_BITS).alias("block")
-        blocks = places.groupBy(block).agg(F.collect_list(F.struct("place", "power")).alias("filled"))
-
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                parts = []
-                for filled in batch["filled"]:
-                    part = np.zeros(1 << BLOCK_BITS, np.uint8)
-                    for entry in filled.as_py():
-                        part[entry["place"] & ((1 << BLOCK_BITS) - 1)] = entry["power"]
-                    parts.append(part.tobytes())
-                yield pa.RecordBatch.from_pydict({"block": batch["block"], "part": pa.array(parts, pa.binary())})
-
-        # One byte for each of the 2 ** TABLE_BITS places, for any corpus.
-        table = np.zeros((1 << (TABLE_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
-        for row in blocks.mapInArrow(packed, "block int, part binary").toLocalIterator():
-            table[row["block"]] = np.frombuffer(row["part"], np.uint8)
-        return table.reshape(-1)
+        repeated = stored(counted.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "repeated")
+        release(self.spark)
+        wanted = max(1, 8 * repeated.count() - 1).bit_length()
+        bits = min(max(wanted, LEAST_MAP_BITS), MOST_MAP_BITS)
+        byte = F.shiftright(F.col("token").bitwiseAND((1 << bits) - 1), 3).cast("int")
+        bit = F.expr("shiftleft(1, CAST(token & 7 AS INT))")
+        seen = repeated.groupBy(byte.alias("place")).agg(F.bit_or(bit).cast("int").alias("value"))
+        place = F.col("token").bitwiseAND((1 << POWER_BITS) - 1).cast("int").alias("place")
+        often = repeated.where(f"n >= {1 << LEAST_POWER}").groupBy(place)
+        powers = often.agg(F.max(F.floor(F.log2("n"))).cast("int").alias("value"))
+        return Frequencies(_bytes(seen, 1 << (bits - 3)), _bytes(powers, 1 << POWER_BITS))
 
     def postings(self) -> DataFrame:
         """``(token, doc, meta)``: the adaptive prefix of every node."""
@@ -378,11 +404,11 @@ class NgramJoin:
         return links, labels
 
     def _few_crossing(self, rows: DataFrame) -> bool:
-        """Whether listing the crossing pairs is less work than two more rounds of pivots."""
+        """Whether listing the crossing pairs is no more work than some further rounds of pivots."""
         groups = rows.groupBy("token", "component").agg(F.count("*").cast("double").alias("n"))
         lists = groups.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
         crossing, read = lists.select(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2), F.sum("n")).first()
-        return (crossing or 0) <= 4 * (read or 0)
+        return (crossing or 0) <= 8 * (read or 0)
 
     def _relabelled(self, labels: DataFrame, new: DataFrame) -> DataFrame:
         """Components after ``new`` links, which connect components."""
