@@ -34,7 +34,7 @@ from pageloom.functions.text import WHITE_SPACE
 from pageloom.llm.tables import texts_of
 
 END = "</w>"
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 LONGEST = 48
 _SPACE_CLASS = "".join(regex.escape(c) for c in WHITE_SPACE)
 #: Control characters that Python takes for white space and the Unicode property does not.

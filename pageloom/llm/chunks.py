@@ -8,54 +8,57 @@ remembered.  A text in which a space meets other white space is encoded as one.
 
 from __future__ import annotations
 
+import re
+
 from tokenizers import Tokenizer
 
-REMEMBERED = 250_000
+REMEMBERED = 1_000_000
+GROUP = 200
+_MEETING = re.compile(r" \s|[^\S ] | \Z")
 LONGEST = 48
 
 
-class _Memory(dict):
-    """Packed results of chunks, each encoded with the space before it.
+class ChunkEncoder:
+    """Encodes whole texts; ``pack`` says what is kept of a chunk's encoding.
 
-    White space at a chunk's end, or an empty chunk, means that the text must not
-    be cut there; such a chunk holds None.
+    Chunks that are new in a batch of texts are encoded together.  ``offsets``
+    says whether ``pack`` needs the tokens' places.
     """
 
-    def __init__(self, pack):
-        super().__init__()
-        self.pack = pack
-
-    def __missing__(self, chunk: str) -> bytes | None:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return None
-        packed = self.pack(" " + chunk)
-        if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = packed
-        return packed
-
-
-class ChunkEncoder:
-    """Encodes whole texts; ``pack`` says what is kept of a chunk's encoding."""
-
-    def __init__(self, path: str, pack):
+    def __init__(self, path: str, pack, offsets: bool):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.encode = self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast
         self._pack = pack
-        self.memory = _Memory(self.pack)
+        self.memory: dict[str, bytes] = {}
+
+    def packed(self, chunks: list[str]) -> list[bytes]:
+        return [self._pack(e) for e in self.encode(chunks, add_special_tokens=False)]
 
-    def pack(self, chunk: str) -> bytes:
-        return self._pack(self.tokenizer.encode(chunk, add_special_tokens=False))
+    def batch(self, texts: list[str]):
+        """For each text its chunks, each with its space, and what is kept of each of them."""
+        for start in range(0, len(texts), GROUP):
+            group = [self._cut(t) for t in texts[start : start + GROUP]]
+            if len(self.memory) >= REMEMBERED:
+                self.memory.clear()
+            new = list(set().union(*group).difference(self.memory))
+            fresh = dict(zip(new, self.packed(new)))
+            kept = {c: p for c, p in fresh.items() if len(c) <= LONGEST}
+            self.memory.update(kept)
+            long = fresh if len(kept) < len(fresh) else None
+            for chunks in group:
+                if long is None:
+                    yield chunks, list(map(self.memory.__getitem__, chunks))
+                else:
+                    yield chunks, [self.memory[c] if c in self.memory else long[c] for c in chunks]
 
-    def parts(self, text: str) -> tuple[list[str], list[bytes]]:
-        """The chunks of a text, each with its space, and what is kept of each of them."""
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """The chunks of a text; the whole text where a space meets other white space."""
+        if not text:
+            return []
+        if _MEETING.search(text):
+            return [text]
         first, *rest = text.split(" ")
-        if rest and not (first and first[-1].isspace()):
-            packed = list(map(self.memory.__getitem__, rest))
-            if None not in packed:
-                head = [self.pack(first)] if first else []
-                # A text that starts with a space has an empty first chunk.
-                return ([first] if first else []) + [" " + c for c in rest], head + packed
-        return ([text], [self.pack(text)]) if text else ([], [])
+        return ([first] if first else []) + [" " + c for c in rest]

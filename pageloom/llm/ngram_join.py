@@ -12,8 +12,8 @@ Groups of near copies may be of any size, so pairs are not listed within them:
 
 1. in each gram's list, all documents are compared with one pivot; links join
    them to components;
-2. this is repeated, with pivots of other components, while lists hold several
-   components and pivots still find links;
+2. this is repeated in long lists that hold several components, with other
+   pivots, while pivots still find links;
 3. what is left are pairs of different components: each of them that shares
    enough prefix grams is compared.
 
@@ -39,7 +39,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.components import components
@@ -52,7 +52,9 @@ POWER_BITS, LEAST_POWER = 22, 3
 #: Bits of the map of repeated grams: eight for each of them, within these bounds (128 MB at most).
 LEAST_MAP_BITS, MOST_MAP_BITS = 20, 30
 BLOCK_BITS = 12
-PIVOT_ROUNDS = 5
+PIVOT_ROUNDS = 6
+#: Longer lists get further pivots before their pairs are listed.
+LONG_LIST = 256
 MAX_BROADCAST_ROWS = 500_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -171,6 +173,11 @@ def _postings_batch(ids: list, sizes: list, prefixes: list, percent: int) -> pa.
     return pa.RecordBatch.from_arrays(arrays, ["token", "doc", "meta"])
 
 
+def _need() -> Column:
+    """Shared grams asked for of a pair: the smaller choice of the two."""
+    return F.least(*(F.shiftright(F.col(c).bitwiseAND(63), 3) for c in ("a_meta", "b_meta")))
+
+
 def _sized(narrow: DataFrame) -> DataFrame:
     """Marks a table of a few numbers a row for broadcast if its counted size allows it."""
     return F.broadcast(narrow) if narrow.count() <= MAX_BROADCAST_ROWS else narrow.hint("merge")
@@ -306,18 +313,16 @@ class NgramJoin:
 
     # -- candidates and links ----------------------------------------------------------------
 
-    def _matching(self, rows: DataFrame) -> DataFrame:
-        """``(a, b)`` of rows ``(a, b, a_meta, b_meta)`` that share enough prefix grams."""
+    def _alike(self) -> Column:
+        """Whether ``a_meta`` and ``b_meta`` allow a link, and their common gram counts for it."""
         size_a, size_b = F.shiftright("a_meta", 6), F.shiftright("b_meta", 6)
-        need = F.least(*(F.shiftright(F.col(c).bitwiseAND(63), 3) for c in ("a_meta", "b_meta")))
         layer = F.greatest(*(F.col(c).bitwiseAND(7) for c in ("a_meta", "b_meta")))
-        return (
-            rows.where((F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * self.percent) & (layer <= need))
-            .groupBy("a", "b")
-            .agg(F.count("*").alias("shared"), F.first(need).alias("need"))
-            .where("shared >= need")
-            .select("a", "b")
-        )
+        return (F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * self.percent) & (layer <= _need())
+
+    def _matching(self, rows: DataFrame) -> DataFrame:
+        """``(a, b)`` of rows ``(a, b, need)`` that share enough prefix grams."""
+        shared = rows.groupBy("a", "b", "need").agg(F.count("*").alias("shared"))
+        return shared.where("shared >= need").select("a", "b")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets are similar; sets are made for documents in pairs only."""
@@ -347,14 +352,15 @@ class NgramJoin:
         return stored(found, "links")
 
     def _pivots(self, lists: DataFrame, salt: int) -> DataFrame:
-        """Rows of lists that hold several components, each with its list's pivot."""
+        """Rows of lists that hold several components, each with its list's pivot and length."""
         head = F.struct(F.xxhash64("doc", F.lit(salt)).alias("h"), "component", "doc")
         heads = (
             lists.groupBy("token")
-            .agg(F.min(head).alias("head"), F.min("component").alias("low"), F.max("component").alias("high"))
+            .agg(F.min(head).alias("head"), F.min("component").alias("low"), F.max("component").alias("high"),
+                 F.count("*").alias("length"))
             .where("low <> high")
-            .selectExpr("token", "head.component AS b_component", "head.doc AS b")
-        )
+            .selectExpr("token", "head.component AS b_component", "head.doc AS b", "length")
+        )
         return lists.join(heads, "token")
 
     def _stars(self, rows: DataFrame) -> DataFrame:
@@ -381,35 +387,34 @@ class NgramJoin:
         labels = lists.select("doc", F.col("doc").alias("component")).distinct()
         stars = self._stars(lists.where("doc <> b"))
         alone = lists.select("token", "doc", "meta")
-        found: list[DataFrame] = []
-        for salt in range(1, PIVOT_ROUNDS + 1):
-            new = self._verified(stars)
+        new = self._verified(stars)
+        found, salt = [new], 1
+        labels = stored(self._relabelled(labels, new), "labels")
+        rows = stored(self._pivots(alone.join(labels, "doc"), salt), "lists")
+        release(self.spark)
+        while salt < PIVOT_ROUNDS:
+            # Only long lists are worth further pivots; the others' pairs are few.
+            long = rows.where((F.col("length") > LONG_LIST) & (F.col("component") != F.col("b_component")))
+            if long.isEmpty():
+                break
+            new = self._verified(self._stars(long))
+            if new.isEmpty():
+                break
+            salt += 1
             found.append(new)
-            many = new.count()
-            if many:
-                labels = stored(self._relabelled(labels, new), "labels")
-            rows = stored(self._pivots(alone.join(labels, "doc"), salt), "lists")
+            labels = stored(self._relabelled(labels, new), "labels")
+            rows = stored(self._pivots(rows.select("token", "doc", "meta").join(labels, "doc"), salt), "lists")
             release(self.spark)
-            if not many or self._few_crossing(rows):
-                break
-            stars = self._stars(rows.where("component <> b_component"))
         if not rows.isEmpty():
             new = self._verified(self._matching(self._crossing(rows)))
             found.append(new)
-            if new.count():
+            if not new.isEmpty():
                 labels = stored(self._relabelled(labels, new), "labels")
         links = found[0]
         for more in found[1:]:
             links = links.unionByName(more)
         return links, labels
 
-    def _few_crossing(self, rows: DataFrame) -> bool:
-        """Whether listing the crossing pairs is no more work than some further rounds of pivots."""
-        groups = rows.groupBy("token", "component").agg(F.count("*").cast("double").alias("n"))
-        lists = groups.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
-        crossing, read = lists.select(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2), F.sum("n")).first()
-        return (crossing or 0) <= 8 * (read or 0)
-
     def _relabelled(self, labels: DataFrame, new: DataFrame) -> DataFrame:
         """Components after ``new`` links, which connect components."""
         a = labels.select(F.col("doc").alias("a"), F.col("component").alias("ca"))
@@ -421,15 +426,24 @@ class NgramJoin:
         )
 
     def _crossing(self, rows: DataFrame) -> DataFrame:
-        """All pairs of different components in a list; none within a component."""
-        rows = rows.select("token", "component", "doc", "meta")
-        groups = rows.select("token", "component").distinct()
-        a = groups.select("token", F.col("component").alias("ca"))
-        b = groups.select("token", F.col("component").alias("cb"))
-        pairs = a.join(b, "token").where("ca < cb")
-        left = rows.select("token", F.col("component").alias("ca"), F.col("doc").alias("a"), F.col("meta").alias("a_meta"))
-        right = rows.select("token", F.col("component").alias("cb"), F.col("doc").alias("b"), F.col("meta").alias("b_meta"))
-        return pairs.join(left, ["token", "ca"]).join(right, ["token", "cb"]).select("a", "b", "a_meta", "b_meta")
+        """``(a, b, need)`` for all pairs of different components in a list.
+
+        Short lists are joined with themselves.  In a long one, components are
+        paired first, so that no pair within a component is looked at.
+        """
+        named = [F.col(c).alias(f"{side}{c}") for side in ("a_", "b_") for c in ("component", "doc", "meta")]
+        short, long = (rows.where(f"length {sign} {LONG_LIST}") for sign in ("<=", ">"))
+        one, other = short.select("token", *named[:3]), short.select("token", *named[3:])
+        pairs = one.join(other, "token").where("a_component < b_component")
+        groups = long.select("token", "component").distinct()
+        keys = [groups.select("token", F.col("component").alias(f"{side}component")) for side in ("a_", "b_")]
+        crossing = (
+            keys[0].join(keys[1], "token").where("a_component < b_component")
+            .join(long.select("token", *named[:3]), ["token", "a_component"])
+            .join(long.select("token", *named[3:]), ["token", "b_component"])
+        )
+        wanted = [F.col("a_doc").alias("a"), F.col("b_doc").alias("b"), _need().alias("need")]
+        return pairs.where(self._alike()).select(wanted).unionByName(crossing.where(self._alike()).select(wanted))
 
     def result(self) -> DataFrame:
         """``(doc_id, n_shingles, class_id, component_id)`` for every row.

@@ -22,6 +22,7 @@ are packed each; with an empty table the result is empty.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -49,15 +50,15 @@ Solution = Counter
 
 
 def _pack_ids(encoding) -> bytes:
-    return np.array(encoding.ids, "<u4").tobytes()
+    return struct.pack(f"<{len(encoding)}I", *encoding.ids)
 
 
-def document_ids(text: str, path: str) -> np.ndarray:
-    """Token ids of a whole text and the end token."""
+def document_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
+    """Token ids of each whole text and the end token."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path, _pack_ids)
-    _, packed = _encoders[path].parts(text)
-    return np.frombuffer(b"".join([*packed, END_ID.to_bytes(4, "little")]), "<u4")
+        _encoders[path] = ChunkEncoder(path, _pack_ids, offsets=False)
+    for _, packed in _encoders[path].batch(texts):
+        yield np.frombuffer(b"".join([*packed, END_ID.to_bytes(4, "little")]), "<u4")
 
 
 def cut(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -73,8 +74,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = document_ids(text.as_py(), path)
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), document_ids(batch["text"].to_pylist(), path)):
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length])))
             columns = zip(*rows) if rows else [[]] * 5

@@ -37,15 +37,15 @@ def _pack_spans(encoding) -> bytes:
     return np.array(encoding.offsets, np.int32).reshape(-1, 2).tobytes()
 
 
-def token_spans(text: str, path: str) -> np.ndarray:
-    """``(start, end)`` of every token of a whole text, in characters."""
+def token_spans(texts: list[str], path: str) -> Iterator[np.ndarray]:
+    """``(start, end)`` of every token of each whole text, in characters."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path, _pack_spans)
-    chunks, packed = _encoders[path].parts(text)
-    counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
-    lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-    spans = np.frombuffer(b"".join(packed), np.int32).reshape(-1, 2).astype(np.int64)
-    return spans + np.repeat(np.cumsum(lengths) - lengths, counts)[:, None]
+        _encoders[path] = ChunkEncoder(path, _pack_spans, offsets=True)
+    for chunks, packed in _encoders[path].batch(texts):
+        counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        spans = np.frombuffer(b"".join(packed), np.int32).reshape(-1, 2).astype(np.int64)
+        yield spans + np.repeat(np.cumsum(lengths) - lengths, counts)[:, None]
 
 
 def section_edges(text: str) -> np.ndarray:
@@ -89,9 +89,9 @@ def count_by_section(docs: DataFrame, path: str, rule: str = "most") -> DataFram
         for batch in batches:
             columns: list[list] = [[], [], [], [], [], []]
             repeats, ids, totals = [], batch["doc_id"].to_pylist(), []
-            for text in batch["text"]:
-                text = text.as_py()
-                spans, edges = token_spans(text, path), section_edges(text)
+            texts = batch["text"].to_pylist()
+            for text, spans in zip(texts, token_spans(texts, path)):
+                edges = section_edges(text)
                 counts, crosses = allocate(spans, edges, rule)
                 for column, values in zip(columns, (np.arange(len(counts)), edges[:-1], edges[1:], counts, crosses)):
                     column.append(values)
