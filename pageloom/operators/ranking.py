@@ -34,9 +34,14 @@ def ordered_rank(
     # One row per group and partition it touches: partitions plus groups, not rows.
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # Null-safe, so that rows without a group keep their ranks as a group of their own.
+    ranked, same = stored.withColumn("_local", F.row_number().over(local)), F.lit(True)
+    offsets = offsets.drop("_n").withColumnsRenamed({key: f"_of_{key}" for key in ["_part", *group]})
+    for key in ["_part", *group]:
+        same &= ranked[key].eqNullSafe(offsets[f"_of_{key}"])
     return (
-        stored.withColumn("_local", F.row_number().over(local))
-        .join(offsets.drop("_n"), ["_part", *group])
+        ranked.join(offsets, same)
+        .drop(*(f"_of_{key}" for key in ["_part", *group]))
         .withColumn(name, F.col("_local") + F.col("_before"))
         .drop("_part", "_local", "_before")
     )

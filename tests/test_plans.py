@@ -108,3 +108,11 @@ def test_store_files(spark, tmp_path):
         store.append(store.entries(frame, F.col("ts")), path)
     store.compact(spark.read.parquet(path), F.lit(at(5)), str(tmp_path / "clean"))
     assert [r.value for r in spark.read.parquet(str(tmp_path / "clean")).collect()] == ["v1"]
+
+
+def test_schedule_keeps_rows_without_host(spark):
+    from pageloom.plans.fetch import fetch_schedule
+
+    rows = [("h", 1), ("h", 2), (None, 3), (None, 4)]
+    plan = fetch_schedule(spark.createDataFrame(rows, "host string, id int"), ["id"], 1.0, 0)
+    assert sorted((r["id"], r["rank"]) for r in plan.collect()) == [(1, 1), (2, 2), (3, 1), (4, 2)]
