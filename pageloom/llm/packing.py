@@ -22,7 +22,6 @@ are packed each; with an empty table the result is empty.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -49,14 +48,10 @@ Solution = Counter
 # -- pieces ---------------------------------------------------------------------------------
 
 
-def _pack_ids(encoding) -> bytes:
-    return struct.pack(f"<{len(encoding)}I", *encoding.ids)
-
-
 def document_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
     """Token ids of each whole text and the end token."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path, _pack_ids, offsets=False)
+        _encoders[path] = ChunkEncoder(path, offsets=False)
     for _, packed in _encoders[path].batch(texts):
         yield np.frombuffer(b"".join([*packed, END_ID.to_bytes(4, "little")]), "<u4")
 

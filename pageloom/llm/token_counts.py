@@ -33,14 +33,10 @@ SCHEMA = (
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def _pack_spans(encoding) -> bytes:
-    return np.array(encoding.offsets, np.int32).reshape(-1, 2).tobytes()
-
-
 def token_spans(texts: list[str], path: str) -> Iterator[np.ndarray]:
     """``(start, end)`` of every token of each whole text, in characters."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path, _pack_spans, offsets=True)
+        _encoders[path] = ChunkEncoder(path, offsets=True)
     for chunks, packed in _encoders[path].batch(texts):
         counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
