@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 BYTES_PER_BUCKET = 256 * 1024 * 1024
-MAX_SENSIBLE_BYTES = 1 << 58  # beyond this the optimizer has no idea of the size
 
 
 _local_folders: dict[str, str] = {}  # application id -> folder, local mode only
@@ -48,22 +47,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Size of the inputs ``df`` is made from; nothing is run.
+    """Size of the files ``df`` is made from; nothing is run.
 
     The estimate of the whole plan is no use here: it multiplies the sizes of
-    joined tables.
+    joined tables, and a checkpointed table keeps such an estimate.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    each = (leaves.apply(i) for i in range(leaves.size()))
+    return sum(int(leaf.stats().sizeInBytes()) for leaf in each if leaf.nodeName() != "LogicalRDD")
+
+
+def buckets_for(size: int, least: int, most: int) -> int:
+    """Buckets for ``size`` bytes; beyond ``most`` of them, which Spark allows, they only get larger."""
+    return min(max(least, -(-size // BYTES_PER_BUCKET)), most)
 
 
 def bucket_count(source: DataFrame) -> int:
-    """Buckets for tables made from ``source``: by its size, at least one per core."""
+    """Buckets for tables made from ``source``: by the size of its files, at least one per core."""
     spark = source.sparkSession
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
     size = estimated_bytes(source)
-    if size > MAX_SENSIBLE_BYTES:
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(spark.sparkContext.defaultParallelism, -(-size // BYTES_PER_BUCKET))
+    # Without files the size is unknown, and the session's own setting has to do.
+    least = spark.sparkContext.defaultParallelism if size else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return buckets_for(size, least, most)
 
 
 def store_by(df: DataFrame, key: str, buckets: int) -> DataFrame:

@@ -76,7 +76,7 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if estimated_bytes(df) < cores * SMALL_SPLIT else df
+    return df.repartition(cores) if 0 < estimated_bytes(df) < cores * SMALL_SPLIT else df
 
 
 def _shred_batches(

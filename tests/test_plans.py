@@ -8,6 +8,7 @@ from pageloom.operators.ranking import first_per_group, ordered_rank
 from pageloom.plans.config import RetryConfig
 from pageloom.plans.fetch import fetch_schedule
 from pageloom.plans.retry import is_retryable, retry_plan
+from pageloom.session import bucket_count, buckets_for, cut_lineage, estimated_bytes
 
 T0 = datetime(2024, 1, 1)
 
@@ -116,3 +117,19 @@ def test_schedule_keeps_rows_without_host(spark):
     rows = [("h", 1), ("h", 2), (None, 3), (None, 4)]
     plan = fetch_schedule(spark.createDataFrame(rows, "host string, id int"), ["id"], 1.0, 0)
     assert sorted((r["id"], r["rank"]) for r in plan.collect()) == [(1, 1), (2, 2), (3, 1), (4, 2)]
+
+
+def test_buckets_stay_legal_at_any_size(spark):
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    assert buckets_for(100 * 10**12, 8, most) == most
+    assert buckets_for(1 << 30, 2, most) == 4
+    assert buckets_for(1, 8, most) == 8
+
+
+def test_buckets_follow_files_not_checkpoints(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    ids = pages.select("page_id")
+    reached = cut_lineage(ids.join(ids.withColumnRenamed("page_id", "other"), F.col("page_id") <= F.col("other")))
+    joined = pages.join(reached, "page_id", "left_semi")
+    assert 0 < estimated_bytes(joined) <= 2 * estimated_bytes(pages)
+    assert bucket_count(joined) == spark.sparkContext.defaultParallelism
