@@ -25,6 +25,10 @@ WHITE_SPACE = (
 # What the regular expression class \s covers in ASCII.
 ASCII_SPACE = "\t\n\x0c\r "
 
+# What HTML reads the references to 128..159 as; five of them stay as they are.
+C1_CHARACTERS = "\u20ac\x81\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\x8d\u017d\x8f" \
+    "\x90\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\x9d\u017e\u0178"
+
 _names = itertools.count()
 
 
@@ -113,8 +117,9 @@ def _decode_reference(token: str) -> str:
     code = f"try_cast(if({matches(token, '^&#[xX]')}, conv({hexadecimal}, 16, 10), {decimal}) AS BIGINT)"
     character = let(
         code,
-        lambda n: f"if({n} BETWEEN 1 AND 1114111 AND {n} NOT BETWEEN 55296 AND 57343,"
-        f" decode(unhex(lpad(hex({n}), 8, '0')), 'utf-32'), '\\uFFFD')",
+        lambda n: f"CASE WHEN {n} BETWEEN 128 AND 159 THEN substring({literal(C1_CHARACTERS)}, int({n}) - 127, 1)"
+        f" WHEN {n} BETWEEN 1 AND 1114111 AND {n} NOT BETWEEN 55296 AND 57343"
+        f" THEN decode(unhex(lpad(hex({n}), 8, '0')), 'utf-32') ELSE '\\uFFFD' END",
     )
     return (
         f"CASE WHEN NOT startswith({token}, '&') OR length({token}) = 1 THEN {token}"

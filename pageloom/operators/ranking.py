@@ -56,7 +56,14 @@ def first_per_group(
     as well, so a task gets at most ``size`` rows of a group per input partition.
     A larger one would let a hot group fill one task, so it goes by exact ranks.
     """
+    return first_ranks(df, group, order, size, "_rank").drop("_rank")
+
+
+def first_ranks(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], size: int, name: str = "rank"
+) -> DataFrame:
+    """Like ``first_per_group``, with the rows' ranks as ``name``."""
     if size > SMALL_LIMIT:
-        return ordered_rank(df, group, order, "_rank").where(F.col("_rank") <= size).drop("_rank")
+        return ordered_rank(df, group, order, name).where(F.col(name) <= size)
     place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("_rank", place).where(F.col("_rank") <= size).drop("_rank")
+    return df.withColumn(name, place).where(F.col(name) <= size)

@@ -17,7 +17,7 @@ from pageloom.functions.text import literal
 from pageloom.functions.urls import normalize_url, normalized_host
 from pageloom.operators.frontier import fetch_outcome, frontier_step, seed_level
 from pageloom.operators.links import captures, extract_links, literal_allowlist
-from pageloom.operators.ranking import first_per_group
+from pageloom.operators.ranking import first_per_group, first_ranks
 from pageloom.plans.config import CrawlConfig
 from pageloom.session import bucket_count, cut_lineage, store_by
 
@@ -31,7 +31,9 @@ def crawl(
 
     ``seeds(site, start_url)`` starts one crawl per site, each with its own
     visited set and page limit.  ``allowed(domain)`` is an allowlist of any size
-    and replaces ``config.allowed_domains``.
+    and replaces ``config.allowed_domains``.  A site's crawl ends with the page
+    that fills its limit: what would come after it, in order of depth and
+    discovery, is not visited.
     """
     first = cut_lineage(seed_level(seeds))
     usable = _reachable(pages.where("html IS NOT NULL"), first, config, allowed)
@@ -44,6 +46,8 @@ def crawl(
     level = first
     for depth in range(config.max_depth + 1):
         outcome = cut_lineage(fetch_outcome(level, captured))
+        if config.max_pages is not None:
+            outcome = cut_lineage(_within_limit(outcome, levels, config.max_pages, one_site))
         levels.append(outcome)
         if depth == config.max_depth:
             break
@@ -104,6 +108,21 @@ def _edges(
     )
 
 
+def _within_limit(level: DataFrame, earlier: list[DataFrame], max_pages: int, one_site: bool) -> DataFrame:
+    """Rows of a level up to the page that fills its site's limit."""
+    ranked = first_ranks(level.where("fetched").select("site", "path"), ["site"], ["path"], max_pages, "_rank")
+    if earlier:
+        fetched = reduce(DataFrame.unionByName, earlier).where("fetched")
+        ranked = ranked.join(fetched.groupBy("site").agg(F.count("*").alias("_before")), "site", "left")
+    else:
+        ranked = ranked.withColumn("_before", F.lit(0))
+    filled = F.col("_rank") + F.coalesce("_before", F.lit(0)) == max_pages
+    last = ranked.where(filled).select("site", F.col("path").alias("_last"))
+    # At most one row per site; of a single crawl, at most one at all.
+    joined = level.join(F.broadcast(last) if one_site else last, "site", "left")
+    return joined.where("_last IS NULL OR path <= _last").select(level.columns)
+
+
 def _open_sites(level: DataFrame, visited: DataFrame, config: CrawlConfig) -> DataFrame:
     """Drop sites that already have ``max_pages`` results: they need no further level."""
     if config.max_pages is None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.urls import url_filename
+from pageloom.operators.ranking import ordered_rank
 
 # Head of a document and the blank line rules around it; two spaces force a line break.
 _DOCUMENT = r"""concat('# ', url, '\n\n**Source URL:** ', url, '  \n**Depth:** ', depth, '  \n\n---\n\n',
@@ -33,28 +34,44 @@ def export_layout(results: DataFrame, path: str) -> DataFrame:
     )
 
 
-def document_files(results: DataFrame, order: list[str], index: str = "0") -> DataFrame:
+def document_files(results: DataFrame, order: list[str], index: str | None = None) -> DataFrame:
     """Adds ``file``; of pages with the same file name the last by ``order`` stays.
 
+    ``order`` and ``url`` together name a row and must be unique; NULL URLs and
+    several captures of one URL are allowed.  ``index`` is the zero-based number
+    for URLs no name can be made of, by default a row's place in ``order``.
+
     URLs that differ only in their query share a name, so one name may be very
     frequent.  The winner is found by an aggregate over narrow columns with
     map-side combine; page texts take part only in the last join.
-    ``index`` is the zero-based number for URLs no name can be made of.
     """
-    named = results.withColumn("file", F.expr(url_filename("url", index)))
-    winners = (
-        named.groupBy("file")
-        .agg(F.max_by("url", F.struct(*order, "url")).alias("url"))
-        .select("file", "url")
-    )
-    return named.join(winners, ["file", "url"], "left_semi")
+    keys = list(dict.fromkeys([*order, "url"]))
+    if index is None:
+        numbered = ordered_rank(results.select(keys), [], keys, "_index").withColumn("_index", F.col("_index") - 1)
+    else:
+        numbered = results.select(*keys, F.expr(index).alias("_index"))
+    named = numbered.select(F.expr(url_filename("url", "_index")).alias("file"), F.struct(*keys).alias("_key"))
+    winners = named.groupBy("file").agg(F.max("_key").alias("_key"))
+    # Fields of a struct compare NULL with NULL as equal, so no row without a URL is lost.
+    return results.withColumn("_key", F.struct(*keys)).join(winners, "_key").drop("_key")
+
+
+def write_document_table(results: DataFrame, path: str, order: list[str], parts: int) -> None:
+    """The page documents as ``(file, document)`` in ``parts`` Parquet files sorted by ``file``.
+
+    The form for any number of pages: few files are listed and committed, and a
+    lookup by name reads the one part whose range holds it.
+    """
+    chosen = page_documents(document_files(results, order)).select("file", "document")
+    chosen.repartitionByRange(parts, "file").sortWithinPartitions("file").write.parquet(path)
 
 
 def write_documents(results: DataFrame, path: str, order: list[str]) -> str:
     """Write result pages below ``path`` and return the target.
 
-    In directory mode every page gets its own folder ``file=<name>``; in file
-    mode the target holds one text part.
+    In directory mode every page gets its own folder ``file=<name>``, which suits
+    exports of some thousands of pages; ``write_document_table`` takes any number.
+    In file mode the target holds one text part.
     """
     layout = export_layout(results, path).first()
     # The text writer ends every value with a line end of its own.

@@ -13,6 +13,8 @@ import html as _html
 import re
 from html.entities import html5
 
+from pageloom.functions.text import C1_CHARACTERS
+
 # Element classes of the HTML standard.
 VOID = frozenset(
     "area base basefont bgsound br col embed frame hr img input keygen link meta param source"
@@ -60,11 +62,31 @@ _TAG_END = re.compile(r"[\s/]*>")
 _REFERENCE = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)(=?)")
 
 
+def _character(number: str) -> str:
+    """The character of a numeric reference such as ``#65;``; none is left out."""
+    hexadecimal = number[1] in "xX"
+    digits = number[1 + hexadecimal :].rstrip(";").lstrip("0")
+    code = int(digits or "0", 16 if hexadecimal else 10) if len(digits) < 8 else -1
+    if 128 <= code <= 159:
+        return C1_CHARACTERS[code - 128]
+    return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else "\ufffd"
+
+
+def decode_text(text: str) -> str:
+    """Decode character references by the rule for text, where a known name may be followed by letters."""
+
+    def decode(match: re.Match) -> str:
+        name, equals = match.groups()
+        return (_character(name) if name[0] == "#" else _html.unescape("&" + name)) + equals
+
+    return _REFERENCE.sub(decode, text) if "&" in text else text
+
+
 def _attribute_value(value: str) -> str:
     def decode(match: re.Match) -> str:
         name, equals = match.groups()
         if name[0] == "#":
-            return _html.unescape("&" + name) + equals
+            return _character(name) + equals
         if name not in html5 or (equals and not name.endswith(";")):
             return match.group()
         return html5[name] + equals
@@ -111,7 +133,7 @@ class TreeBuilder:
                 lt = text.find("<", lt + 1)
             stop = end if lt == -1 else lt
             if stop > at:
-                self.add_text(_html.unescape(text[at:stop]))
+                self.add_text(decode_text(text[at:stop]))
             if lt == -1:
                 break
             at = self.markup(lt)
@@ -148,7 +170,7 @@ class TreeBuilder:
             if tag == "textarea":
                 content = content.removeprefix("\n")
             if content and self.stack[-1].tag == tag:
-                raw = content if tag in RAW_TEXT else _html.unescape(content)
+                raw = content if tag in RAW_TEXT else decode_text(content)
                 self.stack[-1].append(Node(tag, kind="text", text=raw))
             at = stop
         elif tag in ("pre", "listing") and text.startswith("\n", at):

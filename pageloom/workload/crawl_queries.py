@@ -29,7 +29,7 @@ from pageloom.workload.content_queries import ORACLES as CONTENT_ORACLES
 from pageloom.workload.oracles import ARTICLE, CRAWL, LINKS, bfs, host, norm
 from pageloom.workload.tables import attempts, linked_pages, pages, results, table
 
-DEPTH, MAX_PAGES = 4, 60
+DEPTH, MAX_PAGES, LARGE_LIMIT = 4, 60, 120
 AS_OF = "2024-01-20 00:00:00"
 
 
@@ -82,6 +82,15 @@ def crawl_summary(spark, sf_dir):
     return crawl_totals(_visited(spark, sf_dir)[0])
 
 
+def crawl_level_stats_limited(spark, sf_dir):
+    return level_stats(_visited(spark, sf_dir, MAX_PAGES)[0])
+
+
+def crawl_summary_limited(spark, sf_dir):
+    """Totals of a crawl that its page limit ends; the limit is one that needs exact ranks."""
+    return crawl_totals(_visited(spark, sf_dir, LARGE_LIMIT)[0])
+
+
 def crawl_summary_lines(spark, sf_dir):
     return summary_lines(crawl_results(*_visited(spark, sf_dir))).select("number", "line")
 
@@ -93,7 +102,7 @@ def crawl_results_query(spark, sf_dir):
 
 def crawl_report(spark, sf_dir):
     """The JSON report of a whole crawl, one row per line group."""
-    found = crawl_results(*_visited(spark, sf_dir, depth=2))
+    found = crawl_results(*_visited(spark, sf_dir))
     rows = result_pages(linked_pages(spark, sf_dir), found)
     return report_lines(rows, "https://start.example/").select("section", "text")
 
@@ -218,6 +227,8 @@ QUERIES = {
     "crawl_level_stats": crawl_level_stats,
     "crawl_links_added": crawl_links_added,
     "crawl_summary": crawl_summary,
+    "crawl_level_stats_limited": crawl_level_stats_limited,
+    "crawl_summary_limited": crawl_summary_limited,
     "crawl_summary_lines": crawl_summary_lines,
     "crawl_results": crawl_results_query,
     "crawl_report": crawl_report,
@@ -255,6 +266,16 @@ _NUMBERED = f"""{bfs(DEPTH)},
 num AS (SELECT b.*, c.page_id, row_number() OVER (ORDER BY depth, path) AS number
         FROM best b JOIN cap c USING (url))"""
 
+
+def _limited(limit: int) -> str:
+    """``seen``: URLs visited until the page that fills the limit, in order of depth and path."""
+    return f"""{bfs(DEPTH)},
+got AS (SELECT b.depth, b.path, row_number() OVER (ORDER BY b.depth, b.path) AS n FROM best b JOIN cap USING (url)),
+seen AS (SELECT b.depth, b.url IN (SELECT url FROM cap) AS fetched FROM best b
+         WHERE NOT EXISTS (SELECT 1 FROM got WHERE n = {limit}
+               AND (b.depth > got.depth OR b.depth = got.depth AND b.path > got.path)))"""
+
+
 ORACLES = {
     "fetch_outcome": f"""
         WITH {LINKS}, cap AS (SELECT url, min(page_id) AS page_id FROM pg GROUP BY url),
@@ -295,6 +316,12 @@ ORACLES = {
         WITH RECURSIVE {bfs(DEPTH)}
         SELECT count(*) AS n_visited, count(cap.url) AS n_results, max(depth) AS max_depth
         FROM least LEFT JOIN cap USING (url)""",
+    "crawl_level_stats_limited": f"""
+        WITH RECURSIVE {_limited(MAX_PAGES)}
+        SELECT depth, count(*) AS n_urls, count(*) FILTER (fetched) AS n_fetched FROM seen GROUP BY depth""",
+    "crawl_summary_limited": f"""
+        WITH RECURSIVE {_limited(LARGE_LIMIT)}
+        SELECT count(*) AS n_visited, count(*) FILTER (fetched) AS n_results, max(depth) AS max_depth FROM seen""",
     "crawl_summary_lines": f"""
         WITH RECURSIVE {_NUMBERED}
         SELECT number, '[' || number || '] ' || url || ' (depth: ' || depth || ')' AS line FROM num""",
@@ -302,7 +329,7 @@ ORACLES = {
         WITH RECURSIVE {bfs(DEPTH)}, {ARTICLE}
         SELECT least.url, markdown, depth FROM least JOIN cap USING (url) JOIN mdd USING (page_id)""",
     "crawl_report": f"""
-        WITH RECURSIVE {bfs(2)}, {ARTICLE},
+        WITH RECURSIVE {bfs(DEPTH)}, {ARTICLE},
         num AS (SELECT b.url, depth, markdown, row_number() OVER (ORDER BY depth DESC, path DESC) AS back
                 FROM best b JOIN cap c USING (url) JOIN mdd USING (page_id))
         SELECT 0 AS section, '{{' || chr(10) || '  "pages": [' AS text

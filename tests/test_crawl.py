@@ -63,7 +63,10 @@ def test_limits(pages):
     visited = crawl_site(pages, f"{H}/", config)
     results = crawl_results(visited, config)
     assert sorted(r.url[len(H) :] for r in results.collect()) == ["/", "/a", "/b"]
-    assert "/e" not in seen(visited)  # enough pages after depth 1
+    assert set(seen(visited)) == {"/", "/a", "/b"}  # what comes after the third page is not visited
+    assert tuple(crawl_totals(visited).first()) == (3, 3, 1)
+    assert {r.depth: r.n_urls for r in level_stats(visited).collect()} == {0: 1, 1: 2}
+    assert {r.url[len(H) :]: r.n_added for r in links_added(visited).collect()} == {"/": 2}
 
 
 def test_allowlist(pages):

@@ -21,6 +21,7 @@ MESSY = [
     "<!--><a href='/after-short-comment'>x</a><!-- open <a href='/no'>",
     "<a href='/e&eacute;&#x41;&lt'>x</a></a href='/no'><a>none</a>",
     "plain < text <3 <a href='/lt'>x</a> <",
+    "".join(f"<a href='/n{i}&#{i};z&#x{i:x};'>r</a>" for i in [*range(300), 0xD7FF, 0xD800, 0xFFFE, 0x1F600, 0x110000]),
 ]
 
 

@@ -4,7 +4,13 @@ import os
 from pageloom.operators.links import extract_links
 from pageloom.plans.convert import pages_to_markdown
 from pageloom.session import new_folder
-from pageloom.sinks.documents import document_files, export_layout, page_documents, write_documents
+from pageloom.sinks.documents import (
+    document_files,
+    export_layout,
+    page_documents,
+    write_document_table,
+    write_documents,
+)
 from pageloom.sinks.report import report_lines, summary_lines, write_report, write_results
 from pageloom.sources.pages import read_page_files, read_pages, stream_pages
 from pageloom.streaming.flows import append_stream, convert_stream, link_stream, store_stream, visited_stream
@@ -128,3 +134,19 @@ def test_store_stream(spark, tmp_path):
     out = str(tmp_path / "store")
     store_stream(stream, out, out + "-state").awaitTermination()
     assert spark.read.parquet(out).count() == 1
+
+
+def test_no_page_is_lost_to_its_name(spark, tmp_path):
+    rows = [
+        ("https://h.example/", "first", 0, []),
+        ("http://[bad", "x", 1, [0]),
+        (None, "y", 1, [1]),
+        ("::", "z", 1, [2]),
+        ("https://h.example/", "second capture", 1, [3]),
+    ]
+    got = {r.file: r.markdown for r in document_files(results(spark, rows), ["depth", "path"]).collect()}
+    assert got == {"h_example_index.md": "second capture", "page_002.md": "x", "page_003.md": "y", "page_004.md": "z"}
+    path = str(tmp_path / "table")
+    write_document_table(results(spark, rows), path, ["depth", "path"], 2)
+    back = {r.file: r.document for r in spark.read.parquet(path).collect()}
+    assert set(back) == set(got) and back["h_example_index.md"].endswith("---\n\nsecond capture\n")

@@ -1,6 +1,6 @@
 import pytest
 
-from pageloom.sources.tree import VOID, TreeBuilder, flatten
+from pageloom.sources.tree import VOID, TreeBuilder, decode_text, flatten
 
 CASES = [
     ("<b><p>x</b>y</p>", "<b></b><p><b>x</b>y</p>"),
@@ -71,3 +71,9 @@ def test_depth_is_bounded_and_text_kept():
     rows, _ = flatten(TreeBuilder(html).build())
     assert max(row[3] for row in rows) <= 513
     assert "".join(r[0].text for r in rows if r[0].kind == "text") == "xy"
+
+
+def test_no_reference_is_dropped():
+    assert decode_text("a&#1;b&#146;&#xFDD0;&#0;&copyx &amp= &#99999999999999999999;&nope;") == (
+        "a\x01b\u2019\ufdd0\ufffd\xa9x &= \ufffd&nope;"
+    )

@@ -150,6 +150,7 @@ def test_attribute_references(spark):
         ("&nope;&", "&nope;&"),
         ("&ampx=1", "&ampx=1"),
         ("&#0;&#xD800;&#xFFFFFFFFFFFFFFFFFFFF;&#99999999999999999999;", "\ufffd" * 4),
+        ("/x&#146;y&#x80;&#129;&#1;", "/x\u2019y\u20ac\x81\x01"),
     ]
     got = evaluate(spark, [c[:1] for c in cases], ["v"], decode_attribute("v"))
     assert got == [c[1] for c in cases]
