@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.components import components
-from pageloom.llm.tables import release, stored, texts_of
+from pageloom.llm.tables import arrow_batches, release, stored, texts_of
 
 WORDS, PERCENT = 5, 80
 MOST_MATCHES = 4
@@ -56,6 +56,8 @@ PIVOT_ROUNDS = 6
 #: Longer lists get further pivots before their pairs are listed.
 LONG_LIST = 256
 MAX_BROADCAST_ROWS = 500_000
+#: A batch of sets is copied a few times in a worker, and each core has one.
+BATCH_BYTES = 16 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FACTORS = np.array([0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -465,7 +467,8 @@ class NgramJoin:
 
 def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, class_id, component_id)`` for every row of ``docs``."""
-    return NgramJoin(docs, words, percent).result()
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return NgramJoin(docs, words, percent).result()
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
