@@ -6,12 +6,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pageloom.llm import bpe, exact_dedup, ngram_join, packing, pii, quality, secret_scan, token_counts, topk, wrappers
 from pageloom.llm.components import components
 from pageloom.llm.queries import TOKENIZERS
+from pageloom.llm.tables import arrow_batches
 
 BYTE, WORD = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
 PROSE = "the quick brown fox jumps over the lazy dog while seven wizards watch from a distant hill in the rain"
@@ -261,3 +263,20 @@ def test_pipeline_stages(spark):
         docs = kept
     packed = corpus_pipeline.run(spark, sf_dir)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_batch_size_holds_inside_only(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": pa.array([batch.nbytes], pa.int64())})
+
+    def largest():
+        texts = spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 1000) AS t")
+        return max(r.size for r in texts.mapInArrow(sizes, "size bigint").collect())
+
+    with arrow_batches(spark, 1 << 18):
+        assert largest() < 1 << 20
+    assert spark.conf.get(key) == before and largest() > 1 << 20
