@@ -2,11 +2,14 @@
 
 ``assign``, ``access`` and ``hex`` are the base kinds: leftmost, non-overlapping
 matches that meet a kind's least length; they always stay.  The method adds
-``novel`` spans: near a word such as "secret" or "token", each run of key-like
-characters that no base span covers is a candidate.  Its novelty is the number of
-bytes by which it lengthens the compressed text around it; the compressor is
-primed with a dictionary of identifiers.  Words and identifiers are cheap there;
-a candidate that stays incompressible is reported.
+``novel`` spans: each run of key-like characters that no base span touches is a
+candidate if it is within reach of a word such as "secret" or "token", before or
+behind it, or of a reported span of any kind.  So a key of many lines is followed
+from its first line to its last.  A candidate's novelty is the number of bytes by
+which it lengthens the compressed text around it, other candidates left out (the
+lines of one key make each other cheap); the compressor is primed with a dictionary
+of identifiers.  Words and identifiers are cheap there; a candidate that stays
+incompressible is reported.
 
 Defined results: NULL text is empty; places are code points; repeated rows give
 repeated results; an empty table gives an empty result.
@@ -16,7 +19,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -36,8 +40,6 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _NEAR_WORDS = ("secret", "token", "passw", "credential", "bearer", "api_key", "apikey", "api-key", "private", "auth")
 _NEAR = re.compile("(?ai:" + "|".join(_NEAR_WORDS) + ")")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
-_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
 REACH = 96
 AROUND = 512
 LEAST_NOVELTY = 0.75
@@ -60,12 +62,10 @@ class Novelty:
         primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False)
 
-    def marginal(self, text: str, start: int, end: int) -> int:
-        before = text[max(0, start - AROUND) : start].encode("utf-8", "replace")
-        after = text[end : end + AROUND].encode("utf-8", "replace")
-        own = text[start:end].encode("utf-8", "replace")
+    def marginal(self, before: str, own: str, after: str) -> int:
         # The text around comes first, so that the candidate can be copied from either side.
-        return len(self.compressor.compress(after + before + own)) - len(self.compressor.compress(after + before))
+        around, own = (after + before).encode("utf-8", "replace"), own.encode("utf-8", "replace")
+        return len(self.compressor.compress(around + own)) - len(self.compressor.compress(around))
 
 
 _novelty: list[Novelty] = []
@@ -83,30 +83,66 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def _around(text: str, runs: list[tuple[int, int]], k: int) -> tuple[str, str]:
+    """``AROUND`` characters before and behind candidate ``k``, other candidates left out."""
+    before, after = [], []
+    need, at, j = AROUND, runs[k][0], k - 1
+    while need and at:
+        low = max(at - need, runs[j][1] if j >= 0 else 0)
+        before.append(text[low:at])
+        need -= at - low
+        at, j = (runs[j][0], j - 1) if j >= 0 else (0, j)
+    need, at, j = AROUND, runs[k][1], k + 1
+    while need and at < len(text):
+        high = min(at + need, runs[j][0] if j < len(runs) else len(text))
+        after.append(text[at:high])
+        need -= high - at
+        at, j = (runs[j][1], j + 1) if j < len(runs) else (len(text), j)
+    return "".join(reversed(before)), "".join(after)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Incompressible candidates near sensitive words that no base span touches."""
+    """Incompressible candidates within reach of sensitive words or reported spans, untouched by base spans."""
     low = text.lower()
-    if not any(w in low for w in _NEAR_WORDS):
+    sensitive = [(start, end) for start, _, end in base]
+    if any(w in low for w in _NEAR_WORDS):
+        sensitive = sorted(sensitive + [m.span() for m in _NEAR.finditer(text)])
+    if not sensitive:
         return []
-    found: dict[int, int] = {}
-    for word in _NEAR.finditer(text):
-        # Candidates start within reach of the word; one that meets the window's end goes on behind it.
-        for m in _CANDIDATE.finditer(text, word.end(), word.end() + REACH + 16):
-            if m.start() not in found:
-                found[m.start()] = _RUN.match(text, m.start()).end()
-    starts, reach, spans = [s for s, _, _ in base], [], []
-    for _, _, end in base:
-        reach.append(max(end, reach[-1] if reach else 0))
-    for start, end in sorted(found.items()):
-        before = bisect_left(starts, end)  # base spans that start before the candidate ends
-        touched = before > 0 and reach[before - 1] > start
-        if touched or not _MIXED.match(text[start:end]):
+    runs = [m.span() for m in _CANDIDATE.finditer(text)]
+    behind, touching = _furthest(sensitive), _furthest([(start, end) for start, _, end in base])
+    todo = [k for k, (start, end) in enumerate(runs) if behind(end + REACH + 1) >= start - REACH]
+    met, spans = set(todo), []
+    while todo:
+        k = todo.pop()
+        start, end = runs[k]
+        if touching(end) > start:
             continue
         if not _novelty:
             _novelty.append(Novelty())
-        if _novelty[0].marginal(text, start, end) >= LEAST_NOVELTY * (end - start):
-            spans.append((start, 3, end))
-    return spans
+        before, after = _around(text, runs, k)
+        if _novelty[0].marginal(before, text[start:end], after) < LEAST_NOVELTY * (end - start):
+            continue
+        spans.append((start, 3, end))
+        for step in (-1, 1):
+            j = k + step
+            while 0 <= j < len(runs) and max(start - runs[j][1], runs[j][0] - end) <= REACH:
+                if j not in met:
+                    met.add(j)
+                    todo.append(j)
+                j += step
+    return sorted(spans)
+
+
+def _furthest(spans: list[tuple[int, int]]) -> Callable[[int], int]:
+    """The furthest end of sorted ``spans`` that start before a place; -REACH - 1 without any."""
+    starts, ends = [start for start, _ in spans], list(accumulate((end for _, end in spans), max))
+
+    def before(place: int) -> int:
+        k = bisect_left(starts, place)
+        return ends[k - 1] if k else -REACH - 1
+
+    return before
 
 
 def find_spans(text: str) -> list[tuple[int, int, int]]:
