@@ -1,6 +1,7 @@
 """Quality classifier: hashed word n-grams, logistic regression by FTRL-proximal.
 
-A text is cut at white space.  Each word has two codes: a hash of its lower-case
+A text is cut at white space, and a word of more than 64 characters (or a text
+without white space) into consecutive pieces of 64 that count as words.  Each word has two codes: a hash of its lower-case
 form and a hash of its shape (letter case, digits and punctuation, runs
 collapsed); a word equal to the one before it gets a code of its own for both.
 Features are the hashed 1- and 2-grams of words and the 1- to 3-grams of shapes,
@@ -36,6 +37,7 @@ MAX_ROWS = 12_000
 SHARDS = 4
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
+PIECE = 64
 _SAME = np.uint64(0x5A5A5A5A3C3C3C3C)
 _RUN = re.compile(r"(.)\1+", re.S)
 
@@ -43,7 +45,7 @@ _RUN = re.compile(r"(.)\1+", re.S)
 def shape(word: str) -> str:
     """``Ab12!!`` gives ``Xx9!``: upper, lower, digits, and runs of other characters."""
     marks = "".join(
-        "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64]
+        "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word
     )
     return _RUN.sub(r"\1", marks)
 
@@ -58,7 +60,7 @@ class WordCodes(dict):
         code = lower << 32 | zlib.crc32(shape(word).encode("utf-8", "replace"))
         if len(self) >= self.limit:
             self.clear()
-        if len(word) <= 64:
+        if len(word) <= PIECE:
             self[word] = code
         return code
 
@@ -74,6 +76,8 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 def features(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted feature indices and their values; index 0 is the bias."""
     words = text.split()
+    if max(map(len, words), default=0) > PIECE:
+        words = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
     codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
     if len(codes) > 1:
         same = codes[1:] == codes[:-1]

@@ -270,6 +270,15 @@ def test_quality_learns_and_scores_everything(spark, odd, none):
     assert quality.classify(none, df.select("doc_id", "quality")).count() == 0
 
 
+def test_quality_reads_long_words_to_their_end(spark):
+    good = [(i, "汉" * 64 + "字，文。" * (40 + i)) for i in range(60)]
+    bad = [(100 + i, "汉" * 64 + "$9!!a7" * (40 + i)) for i in range(60)]
+    df = spark.createDataFrame([(*r, 1) for r in good] + [(*r, 0) for r in bad], "doc_id bigint, text string, quality int")
+    found = quality.classify(df, df.select("doc_id", "quality")).join(df.select("doc_id", "quality"), "doc_id")
+    held = found.where("held_out").collect()
+    assert {r["quality"] for r in held} == {0, 1} and all(r["predicted"] == r["quality"] for r in held)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
