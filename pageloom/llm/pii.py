@@ -8,8 +8,8 @@ are possessive, and a match may start within a run only where the last match
 ended (``\\G``).  That finds the same spans as the plain patterns.
 
 ``email``, ``ip``, ``card`` and ``phone`` spans that meet their kind's check all
-stay.  The method adds ``iban`` (an international account number that meets
-mod-97) and ``local`` (seven or more digits in phone form without a country
+stay.  The method adds ``iban`` (an international account number, as long as its
+country's are, that meets mod-97) and ``local`` (seven or more digits in phone form without a country
 code, only where a word such as "phone" stands before).  Every span has a score:
 the kind's base, raised by a passed checksum and by context words before it.
 
@@ -25,6 +25,19 @@ from pyspark.sql import functions as F
 from pageloom.functions.text import let, literal
 from pageloom.llm.tables import texts_of
 
+# Length of an international account number by country code.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO EG GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(
+    rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()
+)
+
 # Patterns, in the order of the kinds in a result.
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -32,9 +45,12 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # The match is the head alone, so that no number hides one that starts within it; group 1 is the whole.
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_IBAN})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}",
     "local": r"(?<![+0-9(.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])",
 }
+#: Group of a pattern that is the span, and length of the match, where it is not the span.
+AHEAD = {"iban": (1, 4)}
 BASE_KINDS = ("email", "ip", "card", "phone")
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.5, "local": 0.2}
 CHECKSUM_GAIN, CONTEXT_GAIN = 0.3, 0.2
@@ -109,7 +125,7 @@ def _spans(kind: str, found: str, gaps: str) -> str:
     little more than its length.
     """
     def body(x: str) -> str:
-        lengths = f"transform({x}, p -> length(p.m) + length(p.g))"
+        lengths = f"transform({x}, p -> p.n + length(p.g))"
 
         def summed(n: str) -> str:
             blocks = f"transform(sequence(0, (size({n}) - 1) div {_BLOCK}), b ->"
@@ -135,7 +151,8 @@ def _spans(kind: str, found: str, gaps: str) -> str:
 
         return let(lengths, summed)
 
-    paired = f"transform({found}, (m, i) -> named_struct('m', m, 'g', {gaps}[i]))"
+    n = AHEAD[kind][1] if kind in AHEAD else "length(m)"
+    paired = f"transform({found}, (m, i) -> named_struct('m', m, 'n', {n}, 'g', {gaps}[i]))"
     empty = "CAST(array() AS array<struct<kind:string,start:int,end:int,score:double>>)"
     return f"if(size({found}) = 0, {empty}, {let(paired, body)})"
 
@@ -152,7 +169,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     none = "CAST(array() AS array<string>)"
     df = texts_of(docs)
     for kind, pattern in PATTERNS.items():
-        found = f"regexp_extract_all(text, {literal(pattern)}, 0)"
+        found = f"regexp_extract_all(text, {literal(pattern)}, {AHEAD.get(kind, (0,))[0]})"
         df = df.withColumn(f"m_{kind}", F.expr(f"if({_HINT.get(kind, 'true')}, {found}, {none})"))
     for kind, pattern in PATTERNS.items():
         cut = f"if(size(m_{kind}) = 0, {none}, split(text, {literal(pattern)}, -1))"
