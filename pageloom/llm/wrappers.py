@@ -10,8 +10,8 @@ and near copies) say nothing about constancy and are left out of its count, so
 that a host of copies keeps its content.
 
 What varies need not be article text (menus and adverts vary, too).  So the
-content is looked for in the page's article, or what stands for it, without the
-elements that are never article text by their tag, role or class.
+content is all that is not template, in page order, without the elements that are
+never article text by their tag, role or class.
 
 Whole pages are parsed, twice if their host has constant texts.  The reference
 goes to its pages by a join on the host that a hot host does not overload, or by
@@ -25,11 +25,13 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,7 +83,6 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _NUMERIC = re.compile(r"&#(?:[xX]([0-9a-fA-F]+)|([0-9]+));?")
 _WORD = re.compile(r"[a-z]+")
 _STYLE_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
-ALIGN_DEPTH, ALIGN_CELLS = 40, 20_000
 CONSTANT, LEAST_PAGES = 0.8, 3
 
 
@@ -226,13 +227,12 @@ class Tree:
                 below[up].append(node)
         return below
 
-    def pieces(self, gone: list[bool] | None = None, low: int = 0, high: int | None = None) -> str:
-        """Text of the elements from ``low`` to ``high``: blocks and white space give one space."""
-        high = len(self.tag) - 1 if high is None else high
+    def pieces(self, gone: list[bool] | None = None) -> str:
+        """Text of the elements in page order: blocks and white space give one space."""
         out: list[str] = []
         block = None
         for node, text in self.texts:
-            if not low <= node <= high or (gone and gone[node]):
+            if gone and gone[node]:
                 continue
             own = node
             while self.tag[own] in INLINE:
@@ -274,68 +274,113 @@ def _runs(tree: Tree, nodes: list[int]) -> list[list[int]]:
 
 
 class Alignment:
-    """Simple tree matching of a page with a reference; ``slot`` maps elements to reference slots."""
+    """Simple tree matching of a page with a reference; ``slot`` maps elements to reference slots.
+
+    Elements with the same tag and the same slots below have one form, so that each
+    pair of forms is matched once.  The matching is exact at any width and depth.
+    """
 
     def __init__(self, page: Tree, reference: Tree):
-        self.page, self.reference = page, reference
-        self.page_children, self.reference_children = page.children(), reference.children()
-        self.slot: dict[int, int] = {0: 0}
+        self.ids: dict[tuple, int] = {}
+        self.tags: list[str] = []
+        self.below: list[tuple[int, ...]] = []
+        self.full: list[int] = []
         self.weights: dict[tuple[int, int], int] = {}
-        self._follow()
-
-    def weight(self, a: int, b: int, depth: int) -> int:
-        """Pairs in the best match of the trees under ``a`` and ``b``."""
-        if self.page.kind(a) != self.reference.kind(b):
-            return 0
-        if (a, b) not in self.weights:
-            pairs = self._pairs(a, b, depth + 1) if depth < ALIGN_DEPTH else []
-            self.weights[a, b] = 1 + sum(w for _, _, w in pairs)
-        return self.weights[a, b]
-
-    def _pairs(self, a: int, b: int, depth: int) -> list[tuple[list[int], list[int], int]]:
-        ours = _runs(self.page, self.page_children[a])
-        theirs = _runs(self.reference, self.reference_children[b])
-        if len(ours) * len(theirs) > ALIGN_CELLS:
-            return self._greedy(ours, theirs)
-        best = [[0] * (len(theirs) + 1) for _ in range(len(ours) + 1)]
-        gain = [[self.weight(x[0], y[0], depth) for y in theirs] for x in ours]
-        for i in range(len(ours)):
-            for j in range(len(theirs)):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + gain[i][j])
-        pairs, i, j = [], len(ours), len(theirs)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
+        self.paired: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.slot: dict[int, int] = {0: 0}
+        self._follow(*self._forms(page), *self._forms(reference))
+
+    def _forms(self, tree: Tree) -> tuple[list[list[list[int]]], list[int]]:
+        """Slots below every element, and the number of its form."""
+        slots, forms = [_runs(tree, nodes) for nodes in tree.children()], [0] * len(tree.tag)
+        for node in range(len(tree.tag) - 1, -1, -1):
+            below = tuple(forms[run[0]] for run in slots[node])
+            form = forms[node] = self.ids.setdefault((tree.kind(node), below), len(self.tags))
+            if form == len(self.tags):
+                self.tags.append(tree.kind(node))
+                self.below.append(below)
+                self.full.append(1 + sum(self.full[f] for f in below))
+        return slots, forms
+
+    def _open(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Pairs of forms below two forms whose weights are not known yet."""
+        ours, theirs = set(self.below[a]), set(self.below[b])
+        return [
+            (x, y) for x in ours for y in theirs
+            if x != y and self.tags[x] == self.tags[y] and (x, y) not in self.weights
+        ]
+
+    def _weigh(self, a: int, b: int) -> None:
+        """Weights of all pairs below: pairs in the best match of the two trees."""
+        todo = self._open(a, b)
+        while todo:
+            x, y = todo[-1]
+            if (x, y) in self.weights:
+                todo.pop()
+            elif more := self._open(x, y):
+                todo += more
             else:
-                i, j = i - 1, j - 1
-                pairs.append((ours[i], theirs[j], gain[i][j]))
-        return pairs[::-1]
-
-    def _greedy(self, ours: list, theirs: list) -> list[tuple[list[int], list[int], int]]:
-        """Order-keeping pairs in one pass, for very wide elements."""
-        pairs, j = [], 0
-        for x in ours:
-            k = j
-            while k < min(len(theirs), j + 50) and self.page.kind(x[0]) != self.reference.kind(theirs[k][0]):
-                k += 1
-            if k < len(theirs) and self.page.kind(x[0]) == self.reference.kind(theirs[k][0]):
-                pairs.append((x, theirs[k], 1))
-                j = k + 1
-        return pairs
-
-    def _follow(self) -> None:
-        todo = [(0, 0, 0)]
+                best = np.zeros(len(self.below[y]) + 1, np.int64)
+                for gain in self._gains(x, y):
+                    best = self._row(best, gain)
+                self.weights[x, y] = 1 + int(best[-1])
+                todo.pop()
+
+    def _gains(self, a: int, b: int, low: int = 0, high: int | None = None) -> Iterator[np.ndarray]:
+        """Weights of each slot of ``a``, from ``low`` to ``high``, with all slots of ``b``."""
+        forms, place = np.unique(np.array(self.below[b], np.int64), return_inverse=True)
+        known: dict[int, np.ndarray] = {}
+        for x in self.below[a][low:high]:
+            if x not in known:
+                known[x] = np.array([self.full[x] if x == y else self.weights.get((x, y), 0) for y in forms.tolist()], np.int64)
+            yield known[x][place]
+
+    @staticmethod
+    def _row(best: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        row = np.zeros_like(best)
+        np.maximum.accumulate(np.maximum(best[1:], best[:-1] + gain), out=row[1:])
+        return row
+
+    def _pairs(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Places of paired slots of two forms of one tag."""
+        if self.below[a] == self.below[b]:
+            return [(k, k) for k in range(len(self.below[a]))]
+        if (a, b) not in self.paired:
+            self._weigh(a, b)
+            n = len(self.below[a])
+            # Every step-th row is kept; the rows between are made again on the way back.
+            step, best = math.isqrt(n) + 1, np.zeros(len(self.below[b]) + 1, np.int64)
+            kept = []
+            for i, gain in enumerate(self._gains(a, b)):
+                if i % step == 0:
+                    kept.append(best)
+                best = self._row(best, gain)
+            pairs, j = [], len(self.below[b])
+            for k in range(len(kept) - 1, -1, -1):
+                rows = [kept[k]]
+                for gain in self._gains(a, b, k * step, (k + 1) * step):
+                    rows.append(self._row(rows[-1], gain))
+                i = len(rows) - 1
+                while i and j:
+                    if rows[i][j] == rows[i - 1][j]:
+                        i -= 1
+                    elif rows[i][j] == rows[i][j - 1]:
+                        j -= 1
+                    else:
+                        i, j = i - 1, j - 1
+                        pairs.append((k * step + i, j))
+            self.paired[a, b] = pairs[::-1]
+        return self.paired[a, b]
+
+    def _follow(self, ours: list, our_forms: list[int], theirs: list, their_forms: list[int]) -> None:
+        todo = [(0, 0)]
         while todo:
-            a, b, depth = todo.pop()
-            if depth >= ALIGN_DEPTH:
-                continue
-            for ours, theirs, weight in self._pairs(a, b, depth):
-                if weight:
-                    for k, node in enumerate(ours):
-                        self.slot[node] = theirs[0]
-                        todo.append((node, theirs[min(k, len(theirs) - 1)], depth + 1))
+            a, b = todo.pop()
+            for i, j in self._pairs(our_forms[a], their_forms[b]):
+                slot = theirs[b][j]
+                for k, node in enumerate(ours[a][i]):
+                    self.slot[node] = slot[0]
+                    todo.append((node, slot[min(k, len(slot) - 1)]))
 
 
 def slot_texts(tree: Tree, gone: list[bool]) -> dict[int, set[int]]:
@@ -398,31 +443,7 @@ def extract(page: str | None, reference: str | None = None, template: frozenset
                 gone[node] = True
         for node in range(1, len(gone)):
             gone[node] = gone[node] or (gone[tree.parent[node]] and tree.tag[node] in INLINE)
-    low, high = main_element(tree, gone)
-    return tree.pieces(gone, low, high)
-
-
-def main_element(tree: Tree, gone: list[bool]) -> tuple[int, int]:
-    """The element interval that holds the article: the largest article, main, or the whole page."""
-    for test in ("article", "main"):
-        found = [
-            n for n, tag in enumerate(tree.tag)
-            if not gone[n] and (tag == test or (n and f'role="{test}"' in tree.attributes[n].lower()))
-        ]
-        if found:
-            size = Counter()
-            starts = sorted(found)
-            for node, text in tree.texts:
-                if text and not gone[node]:
-                    for n in starts:
-                        if n > node:
-                            break
-                        if node <= tree.end[n]:
-                            size[n] += len(text)
-                            break
-            best = max(found, key=lambda n: (size[n], -n))
-            return best, tree.end[best]
-    return 0, len(tree.tag) - 1
+    return tree.pieces(gone)
 
 
 MAX_BROADCAST_BYTES = 16 << 20

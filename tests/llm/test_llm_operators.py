@@ -270,6 +270,51 @@ def test_html_extraction(spark):
     assert wrappers.extract("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_content_is_all_that_varies():
+    page = "<main><h1>Title</h1><p>Lead</p><article><p>One</p></article><article><p>Two, longer</p></article></main><nav>x</nav>"
+    assert wrappers.extract(page) == "Title Lead One Two, longer"
+
+    def slots(page, reference):
+        page, reference = wrappers.Tree(page), wrappers.Tree(reference)
+        return {page.tag[a]: reference.tag[b] for a, b in wrappers.Alignment(page, reference).slot.items()}
+
+    wide = ["<h2>a</h2><p>b</p>" * n + "<section>note</section>" for n in (100, 160)]
+    assert slots(*wide)["section"] == "section"
+    deep = ["<div>" * n + "<section>note</section>" for n in (60, 60, 3000)]
+    assert slots(*deep[:2])["section"] == "section"
+    assert slots(deep[2], deep[2] + "<p>x</p>")["section"] == "section"
+
+
+def test_html_matching_is_the_best_one():
+    rng = np.random.default_rng(2)
+
+    def grow(depth):
+        inner = "".join(grow(depth - 1) for _ in range(rng.integers(0, 5))) if depth else ""
+        tag = rng.choice(["div", "section", "ul"])
+        return f"<{tag}>{inner}</{tag}>"
+
+    def weight(a, b, x, y, ours, theirs):
+        if a.tag[x] != b.tag[y]:
+            return 0
+        xs, ys = [[r[0] for r in wrappers._runs(t, c)] for t, c in ((a, ours[x]), (b, theirs[y]))]
+        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, p in enumerate(xs):
+            for j, q in enumerate(ys):
+                gain = weight(a, b, p, q, ours, theirs)
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + gain)
+        return 1 + best[-1][-1]
+
+    for _ in range(60):
+        a, b = (wrappers.Tree("".join(grow(3) for _ in range(6))) for _ in range(2))
+        found = wrappers.Alignment(a, b)
+        forms = [found._forms(t)[1][0] for t in (a, b)]
+        found._weigh(*forms)
+        below = [found.below[f] for f in forms]
+        pairs = found._pairs(*forms)
+        got = sum(found.full[x] if x == y else found.weights[x, y] for x, y in ((below[0][i], below[1][j]) for i, j in pairs))
+        assert 1 + got == weight(a, b, 0, 0, a.children(), b.children())
+
+
 def test_quality_learns_and_scores_everything(spark, odd, none):
     good = [(i, f"{PROSE} number {i}", 1) for i in range(60)]
     bad = [(100 + i, f"BUY!! NOW!! {i}!! CHEAP!! DEAL!!", 0) for i in range(60)]
