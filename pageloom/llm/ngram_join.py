@@ -55,6 +55,8 @@ BLOCK_BITS = 12
 PIVOT_ROUNDS = 6
 #: Longer lists get further pivots before their pairs are listed.
 LONG_LIST = 256
+#: Rows of a block of a list, where all its pairs are listed.
+BLOCK_ROWS = 2_000
 MAX_BROADCAST_ROWS = 500_000
 #: A batch of sets is copied a few times in a worker, and each core has one.
 BATCH_BYTES = 16 << 20
@@ -417,6 +419,43 @@ class NgramJoin:
             links = links.unionByName(more)
         return links, labels
 
+    def all_links(self) -> DataFrame:
+        """``(a, b)`` with ``a < b``: every pair of linked nodes, also within one component.
+
+        A list is dealt into blocks, and each pair of its blocks is joined apart, so
+        that a long list is the work of many tasks.
+        """
+        postings = stored(self.postings(), "postings")
+        lengths = postings.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
+        dealt = postings.join(lengths, "token").withColumn("blocks", F.expr(f"(length - 1) div {BLOCK_ROWS} + 1"))
+        dealt = stored(dealt.withColumn("block", F.expr("pmod(xxhash64(doc, 7), blocks)")), "blocks")
+        one = dealt.select("token", F.col("block").alias("i"), F.expr("explode(sequence(block, blocks - 1)) AS j"),
+                           F.col("doc").alias("a_doc"), F.col("meta").alias("a_meta"))
+        other = dealt.select("token", F.expr("explode(sequence(0L, block)) AS i"), F.col("block").alias("j"),
+                             F.col("doc").alias("b_doc"), F.col("meta").alias("b_meta"))
+        pairs = one.join(other, ["token", "i", "j"]).where("i < j OR a_doc < b_doc").where(self._alike())
+        found = pairs.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"), _need().alias("need"))
+        return self._verified(self._matching(found))
+
+    def counts(self) -> DataFrame:
+        """``(doc_id, class_id, n_links)`` for every row; documents with the same set are linked, too."""
+        filled = self.signed.where("n > 0 AND doc_id IS NOT NULL")
+        sizes = filled.groupBy("signature").agg(F.min("doc_id").alias("node"), F.countDistinct("doc_id").alias("size"))
+        sizes = stored(sizes, "sizes")
+        links = self.all_links()
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = both.join(sizes.select(F.col("node").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("others"))
+        named = sizes.join(others.withColumnRenamed("a", "node"), "node", "left").select(
+            "signature", "node", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links")
+        )
+        rows = self.signed.select("doc_id", F.when(F.col("n") > 0, F.col("signature")).alias("signature"))
+        known = F.col("doc_id").isNotNull()
+        return rows.join(named.hint("merge"), "signature", "left").select(
+            "doc_id",
+            F.when(known, F.coalesce("node", "doc_id")).alias("class_id"),
+            F.when(known, F.coalesce("links", F.lit(0))).cast("bigint").alias("n_links"),
+        )
+
     def _relabelled(self, labels: DataFrame, new: DataFrame) -> DataFrame:
         """Components after ``new`` links, which connect components."""
         a = labels.select(F.col("doc").alias("a"), F.col("component").alias("ca"))
@@ -471,6 +510,18 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         return NgramJoin(docs, words, percent).result()
 
 
+def near_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``(a, b)`` with ``a < b``: all linked pairs of different sets, each named by its least id."""
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return NgramJoin(docs, words, percent).all_links()
+
+
+def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``(doc_id, class_id, n_links)`` for every row of ``docs``: its set's least id, and its linked documents."""
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return NgramJoin(docs, words, percent).counts()
+
+
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the near copies: of each component the row with the least id stays."""
     gone = near_components(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))

@@ -149,6 +149,32 @@ def test_ngram_join_equals_brute_force(spark, odd, none, monkeypatch, long_list)
     assert ngram_join.near_components(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [2_000, 3])
+def test_ngram_links_equal_brute_force(spark, none, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(block)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [list(rng.choice(vocabulary, 60)) for _ in range(3)]
+    texts = ["", " ", "two words"]
+    for k in range(40):
+        words = list(base[k % 3])
+        for _ in range(k % 4):
+            words[rng.integers(0, len(words))] = "extra"
+        texts.append(" ".join(words))
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    least = [next(j for j, y in enumerate(sets) if y == x) if x else i for i, x in enumerate(sets)]
+    linked = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and x and y and 100 * len(x & y) >= 80 * len(x | y)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    pairs = sorted(tuple(r) for r in ngram_join.near_links(docs).collect())
+    assert pairs == sorted({(least[i], least[j]) for i, j in linked if least[i] < least[j]})
+    for i, r in rows(ngram_join.link_counts(docs)).items():
+        assert (r["class_id"], r["n_links"]) == (least[i], sum(a == i for a, _ in linked))
+    assert ngram_join.link_counts(none).count() == 0
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 1), (5, 5), (20, 21)], "a bigint, b bigint")
     assert dict(components(links).collect()) == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20}
