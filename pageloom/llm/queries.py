@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import (
+    alignment,
     bpe,
     exact_dedup,
+    license_scan,
     ngram_join,
     packing,
     pii,
     quality,
+    resampling,
     secret_scan,
     token_counts,
     topk,
     wrappers,
 )
+from pageloom.llm.license_rules import rules
 
-TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
+BYTE_BPE, WORD_BPE, PIECE_BPE = map(
+    public_tokenizers.path, ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model")
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +43,7 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_by_section(
-        _table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", rule="most"
+        _table(spark, sf_dir, "documents"), BYTE_BPE, rule="most"
     )
 
 
@@ -47,7 +52,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.encode_digests(_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +74,20 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(_table(spark, sf_dir, "documents")))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.drop("n_words")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(_table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
 
 
 QUERIES = {
@@ -85,9 +103,113 @@ QUERIES = {
         op8_ngram_join,
         op9_top_k,
         op10_packing,
+        op11_licenses,
+        op12_resampling,
+        op13_alignment,
     )
 }
 
+_WORDS = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _license_sql() -> str:
+    """All matches of all rules, and those that no other one holds."""
+    table = ", ".join(
+        f"({n}, {_sql_text(r.label)}, {license_scan.CONFIDENCE[r.form]}::DOUBLE, {r.priority},"
+        f" {list(r.keywords)}, {_sql_text(license_scan.spaced(r.pattern))})"
+        for n, r in enumerate(rules())
+    )
+    phrases = ", ".join(f"({list(p.split())}, '{label}')" for p, label in license_scan.BASE.items())
+    return rf"""
+        WITH rules(rule, label, sure, priority, keys, p) AS (VALUES {table}),
+        phrases(phrase, label) AS (VALUES {phrases}),
+        w AS (SELECT row_number() OVER () AS id, doc_id, {_WORDS} AS w FROM documents),
+        t AS (SELECT id, w, ' ' || array_to_string(w, '  ') || ' ' AS t FROM w WHERE len(w) > 0),
+        base AS (
+            SELECT id, i - 1 AS place, label
+            FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM w), phrases
+            WHERE w[i] = phrase[1] AND w[i:i + len(phrase) - 1] = phrase
+        ),
+        marked AS (
+            SELECT id, rule, label, sure, priority,
+                   string_split(trim(regexp_replace(t, p, ' ' || chr(1) || '\1' || chr(2) || ' ', 'g'), ' '), '  ') AS m
+            FROM t JOIN rules ON list_has_any(w, keys) WHERE regexp_matches(t, p)
+        ),
+        spans AS (
+            SELECT id, rule, label, sure, priority,
+                   unnest(list_filter(range(0, len(m)), lambda i: starts_with(m[i + 1], chr(1)))) AS s,
+                   unnest(list_filter(range(1, len(m) + 1), lambda i: ends_with(m[i], chr(2)))) AS e
+            FROM marked
+        ),
+        kept AS (
+            SELECT * FROM spans d WHERE NOT EXISTS (
+                SELECT 1 FROM spans h
+                WHERE h.id = d.id AND h.s <= d.s AND h.e >= d.e AND h.priority >= d.priority
+                  AND (h.s < d.s OR h.e > d.e OR h.priority > d.priority OR h.rule < d.rule))
+        ),
+        bases AS (SELECT id, count(*) AS n, min(place) AS a, max(place) AS z, list(label) AS l FROM base GROUP BY id),
+        founds AS (SELECT id, count(*) AS n, max(sure) AS sure, list(label) AS l FROM kept GROUP BY id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base,
+               b.a::BIGINT AS first_word, b.z::BIGINT AS last_word,
+               array_to_string(list_sort(list_distinct(coalesce(b.l, []))), ',') AS base_labels,
+               array_to_string(list_sort(list_distinct(list_concat(coalesce(b.l, []), coalesce(f.l, [])))), ',') AS labels,
+               greatest(coalesce(f.sure, 0), if(b.n IS NULL, 0, {license_scan.BASE_CONFIDENCE}))::DOUBLE AS score,
+               coalesce(f.n, 0)::BIGINT AS n_found
+        FROM w LEFT JOIN bases b USING (id) LEFT JOIN founds f USING (id)
+    """
+
+
+#: crc32 of each byte value, from its polynomial; then of words, byte by byte.
+_RESAMPLING_SQL = rf"""
+    WITH RECURSIVE steps(b, c, k) AS (
+        SELECT i, i, 0 FROM range(256) r(i)
+        UNION ALL
+        SELECT b, if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1), k + 1 FROM steps WHERE k < 8
+    ),
+    crcs AS (SELECT list(c ORDER BY b) AS crc FROM steps WHERE k = 8),
+    docs AS (SELECT row_number() OVER () AS id, doc_id, {_WORDS} AS w FROM documents),
+    bench AS (SELECT {_WORDS} AS w FROM benchmark),
+    vocabulary AS (
+        SELECT DISTINCT unnest(w) AS word FROM (SELECT w FROM docs UNION ALL SELECT w FROM bench)
+    ),
+    bucket AS (
+        SELECT word, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(
+                   range(0, strlen(word)), lambda i: ('0x' || hex(encode(word))[2 * i + 1:2 * i + 2])::BIGINT)),
+                   lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295) % 10000 AS b
+        FROM vocabulary, crcs
+    ),
+    doc_words AS (SELECT id, unnest(w) AS word FROM docs),
+    s AS (SELECT b, count(*) AS s FROM doc_words JOIN bucket USING (word) GROUP BY b),
+    t AS (SELECT b, count(*) AS t FROM (SELECT unnest(w) AS word FROM bench) JOIN bucket USING (word) GROUP BY b),
+    gain AS (
+        SELECT r.b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE
+               / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS g
+        FROM range(10000) r(b) LEFT JOIN s ON s.b = r.b LEFT JOIN t ON t.b = r.b
+    ),
+    weights AS (
+        SELECT id, sum(g)::BIGINT AS weight FROM doc_words JOIN bucket USING (word) JOIN gain USING (b) GROUP BY id
+    ),
+    scored AS (
+        SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+               (coalesce(weight, 0) + floor(-1000 * ln(-ln(
+                   (('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score
+        FROM docs LEFT JOIN weights USING (id)
+    ),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+               count(*) FILTER (n_features >= 20) OVER () AS n
+        FROM scored
+    )
+    SELECT doc_id, n_features, weight, score, if(n_features >= 20 AND place <= 10 * n // 100, place, NULL)::BIGINT AS rank
+    FROM placed
+"""
+
 ORACLES = {
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -144,4 +266,6 @@ ORACLES = {
         FROM scores
         QUALIFY rank <= 10
     """,
+    "op11_licenses": _license_sql(),
+    "op12_resampling": _RESAMPLING_SQL,
 }

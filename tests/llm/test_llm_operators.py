@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from pageloom.llm import bpe, exact_dedup, ngram_join, packing, pii, quality, secret_scan, token_counts, topk, wrappers
 from pageloom.llm.components import components
-from pageloom.llm.queries import TOKENIZERS
+from pageloom.llm.queries import BYTE_BPE, PIECE_BPE, WORD_BPE
 from pageloom.llm.tables import arrow_batches
 
-BYTE, WORD = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
+BYTE, WORD = BYTE_BPE, WORD_BPE
 PROSE = "the quick brown fox jumps over the lazy dog while seven wizards watch from a distant hill in the rain"
 ODD = [None, "", " ", "a  b\n \n c", "Ça va? ΣΑΣ İs <|endoftext|>x\x1cq\x85r 漢字 👍🏽", "x" * 5000, PROSE, PROSE, "rrrr rrrrrr llllla"]
 
