@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm import exact_dedup, ngram_join, packing, quality, secret_scan
-from pageloom.llm.queries import TOKENIZERS
+from pageloom.llm.queries import BYTE_BPE
 from pageloom.llm.tables import stored
 
 
@@ -41,7 +41,7 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(docs, BYTE_BPE)
 
 
 STAGES = [
