@@ -1,7 +1,8 @@
 """Alignment of two tokenizers of one text: where a byte-level BPE (A) and a sentencepiece model (B) both end a token.
 
 The libraries' own spans are the coarse cuts: character offsets of the
-tokenizers library and byte spans of the sentencepiece proto.  They cannot tell
+tokenizers library and byte spans of sentencepiece (its immutable proto is gone
+from the library; the offset mapping holds the same spans).  They cannot tell
 the tokens of one multibyte character, or the byte-fallback tokens of one
 character, apart; there a token's end is the last sure end plus the lengths of
 the tokens' decoded bytes.
@@ -9,7 +10,7 @@ the tokens' decoded bytes.
 Neither tokenizer joins what a single space between two visible characters
 separates, and both put the space first in the next token.  So a text is cut
 there into chunks that are aligned alone; chunks come back often and are
-remembered, up to a bound in bytes and for one task.
+remembered, up to a bound in bytes.
 
 Tokens that end together have byte strings of which one is the end of the
 other.  So linked pairs of ids are bound by the bytes of both vocabularies, for
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pageloom.llm.bpe import byte_symbols
-from pageloom.llm.tables import stored, texts_of
+from pageloom.llm.memory import Remembered
+from pageloom.llm.tables import arrow_batches, stored, texts_of
 
 #: A chunk ends before a plain space between visible characters. U+180E was white space once.
 _VISIBLE = r"[^\s᠎]"
@@ -44,8 +46,9 @@ _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 _BETWEEN = re.compile(rf"{_VISIBLE}(?:.*{_VISIBLE})?", re.DOTALL)
 JOINED, LONGEST = 400, 64
 GROUP = 200
-#: What a task remembers of chunks, in bytes as estimated from their lengths.
-MEMORY_BYTES = 128 * 1024 * 1024
+#: What a worker remembers of chunks, and what a batch of texts may take.
+MEMORY_BYTES, BATCH_BYTES = 224 << 20, 8 << 20
+ENTRY_BYTES = 450  # of Python's objects for one chunk
 SCHEMA = (
     "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups string,"
     " cuts array<bigint>, pairs array<bigint>, times array<int>"
@@ -72,6 +75,10 @@ def refine(begins: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndar
     return base + run
 
 
+def _spans(offsets: list[tuple[int, int]]) -> np.ndarray:
+    return np.fromiter(itertools.chain.from_iterable(offsets), np.int64, 2 * len(offsets)).reshape(-1, 2)
+
+
 class Aligner:
     """Aligns whole texts; remembers chunks."""
 
@@ -90,67 +97,77 @@ class Aligner:
         self.b_bytes = [self._piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.a_length = np.array(list(map(len, self.a_bytes)))
         self.b_length = np.array(list(map(len, self.b_bytes)))
-        self.memory: dict[str, tuple | None] = {}
-        self.held = 0
+        # What follows an id: "," in its group, "|" behind A's, ";" behind B's, a line end behind a chunk.
+        self.a_names = self._names(len(self.a_bytes), ",|")
+        self.b_names = self._names(len(self.b_bytes), ",;\n")
+        self.memory = Remembered(MEMORY_BYTES)
 
     @staticmethod
     def _piece_bytes(piece: str) -> bytes:
         byte = _BYTE_PIECE.fullmatch(piece)
         return bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode()
 
+    @staticmethod
+    def _names(n: int, marks: str) -> np.ndarray:
+        return np.array([[f"{i}{mark}" for i in range(n)] for mark in marks], object)
+
     def _encode(self, text: str):
         """Ids and exact byte ends of both tokenizers in space + ``text``; None if bytes differ."""
         whole = " " + text
         data = whole.encode()
         encoding = self.a.encode(whole, add_special_tokens=False)
-        a = np.array(encoding.ids, np.int64)
-        if b"".join([self.a_bytes[i] for i in encoding.ids]) != data:
+        ids = encoding.ids
+        if b"".join(map(self.a_bytes.__getitem__, ids)) != data:
             return None
-        pieces = self.b.encode(text, return_type="proto").pieces
-        ids = [p.id for p in pieces]
-        if b"".join([self.b_bytes[i] for i in ids]) != data:
+        pieces = self.b.encode(text, return_type="offset_mapping", return_bytes=True)
+        if b"".join(map(self.b_bytes.__getitem__, pieces["ids"])) != data:
             return None
-        b = np.array(ids, np.int64)
-        width = np.frombuffer(whole.encode("utf-32-le"), "<u4")
-        width = 1 + (width >= 0x80) + (width >= 0x800) + (width >= 0x10000)
-        place = np.concatenate([[0], np.cumsum(width)])  # character -> byte
-        spans = place[np.array(encoding.offsets, np.int64).reshape(-1, 2)]
+        a, b = np.array(ids, np.int64), np.array(pieces["ids"], np.int64)
+        spans = _spans(encoding.offsets)
+        if len(data) > len(whole):
+            width = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+            width = 1 + (width >= 0x80) + (width >= 0x800) + (width >= 0x10000)
+            spans = np.concatenate([[0], np.cumsum(width)])[spans]  # characters -> bytes
         a_ends = refine(spans[:, 0], spans[:, 1], self.a_length[a])
-        # The proto's spans are bytes of the text without the space that B adds.
-        b_begins = np.array([p.begin for p in pieces], np.int64) + 1
-        b_ends = np.array([p.end for p in pieces], np.int64) + 1
-        return a, a_ends, b, refine(b_begins, b_ends, self.b_length[b])
+        # These are bytes of the text without the space that B adds.
+        spans = _spans(pieces["offsets"]) + 1
+        return a, a_ends, b, refine(spans[:, 0], spans[:, 1], self.b_length[b])
 
-    def _aligned(self, chunks: list[str]) -> list[tuple | None] | None:
+    def _aligned(self, chunks: list[str]) -> list[tuple] | None:
         """What is kept of ``chunks``, encoded as one text; None if the whole text has no tokens."""
         encoded = self._encode(" ".join(chunks))
         if encoded is None:
             return None
         a, a_ends, b, b_ends = encoded
-        common = np.intersect1d(a_ends, b_ends)
-        a_at, b_at = np.searchsorted(a_ends, common), np.searchsorted(b_ends, common)
-        pairs = (a[a_at] << B_BITS) | b[b_at]
-        a_names, b_names = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        a_to, b_to = [0, *(a_at + 1).tolist()], [0, *(b_at + 1).tolist()]
-        groups = [
-            ",".join(a_names[i:j]) + "|" + ",".join(b_names[k:m])
-            for i, j, k, m in zip(a_to, a_to[1:], b_to, b_to[1:])
-        ]
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
         sizes = np.cumsum([len(c.encode()) + 1 for c in chunks])
         last = np.searchsorted(common, sizes)
-        if not np.array_equal(common[np.minimum(last, len(common) - 1)], sizes):
+        if last[-1] >= len(common) or not np.array_equal(common[last], sizes):
             return None
-        found, first, begin = [], 0, 0
-        for end, size in zip((last + 1).tolist(), sizes.tolist()):
-            found.append(
-                (a_to[end] - a_to[first], b_to[end] - b_to[first], end - first, ";".join(groups[first:end]),
-                 pairs[first:end].tobytes(), (common[first:end] - begin).tobytes(), size - begin)
-            )
-            first, begin = end, size
-        return found
+        a_at, b_at = np.searchsorted(a_ends, common), np.searchsorted(b_ends, common)
+        pairs = (a[a_at] << B_BITS) | b[b_at]
+        # Decimal ids, each with what follows it: A's of a group, then B's of the group.
+        end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        end_a[a_at], end_b[b_at] = 1, 1
+        end_b[b_at[last]] = 2
+        group_a, group_b = np.cumsum(end_a) - end_a, np.cumsum(end_b > 0) - (end_b > 0)
+        names = np.empty(len(a) + len(b), object)
+        names[np.arange(len(a)) + np.concatenate([[0], b_at + 1])[group_a]] = self.a_names[end_a, a]
+        names[np.arange(len(b)) + (a_at + 1)[group_b]] = self.b_names[end_b, b]
+        texts = "".join(names.tolist()).split("\n")
+        n = last + 1
+        first = np.concatenate([[0], n[:-1]])
+        n_a, n_b = np.diff(a_at[last] + 1, prepend=0), np.diff(b_at[last] + 1, prepend=0)
+        size = np.diff(sizes, prepend=0)
+        packed = pairs.tobytes()
+        cuts = (common - np.repeat(sizes - size, n - first)).tobytes()
+        return [
+            (i, j, m - k, t, packed[8 * k : 8 * m], cuts[8 * k : 8 * m], z)
+            for i, j, k, m, t, z in zip(n_a.tolist(), n_b.tolist(), first.tolist(), n.tolist(), texts, size.tolist())
+        ]
 
-    def learn(self, chunks: list[str]) -> dict[str, tuple | None]:
-        """What is kept of each of the different ``chunks``; None for one without tokens."""
+    def learn(self, chunks: list[str]) -> dict[str, tuple]:
+        """What is kept of each of the different ``chunks``; empty for one without tokens."""
         found = {}
         # Between these, joined by spaces, a text is cut again.
         plain = [c for c in chunks if len(c) < LONGEST and _BETWEEN.fullmatch(c)]
@@ -164,37 +181,44 @@ class Aligner:
                 found.update(zip(some, kept))
         for chunk in alone:
             kept = self._aligned([chunk])
-            found[chunk] = kept[0] if kept else None
+            found[chunk] = kept[0] if kept else ()
         return found
 
     def batch(self, texts: list[str]) -> Iterator[list[tuple] | None]:
         """What is kept of the chunks of each text, in order; None for a text without tokens."""
         for k in range(0, len(texts), GROUP):
             group = [_CUT.split(t) if t else [] for t in texts[k : k + GROUP]]
-            known = self.memory
-            fresh = {c for chunks in group for c in chunks if c not in known}
-            made = self.learn(list(fresh))
-            look = {**made, **{c: known[c] for chunks in group for c in chunks if c in known}} if made else known
-            for chunks in group:
-                kept = [look[c] for c in chunks]
-                yield kept if kept and None not in kept else None
-            for chunk, value in made.items():
-                if len(chunk) < LONGEST:
-                    known[chunk] = value
-                    self.held += 400 + 2 * len(chunk) + (len(value[3]) + 2 * len(value[4]) if value else 0)
-            if self.held > MEMORY_BYTES:
-                known.clear()
-                self.held = 0
+            rows = [list(map(self.memory.get, chunks)) for chunks in group]
+            holes = [[i for i, kept in enumerate(row) if kept is None] if None in row else () for row in rows]
+            made = {chunks[i]: None for chunks, hole in zip(group, holes) for i in hole}
+            made = dict(zip(made, map(self.memory.earlier.get, made)))
+            made |= self.learn([c for c, kept in made.items() if kept is None])
+            for chunks, row, hole in zip(group, rows, holes):
+                for i in hole:
+                    row[i] = made[chunks[i]]
+                yield row if row and () not in row else None
+            short = {c: kept for c, kept in made.items() if len(c) < LONGEST}
+            size = sum([len(kept[3]) + 2 * len(kept[4]) for kept in short.values() if kept])
+            self.memory.keep_all(short, size + ENTRY_BYTES * len(short))
+
+
+_aligners: dict[tuple[str, str], Aligner] = {}
+
+
+def aligner_of(byte_path: str, piece_path: str) -> Aligner:
+    """One a worker, since reading the vocabularies takes a while."""
+    if (byte_path, piece_path) not in _aligners:
+        _aligners[byte_path, piece_path] = Aligner(byte_path, piece_path)
+    return _aligners[byte_path, piece_path]
 
 
 def _align(byte_path: str, piece_path: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(byte_path, piece_path)
+        aligner = aligner_of(byte_path, piece_path)
         for batch in batches:
             for start in range(0, len(batch), GROUP):
                 part = batch.slice(start, GROUP)
-                texts = ["" if t is None else t for t in part["text"].to_pylist()]
-                yield _to_batch(part["doc_id"], aligner.batch(texts), digest)
+                yield _to_batch(part["doc_id"], aligner.batch(part["text"].to_pylist()), digest)
 
     return run
 
@@ -271,7 +295,8 @@ def alignment(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     B, ``count_sum`` adds up the counts of the pairs of all links.
     """
     spark = docs.sparkSession
-    aligned = stored(align(docs, byte_path, piece_path, digest=True).drop("cuts"), "aligned")
+    with arrow_batches(spark, BATCH_BYTES):
+        aligned = stored(align(docs, byte_path, piece_path, digest=True).drop("cuts"), "aligned")
     # Bound by the vocabularies: one token of a pair ends with the other.
     counted = link_counts(aligned).orderBy("pair").toArrow()
     pair, n = counted["pair"].to_numpy(), counted["n"].to_numpy()
