@@ -15,7 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
-REMEMBERED = 1_000_000
+from pageloom.llm.memory import Remembered
+
+REMEMBERED_BYTES = 144 << 20
 GROUP = 200
 JOINED = 500
 LONGEST = 48
@@ -42,7 +44,7 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.offsets = offsets
-        self.memory: dict[str, bytes] = {}
+        self.memory = Remembered(REMEMBERED_BYTES)
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         # The byte-level alphabet writes a space as this letter.
@@ -85,13 +87,14 @@ class ChunkEncoder:
     def batch(self, texts: list[str]) -> Iterator[tuple[list[str], list[bytes]]]:
         """For each text its chunks, each with its space, and what is kept of each of them."""
         for start in range(0, len(texts), GROUP):
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
             group = [self._cut(t) for t in texts[start : start + GROUP]]
             rows = [list(map(self.memory.get, chunks)) for chunks in group]
             holes = [[k for k, p in enumerate(row) if p is None] if None in row else () for row in rows]
-            fresh = self.packed(list({chunks[k] for chunks, hole in zip(group, holes) for k in hole}))
-            self.memory.update((c, p) for c, p in fresh.items() if len(c) <= LONGEST)
+            fresh = {chunks[k]: None for chunks, hole in zip(group, holes) for k in hole}
+            fresh = dict(zip(fresh, map(self.memory.earlier.get, fresh)))
+            fresh |= self.packed([c for c, kept in fresh.items() if kept is None])
+            short = {c: kept for c, kept in fresh.items() if len(c) <= LONGEST}
+            self.memory.keep_all(short, 180 * len(short) + sum(map(len, short)) + sum(map(len, short.values())))
             for chunks, row, hole in zip(group, rows, holes):
                 for k in hole:
                     row[k] = fresh[chunks[k]]

@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.components import components
+from pageloom.llm.memory import Remembered
 from pageloom.llm.tables import arrow_batches, release, stored, texts_of
 
 WORDS, PERCENT = 5, 80
@@ -66,19 +67,19 @@ _FACTORS = np.array([0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
                      0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-class _Words(dict):
-    """Hashes of words a worker has met; forgets all when full."""
+class _Words(Remembered):
+    """Hashes of words a worker has met lately."""
 
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
+        value = self.earlier.get(word)
+        if value is None:
+            value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 40:
-            if len(self) >= 300_000:
-                self.clear()
-            self[word] = value
+            self.keep(word, value, 200 + len(word))
         return value
 
 
-_words = _Words()
+_words = _Words(80 << 20)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.memory import Remembered
 from pageloom.llm.tables import texts_of
 
 BITS = 18
@@ -50,22 +51,20 @@ def shape(word: str) -> str:
     return _RUN.sub(r"\1", marks)
 
 
-class WordCodes(dict):
-    """Codes of words met so far in this Python worker; forgets all when full."""
-
-    limit = 200_000
+class WordCodes(Remembered):
+    """Codes of words met lately in this Python worker."""
 
     def __missing__(self, word: str) -> int:
-        lower = zlib.crc32(word.lower().encode("utf-8", "replace"))
-        code = lower << 32 | zlib.crc32(shape(word).encode("utf-8", "replace"))
-        if len(self) >= self.limit:
-            self.clear()
+        code = self.earlier.get(word)
+        if code is None:
+            lower = zlib.crc32(word.lower().encode("utf-8", "replace"))
+            code = lower << 32 | zlib.crc32(shape(word).encode("utf-8", "replace"))
         if len(word) <= PIECE:
-            self[word] = code
+            self.keep(word, code, 200 + len(word))
         return code
 
 
-_codes = WordCodes()
+_codes = WordCodes(48 << 20)
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
