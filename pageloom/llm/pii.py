@@ -152,7 +152,8 @@ def _spans(kind: str, found: str, gaps: str) -> str:
         return let(lengths, summed)
 
     n = AHEAD[kind][1] if kind in AHEAD else "length(m)"
-    paired = f"transform({found}, (m, i) -> named_struct('m', m, 'n', {n}, 'g', {gaps}[i]))"
+    # Both arrays are arguments here: inside the function each of them would be made again for every match.
+    paired = f"slice(zip_with({found}, {gaps}, (m, g) -> named_struct('m', m, 'n', {n}, 'g', g)), 1, size({found}))"
     empty = "CAST(array() AS array<struct<kind:string,start:int,end:int,score:double>>)"
     return f"if(size({found}) = 0, {empty}, {let(paired, body)})"
 
