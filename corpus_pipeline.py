@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm import exact_dedup, ngram_join, packing, quality, secret_scan
 from pageloom.llm.queries import BYTE_BPE
-from pageloom.llm.tables import stored
+from pageloom.llm.tables import arrow_batches, stored
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +44,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, BYTE_BPE)
 
 
+BATCH_BYTES = 4 << 20
 STAGES = [
     ("quality", keep_good),
     ("exact_dedup", drop_copies),
@@ -58,6 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage_{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    # Workers and their executor hold a batch of texts several times over.
+    with arrow_batches(spark, BATCH_BYTES):
+        for name, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), f"stage_{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)
