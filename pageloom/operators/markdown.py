@@ -1,29 +1,29 @@
-"""Markdown of page content, built from the bottom up by grouping.
+"""Markdown of page content, built from the bottom up within each page.
 
 Every text or element below the root is a *fragment* of the containers that
 show it.  Tags like headings, links and code swallow all text below them;
 paragraphs, lists, list items, table rows and tables are containers; any other
-tag is transparent.  One grouping per nesting level turns the containers of
-that level into fragments of the levels above, and the last one makes the
-documents.  A list shows every item below it at any depth and an item shows its
-own content, so nested items appear more than once.
-
-All groupings include ``page_id`` and keep its partitioning.
+tag is transparent.  The fragments of a page are one array.  A fold over its
+nesting levels, innermost first, turns the containers of a level into fragments
+of the levels above, and what the root shows makes the document.  A list shows
+every item below it at any depth and an item shows its own content, so nested
+items appear more than once.
+
+All of it is expressions over one row per page: no shuffle, no stored table, and
+each page goes as many levels as it has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from pageloom.functions.arrays import bind, running
 from pageloom.functions.text import extract, is_blank, let, literal, squeeze, substitute
-from pageloom.session import cut_lineage
 
 # How tags are rendered.
 SWALLOWING = "h1 h2 h3 h4 h5 h6 blockquote pre code a strong b em i img hr".split()
 CONTAINERS = "p ul ol li tr table".split()
-ROOT, PASSING = -1, -2
-USUAL_DEPTH = 6
+ROOT = -1
 
 _STOPS = [*SWALLOWING, "table", "p", "ul", "ol"]
 _TEXT_TAKERS = [*SWALLOWING, "td", "th"]
@@ -38,35 +38,40 @@ def _count(tags: str) -> str:
     return f"size(filter({tags}, t -> {_one_of('t', CONTAINERS)}))"
 
 
-def nesting_depth(nodes: DataFrame) -> int:
-    """Deepest nesting of anything that is rendered; one number, computed on the cluster."""
-    rendered = _one_of("tag", [*CONTAINERS, *_TEXT_TAKERS])
-    level = f"if(kind = 'element' AND {rendered}, 1 + {_count('ancestor_tags')}, 0)"
-    return nodes.selectExpr(f"max({level})").first()[0] or 0
-
-
-def _line(content: DataFrame) -> DataFrame:
-    """Adds ``_up`` (ancestors, nearest first, with their levels), ``_level`` and ``_targets``.
+def _lined(content: DataFrame) -> DataFrame:
+    """``(page_id, url, lined)``: content nodes with ``up``, ``level`` and ``targets``.
 
+    ``up`` are the ancestors below the root, nearest first, with tags and levels.
     The level of an element is 1 plus the number of containers above it.
     """
-    level = f"1 + {_count('slice(ancestor_tags, 1, i)')}"
-    chain = f"struct(a AS id, ancestor_tags[i] AS tag, {level} AS level)"
-    return (
-        content.withColumn("_up", F.expr(f"reverse(transform(ancestors, (a, i) -> {chain}))"))
-        .withColumn("_level", F.expr(f"1 + {_count('ancestor_tags')}"))
-        .withColumn("_targets", F.expr(_targets()))
+    flags = f"transform(x.up, a -> if({_one_of('tags[a]', CONTAINERS)}, 1, 0))"
+
+    def chained(f: str) -> str:
+        def node(s: str) -> str:
+            chain = f"transform(x.up, (a, k) -> struct(a AS id, tags[a] AS tag, 1 + {s}[k] - {f}[k] AS level))"
+            return (
+                "named_struct('n', x.n, 'end', x.end, 'kind', x.kind, 'tag', x.tag, 'text', x.text, 'attrs', x.attrs,"
+                f" 'up', reverse({chain}), 'level', 1 + coalesce(get({s}, size({s}) - 1), 0))"
+            )
+
+        return let(running(f, lambda a, b: f"{a} + {b}"), node)
+
+    named = bind(content, _named=f"transform(content, x -> {let(flags, chained)})").select("page_id", "url", "_named")
+    targeted = (
+        "named_struct('n', x.n, 'end', x.end, 'kind', x.kind, 'tag', x.tag, 'text', x.text, 'attrs', x.attrs,"
+        f" 'up', x.up, 'level', x.level, 'targets', {_targets()})"
     )
+    return bind(named, lined=f"transform(_named, x -> {targeted})").select("page_id", "url", "lined")
 
 
 def _receivers() -> str:
     """Containers that show this node: items passed on the way up, then the first paragraph or root."""
-    stop = f"array_position(transform(_up, u -> {_one_of('u.tag', _STOPS)}), true)"
+    stop = f"array_position(transform(x.up, u -> {_one_of('u.tag', _STOPS)}), true)"
 
     def shown(at: str) -> str:
-        passed = f"if({at} = 0, _up, slice(_up, 1, {at} - 1))"
+        passed = f"if({at} = 0, x.up, slice(x.up, 1, {at} - 1))"
         items = f"filter({passed}, u -> u.tag = 'li')"
-        last = f"filter(slice(_up, greatest({at}, 1), if({at} = 0, 0, 1)), u -> u.tag = 'p')"
+        last = f"filter(slice(x.up, greatest({at}, 1), if({at} = 0, 0, 1)), u -> u.tag = 'p')"
         root = f"if({at} = 0, array(struct({ROOT} AS id, 0 AS level)), array())"
         return f"concat({_places(f'concat({items}, {last})')}, {root})"
 
@@ -79,26 +84,26 @@ def _places(elements: str) -> str:
 
 def _targets() -> str:
     def above(*tags: str) -> str:
-        return _places(f"filter(_up, u -> {_one_of('u.tag', list(tags))})")
+        return _places(f"filter(x.up, u -> {_one_of('u.tag', list(tags))})")
 
-    shown = _one_of("tag", [*SWALLOWING, "p", "ul", "ol", "table"])
+    shown = _one_of("x.tag", [*SWALLOWING, "p", "ul", "ol", "table"])
     return f"""
-        CASE WHEN kind = 'text' THEN {_receivers()} WHEN kind != 'element' THEN NULL
-             WHEN tag = 'li' THEN {above('ul', 'ol')}
-             WHEN tag IN ('td', 'th') THEN {above('tr')}
-             WHEN tag = 'tr' THEN {above('table')}
+        CASE WHEN x.kind = 'text' THEN {_receivers()} WHEN x.kind != 'element' THEN NULL
+             WHEN x.tag = 'li' THEN {above('ul', 'ol')}
+             WHEN x.tag IN ('td', 'th') THEN {above('tr')}
+             WHEN x.tag = 'tr' THEN {above('table')}
              WHEN {shown} THEN {_receivers()} END"""
 
 
 def _row(target: str, level: str, at: str, side: int, kind: str, md: str, targets: str) -> str:
     return (
-        f"struct({target} AS target, {level} AS level, {at} AS ord, {side} AS side, {kind} AS kind,"
-        f" {md} AS md, string(NULL) AS md2, {targets} AS targets)"
+        f"struct({target} AS target, {at} AS ord, {kind} AS kind, {md} AS md, string(NULL) AS md2,"
+        f" {side} AS side, {level} AS level, {targets} AS targets)"
     )
 
 
 def fragments(content: DataFrame) -> DataFrame:
-    """All fragments before folding: ``(page_id, url, target, level, ord, side, kind, md, ...)``.
+    """``(page_id, url, pool)``: all fragments before folding, ``array<struct<target, ord, kind, md, ...>>``.
 
     * ``text``: a text shown by a paragraph, an item or the root.  Directly in a
       paragraph or item it is trimmed and followed by a space even if blank;
@@ -110,41 +115,33 @@ def fragments(content: DataFrame) -> DataFrame:
       what its attributes add.
     * ``edge``: line ends around the children of the root.
     """
-    lined = _line(content)
-    direct = "size(_up) > 0 AND t.id = get(_up, 0).id"
-    shown = f"(t.id != {ROOT} OR size(_up) > 0) AND ({direct} OR NOT {is_blank('text')})"
-    text = _row("t.id", "t.level", "node_id", 1, "'text'", f"concat({squeeze('text')}, ' ')", _NO_TARGETS)
-    raw = _row("u.id", "u.level", "node_id", 1, "'raw'", "text", _NO_TARGETS)
-    lang = _row("u.id", "u.level", "node_id", 1, "'lang'", "coalesce(attrs['class'], '')", _NO_TARGETS)
-    note = """CASE tag WHEN 'a' THEN coalesce(attrs['href'], '')
-        WHEN 'img' THEN concat('![', coalesce(attrs['alt'], ''), '](', coalesce(attrs['src'], ''), ')\\n')
+    direct = "size(x.up) > 0 AND t.id = get(x.up, 0).id"
+    shown = f"(t.id != {ROOT} OR size(x.up) > 0) AND ({direct} OR NOT {is_blank('x.text')})"
+    text = _row("t.id", "t.level", "x.n", 1, "'text'", f"concat({squeeze('x.text')}, ' ')", _NO_TARGETS)
+    raw = _row("u.id", "u.level", "x.n", 1, "'raw'", "x.text", _NO_TARGETS)
+    lang = _row("u.id", "u.level", "x.n", 1, "'lang'", "coalesce(x.attrs['class'], '')", _NO_TARGETS)
+    note = """CASE x.tag WHEN 'a' THEN coalesce(x.attrs['href'], '')
+        WHEN 'img' THEN concat('![', coalesce(x.attrs['alt'], ''), '](', coalesce(x.attrs['src'], ''), ')\\n')
         ELSE '' END"""
-    box = _row("node_id", "_level", "node_id", 1, "concat('box ', tag)", note, "_targets")
-    before = "if(tag = 'table' AND NOT coalesce(_after_table, false), '\\n', '')"
-    after = "if(tag = 'table', '\\n', '\\n\\n')"
-    edges = ", ".join(
-        _row(str(ROOT), "0", at, side, "'edge'", md, _NO_TARGETS)
-        for at, side, md in (("node_id", 0, before), ("end_id", 2, after))
-    )
+    box = _row("x.n", "x.level", "x.n", 1, "concat('box ', x.tag)", note, "x.targets")
     rows = f"""
-        CASE kind
-          WHEN 'page' THEN array({_row(str(ROOT), '0', '0', 0, "'page'", "''", _NO_TARGETS)})
+        CASE x.kind
           WHEN 'text' THEN concat(
-            transform(filter(_targets, t -> {shown}), t -> {text}),
-            transform(filter(_up, u -> {_one_of('u.tag', _TEXT_TAKERS)}), u -> {raw}))
+            transform(filter(x.targets, t -> {shown}), t -> {text}),
+            transform(filter(x.up, u -> {_one_of('u.tag', _TEXT_TAKERS)}), u -> {raw}))
           WHEN 'element' THEN concat(
-            if({_one_of('tag', [*CONTAINERS, *_TEXT_TAKERS])}, array({box}), array()),
-            if(tag = 'code', transform(filter(_up, u -> u.tag = 'pre'), u -> {lang}), array()),
-            if(size(ancestors) = 0, array({edges}), array()))
-          END"""
-    earlier = Window.partitionBy("page_id").orderBy("node_id")
-    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    top = F.when(F.expr("kind = 'element' AND size(ancestors) = 0"), F.col("tag") == "table")
-    return (
-        lined.withColumn("_after_table", F.last(top, ignorenulls=True).over(earlier))
-        .selectExpr("page_id", "url", "_page_depth", f"inline_outer({rows})")
-        .where("target IS NOT NULL")
+            if({_one_of('x.tag', [*CONTAINERS, *_TEXT_TAKERS])}, array({box}), array()),
+            if(x.tag = 'code', transform(filter(x.up, u -> u.tag = 'pre'), u -> {lang}), array()))
+          ELSE array() END"""
+    before = "if(x.tag = 'table' AND NOT coalesce(get(_top, i - 1).tag = 'table', false), '\\n', '')"
+    after = "if(x.tag = 'table', '\\n', '\\n\\n')"
+    edges = ", ".join(
+        _row(str(ROOT), "0", at, side, "'edge'", md, _NO_TARGETS)
+        for at, side, md in (("x.n", 0, before), ("x.end", 2, after))
     )
+    tops = bind(_lined(content), _top="filter(lined, x -> x.kind = 'element' AND size(x.up) = 0)")
+    pool = f"concat(flatten(transform(lined, x -> {rows})), flatten(transform(_top, (x, i) -> array({edges}))))"
+    return bind(tops, pool=f"filter({pool}, f -> f.target IS NOT NULL)").select("page_id", "url", "pool")
 
 
 def _render() -> str:
@@ -192,71 +189,66 @@ def _table_line(cells: str) -> str:
     return f"concat('| ', array_join({cells}, ' | '), ' |\\n')"
 
 
-def _fold(pool: DataFrame, level: int) -> DataFrame:
-    """Turn the boxes of ``level`` into fragments of lower levels; other rows pass unchanged.
+def _folded(pool: str, level: str) -> str:
+    """``pool`` with the boxes of ``level`` turned into fragments of lower levels; others pass unchanged.
 
-    One group per box of this level, and one per page for all that passes.
+    Fragments of a level are sorted by box, so that each box is a slice of them.
     """
-    fields = "ord, kind, md, md2, side, target, level, targets"
-    grouped = (
-        pool.withColumn("_box_id", F.expr(f"if(level = {level}, target, {PASSING})"))
-        .groupBy("page_id", "_box_id")
-        .agg(
-            F.expr(f"collect_list(struct({fields}))").alias("_rows"),
-            F.max("url").alias("url"),
-            F.max("_page_depth").alias("_page_depth"),
-        )
-        .withColumn("_passing", F.expr(f"_box_id = {PASSING}"))
-        .withColumn("_own", F.expr("if(_passing, NULL, get(filter(_rows, x -> x.kind LIKE 'box %'), 0))"))
-        .withColumn("_parts", F.expr(
-            "if(_passing, NULL, array_sort(filter(_rows, x -> x.kind NOT LIKE 'box %')))"))
-        .withColumn("_box", F.expr("substring(_own.kind, 5)"))
-        .withColumn("_note", F.expr("_own.md"))
-    )
-    body_row = f"if(_box = 'tr' AND size({_cells('td')}) > 0, {_table_line(_cells('td'))}, NULL)"
-    rendered = f"""transform(_own.targets, t -> struct(_box_id AS ord, _box AS kind, _md AS md,
-        _md2 AS md2, 1 AS side, t.id AS target, t.level AS level, {_NO_TARGETS} AS targets))"""
-    return (
-        grouped.withColumn("_md", F.expr(f"if(_passing, NULL, {_render()})"))
-        .withColumn("_md2", F.expr(f"if(_passing, NULL, {body_row})"))
-        .selectExpr(
-            "page_id", "url", "_page_depth", f"inline_outer(if(_passing, _rows, {rendered}))"
-        )
-        .where("target IS NOT NULL")
-    )
+    def rendered(group: str) -> str:
+        def made(own: str) -> str:
+            body_row = f"if(_box = 'tr' AND size({_cells('td')}) > 0, {_table_line(_cells('td'))}, NULL)"
 
+            def named(parts: str) -> str:
+                def expression(template: str) -> str:
+                    boxed = template.replace("_parts", parts).replace("_box", f"substring({own}.kind, 5)")
+                    return boxed.replace("_note", f"{own}.md")
 
-def root_fragments(content: DataFrame, depth: int) -> DataFrame:
-    """Everything the root shows, rendered: ``(page_id, url, ord, side, kind, md)``.
+                md = f"struct({expression(_render())} AS md, {expression(body_row)} AS md2)"
+                return let(
+                    md,
+                    lambda m: f"transform({own}.targets, t -> struct(t.id AS target, {own}.target AS ord,"
+                    f" substring({own}.kind, 5) AS kind, {m}.md AS md, {m}.md2 AS md2, 1 AS side, t.level AS level,"
+                    f" {_NO_TARGETS} AS targets))",
+                )
 
-    ``depth`` is :func:`nesting_depth`, or anything larger.  Only pages nested
-    deeper than usual take part in the rounds for the deep levels, so one odd
-    page does not add rounds to all others.
-    """
-    page = Window.partitionBy("page_id")
-    level = F.expr(f"1 + {_count('ancestor_tags')}")
-    pool = fragments(content.withColumn("_page_depth", F.max(level).over(page)))
-    if depth > USUAL_DEPTH:
-        pool = cut_lineage(pool)
-        deep = pool.where(f"_page_depth > {USUAL_DEPTH}")
-        for round_no, at in enumerate(range(depth, USUAL_DEPTH, -1), start=1):
-            deep = _fold(deep, at)
-            if round_no % USUAL_DEPTH == 0:
-                deep = cut_lineage(deep)
-        pool = pool.where(f"_page_depth <= {USUAL_DEPTH}").unionByName(deep)
-    for at in range(min(depth, USUAL_DEPTH), 0, -1):
-        pool = _fold(pool, at)
-    return pool.where(f"target = {ROOT}").select("page_id", "url", "ord", "side", "kind", "md")
-
-
-def to_markdown(content: DataFrame, depth: int) -> DataFrame:
+            return f"if({own} IS NULL, NULL, {let(f'filter({group}, x -> NOT startswith(x.kind, {literal(BOX)}))', named)})"
+
+        return let(f"get(filter({group}, x -> startswith(x.kind, {literal(BOX)})), 0)", made)
+
+    def grouped(here: str) -> str:
+        head = f"i = 0 OR {here}[i].target != get({here}, i - 1).target"
+        heads = f"filter(transform({here}, (f, i) -> if({head}, i, -1)), i -> i >= 0)"
+
+        def cut(h: str) -> str:
+            group = f"slice({here}, at + 1, coalesce(get({h}, j + 1), size({here})) - at)"
+            return f"flatten(filter(transform({h}, (at, j) -> {let(group, rendered)}), r -> r IS NOT NULL))"
+
+        return let(heads, cut)
+
+    here = f"array_sort(filter({pool}, f -> f.level = {level}))"
+    return f"concat(filter({pool}, f -> f.level != {level}), {let(here, grouped)})"
+
+
+BOX = "box "
+
+
+def root_fragments(content: DataFrame) -> DataFrame:
+    """Everything the root shows, rendered: ``(page_id, url, ord, side, kind, md)``."""
+    shown = "transform(_rooted, f -> struct(f.ord, f.side, f.kind, f.md))"
+    return _rooted(content).selectExpr("page_id", "url", f"inline({shown})")
+
+
+def _rooted(content: DataFrame) -> DataFrame:
+    made = bind(fragments(content), _depth="coalesce(array_max(transform(pool, f -> f.level)), 0)")
+    levels = "if(_depth > 0, sequence(_depth, 1, -1), CAST(array() AS array<int>))"
+    folded = f"aggregate({levels}, pool, (p, l) -> {_folded('p', 'l')})"
+    return bind(made, _rooted=f"filter({folded}, f -> f.target = {ROOT})").select("page_id", "url", "_rooted")
+
+
+def to_markdown(content: DataFrame) -> DataFrame:
     """``(page_id, url, markdown)`` for every page; empty text if there is no content."""
-    joined = "array_join(transform(array_sort(collect_list(struct(ord, side, md))), x -> x.md), '')"
+    ordered = "array_sort(transform(_rooted, f -> struct(f.ord, f.side, f.md)))"
     tidy = substitute("_doc", r"(\|[^\n]*\|)\n\n(\|)", "$1\n$2")
     tidy = squeeze(substitute(tidy, r"\n{4,}", "\n\n\n"))
-    return (
-        root_fragments(content, depth)
-        .groupBy("page_id")
-        .agg(F.max("url").alias("url"), F.expr(joined).alias("_doc"))
-        .selectExpr("page_id", "url", f"{tidy} AS markdown")
-    )
+    joined = bind(_rooted(content), _doc=f"array_join(transform({ordered}, f -> f.md), '')")
+    return joined.selectExpr("page_id", "url", f"{tidy} AS markdown")

@@ -4,25 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from pageloom.operators.content import content_html, main_content, stored_nodes, whole_body
-from pageloom.operators.markdown import nesting_depth, to_markdown
+from pageloom.operators.content import content_html, main_content, page_nodes, whole_body
+from pageloom.operators.markdown import to_markdown
 
 
 def pages_to_markdown(pages: DataFrame, *, keep_media: bool = False) -> DataFrame:
     """``(page_id, url, markdown)`` of the main content of every captured page."""
-    kept = stored_nodes(pages)
-    return to_markdown(main_content(kept, keep_media=keep_media), nesting_depth(kept))
+    return to_markdown(main_content(page_nodes(pages), keep_media=keep_media))
 
 
 def html_to_markdown(pages: DataFrame) -> DataFrame:
     """``(page_id, url, markdown)`` of the whole body, as it is."""
-    nodes = stored_nodes(pages, noise=True)
-    return to_markdown(whole_body(nodes), nesting_depth(nodes))
+    return to_markdown(whole_body(page_nodes(pages, noise=True)))
 
 
 def pages_to_content(pages: DataFrame, *, keep_media: bool = False) -> DataFrame:
     """``(page_id, url, html)``: the cleaned main content as HTML."""
-    return content_html(main_content(stored_nodes(pages), keep_media=keep_media))
+    return content_html(main_content(page_nodes(pages), keep_media=keep_media))
 
 
 def result_pages(pages: DataFrame, results: DataFrame) -> DataFrame:

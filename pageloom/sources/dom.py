@@ -1,4 +1,4 @@
-"""``nodes``: one row per element, text or comment of every captured page.
+"""Trees of captured pages: one row per page with its nodes as an array, or one row per node.
 
 This is the only Python in the library.  It runs on Arrow batches inside the
 tasks; one page is one input row, so a batch never needs more than its pages.
@@ -67,6 +67,54 @@ def shred(pages: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return source.mapInArrow(lambda batches: _shred_batches(batches, names), schema)
 
 
+#: Fields of a node in the tree of a page; its place in the array is its number in document order.
+TREE_FIELDS = {
+    "n": "node_id", "end": "end_id", "parent": "parent_id", "kind": "kind", "tag": "tag", "text": "text",
+    "attrs": "attrs", "up": "ancestors",
+}
+
+
+def page_trees(pages: DataFrame, fields: Sequence[str] = tuple(TREE_FIELDS)) -> DataFrame:
+    """``(page_id, url, nodes)``: one row per page with HTML, ``nodes`` in document order.
+
+    A node is ``struct<n, end, parent, kind, tag, text, attrs, up>``: its number,
+    its last descendant, its parent, and its ancestors from the root down.
+    Fields that are not asked for are not built.
+    """
+    names = [name for name in TREE_FIELDS if name in fields]
+    node = T.StructType([T.StructField(name, NODE_SCHEMA[TREE_FIELDS[name]].dataType) for name in names])
+    schema = T.StructType([NODE_SCHEMA["page_id"], NODE_SCHEMA["url"], T.StructField("nodes", T.ArrayType(node))])
+    source = spread(pages.select("page_id", "url", "html").where("html IS NOT NULL"))
+    return source.mapInArrow(lambda batches: _tree_batches(batches, names), schema)
+
+
+def _tree_batches(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[pa.RecordBatch]:
+    names = [TREE_FIELDS[name] for name in fields]
+
+    def packed(pages: list[tuple], flat: dict[str, list], offsets: list[int]) -> pa.RecordBatch:
+        arrays = [pa.array(flat[name], _ARROW.get(name, pa.int32())) for name in names]
+        nodes = pa.StructArray.from_arrays(arrays, fields)
+        ids, urls = zip(*pages)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(urls, pa.string()),
+             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)],
+            ["page_id", "url", "nodes"],
+        )
+
+    pages, flat, offsets = [], {name: [] for name in names}, [0]
+    for batch in batches:
+        for page_id, url, text in zip(*(column.to_pylist() for column in batch.columns)):
+            rows, ends = flatten(TreeBuilder(text).build())
+            _add_rows(flat, names, page_id, url, rows, ends)
+            pages.append((page_id, url))
+            offsets.append(offsets[-1] + len(rows))
+            if offsets[-1] >= ROWS_PER_BATCH:
+                yield packed(pages, flat, offsets)
+                pages, flat, offsets = [], {name: [] for name in names}, [0]
+    if pages:
+        yield packed(pages, flat, offsets)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core work when the input is too small to fill its splits.
 

@@ -39,6 +39,11 @@ def convert_stream(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     return run_batches(pages, pages_to_markdown, out, checkpoint)
 
 
+def markdown_stream(pages: DataFrame) -> DataFrame:
+    """Markdown of arriving pages as a plan of its own: stateless, and no micro-batch stores anything."""
+    return pages_to_markdown(pages)
+
+
 def link_stream(pages: DataFrame) -> DataFrame:
     """Links of arriving pages; stateless, so it needs no micro-batch function."""
     return extract_links(pages)

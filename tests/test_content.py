@@ -7,7 +7,7 @@ from pageloom.operators.content import (
     content_roots,
     main_content,
     score_nodes,
-    stored_nodes,
+    page_nodes,
 )
 from pageloom.plans.convert import pages_to_content
 
@@ -31,7 +31,7 @@ def test_roots(make_pages):
         "<html class=social><p>x</p>",
         "",
     ]
-    got = {r.page_id: (r.root_id, r.root_tag) for r in content_roots(stored_nodes(make_pages(docs))).collect()}
+    got = {r.page_id: (r.root_id, r.root_tag) for r in content_roots(page_nodes(make_pages(docs))).collect()}
     tags = [got[i][1] for i in range(len(docs))]
     assert tags == ["article", "main", "body", "div", "div", "div", "div", None, None, "body"]
     # first article in the document; best candidate; first of the zero-scored; more text wins
@@ -45,10 +45,8 @@ def test_score(make_pages):
         "<div class=content>tiny</div>"
         f"<div class=post-content>{LONG}</div><div class=entry>{'é' * 50} </div>"
     )
-    nodes = stored_nodes(make_pages([html]))
-    cands = nodes.where("kind = 'element' AND tag = 'div'").selectExpr(
-        "page_id", "node_id", "end_id", "depth", "tag", "attrs['class'] AS class", "attrs['id'] AS id"
-    )
+    nodes = page_nodes(make_pages([html]))
+    cands = "x.kind = 'element' AND x.tag = 'div'"
     rows = score_nodes(nodes, cands).orderBy("node_id").collect()
     # post: +50; header holds both "ad" and "header": -200; post-content: "content" and "post"
     sizes = [len(LONG) + 4, len(LONG) - 1, 4, len(LONG) - 1, 100]
@@ -63,7 +61,7 @@ def test_score(make_pages):
     assert [(r.n_p, r.n_list, r.n_img, r.link_bytes) for r in rows][0] == (1, 1, 1, 4)
     best = best_candidates(nodes, cands).collect()
     assert len(best) == 1 and best[0].n_candidates == 5
-    assert best[0].best.node_id == rows[3].node_id
+    assert best[0].best.n == rows[3].node_id
 
 
 CLEAN = [
@@ -93,7 +91,7 @@ def test_clean(make_pages):
 
 def test_keep_media(make_pages):
     pages = make_pages(["<article><p><img src=i></p>a<br>b<hr><i></i><div> </div></article>"])
-    got = htmls(content_html(main_content(stored_nodes(pages), keep_media=True)))
+    got = htmls(content_html(main_content(page_nodes(pages), keep_media=True)))
     assert got == ['<p><img src="i"/></p>a<br/>b<hr/>']
 
 

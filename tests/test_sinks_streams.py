@@ -3,7 +3,7 @@ import os
 
 from pageloom.operators.links import extract_links
 from pageloom.plans.convert import pages_to_markdown
-from pageloom.session import new_folder
+from pageloom.session import new_folder, shared_folder
 from pageloom.sinks.documents import (
     document_files,
     export_layout,
@@ -13,7 +13,14 @@ from pageloom.sinks.documents import (
 )
 from pageloom.sinks.report import report_lines, summary_lines, write_report, write_results
 from pageloom.sources.pages import read_page_files, read_pages, stream_pages
-from pageloom.streaming.flows import append_stream, convert_stream, link_stream, store_stream, visited_stream
+from pageloom.streaming.flows import (
+    append_stream,
+    convert_stream,
+    link_stream,
+    markdown_stream,
+    store_stream,
+    visited_stream,
+)
 
 RESULTS = [
     ("https://h.example/", "# A & <b> ", 0, []),
@@ -101,6 +108,11 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(os.listdir(out)) == 3
     batch = pages_to_markdown(source)
     assert streamed.count() == 50 and streamed.exceptAll(batch).isEmpty()
+    plain, held = str(tmp_path / "plain"), set(os.listdir(shared_folder(spark)))
+    arriving = markdown_stream(stream_pages(spark, str(tmp_path / "in"), files_per_batch=1))
+    append_stream(arriving, plain, plain + "-state").awaitTermination()
+    assert spark.read.parquet(plain).exceptAll(batch).isEmpty() and spark.read.parquet(plain).count() == 50
+    assert set(os.listdir(shared_folder(spark))) == held  # three batches leave only their output
     links = str(tmp_path / "links")
     append_stream(link_stream(stream_pages(spark, str(tmp_path / "in"))), links, links + "-state").awaitTermination()
     assert spark.read.parquet(links).exceptAll(extract_links(source)).isEmpty()
