@@ -67,3 +67,36 @@ def first_ranks(
         return ordered_rank(df, group, order, name).where(F.col(name) <= size)
     place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn(name, place).where(F.col(name) <= size)
+
+
+def paced(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], at: str, step: int, name: str = "paced"
+) -> DataFrame:
+    """Adds ``name``: within ``group`` by ``order``, the least numbers not below ``at`` that grow by ``step`` or more.
+
+    That is ``max(at, the one before + step)``, a recurrence in which row ``i``
+    takes ``i * step`` plus the largest ``at - j * step`` of the rows up to it.
+    Maxima and counts of range partitions combine in any grouping, so a group of
+    any size spreads over tasks.  ``order`` must have no ties.
+    """
+    keys = [*group, *order]
+    stored = cut_lineage(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    local = Window.partitionBy("_part", *group).orderBy(*order)
+    ahead = F.col(at) - F.col("_local") * F.lit(step)
+    ranked = stored.withColumn("_local", F.row_number().over(local).cast("bigint")).withColumn("_ahead", ahead)
+    parts = ranked.groupBy("_part", *group).agg(F.count("*").alias("_n"), F.max("_ahead").alias("_most"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    parts = parts.withColumn("_top", F.max(F.col("_most") - F.col("_before") * F.lit(step)).over(before))
+    parts = parts.drop("_n", "_most").withColumnsRenamed({key: f"_of_{key}" for key in ["_part", *group]})
+    running = ranked.withColumn("_run", F.max("_ahead").over(local))
+    same = F.lit(True)
+    for key in ["_part", *group]:
+        same &= running[key].eqNullSafe(parts[f"_of_{key}"])
+    place = F.col("_local") + F.col("_before")
+    most = F.greatest(F.col("_run") - F.col("_before") * F.lit(step), F.col("_top"))
+    return (
+        running.join(parts, same)
+        .withColumn(name, most + place * F.lit(step))
+        .select(*df.columns, name)
+    )

@@ -1,5 +1,5 @@
 """Queries over the given tables, and the SQL that checks each of them."""
 
-from pageloom.workload import content_queries, crawl_queries, url_queries
+from pageloom.workload import content_queries, crawl_queries, rule_queries, url_queries
 
-MODULES = (url_queries, content_queries, crawl_queries)
+MODULES = (url_queries, content_queries, crawl_queries, rule_queries)
