@@ -64,6 +64,5 @@ def visited_flag(urls: DataFrame, visited: DataFrame) -> DataFrame:
 
 def fetch_outcome(level: DataFrame, captured: DataFrame) -> DataFrame:
     """Adds ``page_id`` and ``fetched`` to frontier rows; a miss gives no result and no links."""
-    return level.join(captured.select("url", "page_id"), "url", "left").withColumn(
-        "fetched", F.col("page_id").isNotNull()
-    )
+    known = level.join(captured.select("url", "page_id"), "url", "left").withColumn("fetched", F.col("page_id").isNotNull())
+    return known.select(*level.columns, "page_id", "fetched")

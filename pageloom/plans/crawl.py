@@ -2,8 +2,11 @@
 
 Depth is the least number of links from the start.  Each round is written to
 shared storage, which keeps plans short and lets the crawl survive lost
-executors.  HTML is read once, to get the links; links and captures are stored
-by URL, so a round shuffles its own level and the visited set, not the graph.
+executors.  HTML is read once, to get the links; links, captures and the visited
+set are stored by URL.  A round of a single crawl shuffles the targets of its own
+links and nothing else: it reads its level from the visited set, joins links,
+visited set and captures where they lie, and appends what it found as files of
+its own.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pageloom.operators.frontier import fetch_outcome, frontier_step, seed_level
 from pageloom.operators.links import captures, extract_links, literal_allowlist
 from pageloom.operators.ranking import first_per_group, first_ranks
 from pageloom.plans.config import CrawlConfig
-from pageloom.session import bucket_count, cut_lineage, store_by
+from pageloom.session import KeyedLog, bucket_count, cut_lineage, shuffle_partitions, store_by
 
 ORDER = ["depth", "path"]
 
@@ -41,13 +44,15 @@ def crawl(
     buckets = bucket_count(pages)
     captured = _stored(captures(usable), one_site, buckets)
     edges = _stored(_edges(usable, captured, config, allowed), one_site, buckets)
+    if one_site:
+        return _crawl_one(first, edges, captured, config, buckets)
 
     levels: list[DataFrame] = []
     level = first
     for depth in range(config.max_depth + 1):
         outcome = cut_lineage(fetch_outcome(level, captured))
         if config.max_pages is not None:
-            outcome = cut_lineage(_within_limit(outcome, levels, config.max_pages, one_site))
+            outcome = cut_lineage(_within_limit(outcome, levels, config.max_pages, one_site=False))
         levels.append(outcome)
         if depth == config.max_depth:
             break
@@ -59,6 +64,48 @@ def crawl(
     return reduce(DataFrame.unionByName, levels)
 
 
+def _crawl_one(
+    first: DataFrame, edges: DataFrame, captured: DataFrame, config: CrawlConfig, buckets: int
+) -> DataFrame:
+    """The rounds of a single crawl over a visited set that only grows."""
+    spark = first.sparkSession
+    visited = KeyedLog(spark, "url", buckets)
+    with shuffle_partitions(spark, buckets):
+        for depth in range(config.max_depth + 1):
+            if depth:
+                earlier = visited.rows()
+                level = _open_sites(earlier.where(f"depth = {depth - 1} AND fetched"), earlier, config)
+                outcome = visit_step(level, edges, earlier, captured)
+            else:
+                earlier, outcome = None, fetch_outcome(first, captured)
+            if config.max_pages is not None:
+                outcome = cut_lineage(outcome)
+                held = [] if earlier is None else [earlier]
+                outcome = _within_limit(outcome, held, config.max_pages, one_site=True).repartition(buckets, "url")
+            visited.append(outcome)
+            if depth < config.max_depth and visited.rows().where(f"depth = {depth}").isEmpty():
+                break
+    return visited.close()
+
+
+def visit_step(level: DataFrame, edges: DataFrame, visited: DataFrame, captured: DataFrame) -> DataFrame:
+    """Targets of a level's links that were not visited before, with their outcome; of one crawl.
+
+    ``edges``, ``visited`` and ``captured`` are bucketed by URL, so the one
+    exchange is that of the targets, reduced on the map side first.
+    """
+    found = level.join(edges.select("url", "pos", "link"), "url").selectExpr(
+        "site", "link", "depth + 1 AS depth", "struct(concat(path, array(pos)) AS path, url AS via) AS first"
+    )
+    unique = found.groupBy(F.col("link").alias("url")).agg(
+        F.min("site").alias("site"), F.min("depth").alias("depth"), F.min("first").alias("first")
+    )
+    fresh = unique.join(visited.select("url"), "url", "left_anti")
+    return fetch_outcome(fresh.select("site", "url", "depth", "first.path", "first.via"), captured).select(
+        "site", "url", "depth", "path", "via", "page_id", "fetched"
+    )
+
+
 def _stored(by_url: DataFrame, one_site: bool, buckets: int) -> DataFrame:
     """Store links or captures for the rounds.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -88,3 +90,45 @@ def store_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
     stored.schema  # resolved before the name goes away
     spark.sql(f"DROP TABLE {name}")
     return stored
+
+
+class KeyedLog:
+    """An append-only table bucketed by a key, in the shared folder.
+
+    Each append adds files of its own and leaves the others alone.  All rows
+    appended so far are one table, and joins and groupings by the key need no
+    shuffle of it.  Rows partitioned by the key into as many parts are written
+    as one file a bucket.
+    """
+
+    def __init__(self, spark: SparkSession, key: str, buckets: int):
+        self.spark, self.key, self.buckets = spark, key, buckets
+        self.name = f"pageloom_{uuid.uuid4().hex}"
+        self.path = new_folder(spark, self.name)
+
+    def append(self, df: DataFrame) -> None:
+        writer = df.write.format("parquet").mode("append").bucketBy(self.buckets, self.key)
+        writer.option("path", self.path).saveAsTable(self.name)
+
+    def rows(self) -> DataFrame:
+        self.spark.catalog.refreshTable(self.name)
+        return self.spark.table(self.name)
+
+    def close(self) -> DataFrame:
+        """All rows; the table leaves no name behind."""
+        rows = self.rows()
+        rows.schema  # resolved before the name goes away
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return rows
+
+
+@contextmanager
+def shuffle_partitions(spark: SparkSession, number: int) -> Iterator[None]:
+    """Shuffles planned inside make ``number`` parts; then the session's own setting holds again."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(number))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -116,3 +116,33 @@ def test_visited_flag_and_incremental(spark):
     level = seed_level(urls.selectExpr("0 AS site", "url AS start_url"))
     live = visited.selectExpr("url AS key")
     assert [r.url for r in incremental_frontier(level, live).collect()] == [f"{H}/z"]
+
+
+def test_a_round_of_one_crawl_has_one_exchange(spark):
+    """Links, visited set and captures are joined where they lie; only the targets of the round's links move."""
+    from pageloom.operators.frontier import fetch_outcome
+    from pageloom.plans.crawl import visit_step
+    from pageloom.session import KeyedLog, shuffle_partitions, store_by
+
+    def by_url(df):
+        return store_by(df.repartition(4, "url"), "url", 4)
+
+    edges = by_url(spark.range(200).selectExpr("concat('u', id) AS url", "0 AS pos", "concat('u', 2 * id + 1) AS link"))
+    captured = by_url(spark.range(200).selectExpr("concat('u', id) AS url", "id AS page_id"))
+    first = spark.sql("SELECT 0 AS site, 'u0' AS url, 0 AS depth, CAST(array() AS array<int>) AS path, string(NULL) AS via")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with shuffle_partitions(spark, 4):
+            log = KeyedLog(spark, "url", 4)
+            log.append(fetch_outcome(first, captured))
+            for depth in range(3):
+                visited = log.rows()
+                step = visit_step(visited.where(f"depth = {depth} AND fetched"), edges, visited, captured)
+                plan = step._jdf.queryExecution().executedPlan().toString()
+                assert plan.count("Exchange") == 1 and "SinglePartition" not in plan, plan
+                log.append(step)
+        found = log.close().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted((r["url"], r["depth"]) for r in found) == [("u0", 0), ("u1", 1), ("u3", 2), ("u7", 3)]
