@@ -19,6 +19,7 @@ from pageloom.plans.crawl import (
     links_added,
 )
 from pageloom.plans.fetch import fetch_schedule
+from pageloom.plans.refresh import refresh
 from pageloom.plans.retry import is_retryable, retry_plan
 from pageloom.session import new_folder
 from pageloom.sinks.documents import export_layout
@@ -146,6 +147,29 @@ def incremental_frontier_query(spark, sf_dir):
     return incremental_frontier(level.select("url", "depth").distinct(), kept)
 
 
+def crawl_twice(spark, sf_dir):
+    """Two runs against one store: shallow pages are stored half a day before the others, and the second run
+    comes when only they have expired.
+    """
+    source = linked_pages(spark, sf_dir)
+    visited, config = _visited(spark, sf_dir)
+    found = crawl_results(visited, config)
+
+    def at(hours):
+        return F.expr(f"TIMESTAMP_NTZ '2024-01-01 00:00:00' + INTERVAL '{hours}' HOUR")
+
+    path = new_folder(spark, "store")
+    held = store.clear(store.entries(found.selectExpr("url AS key", "'' AS value"), at(0)))
+    for part, hours in (("depth <= 1", 0), ("depth > 1", 12), ("true", 30)):
+        store.append(refresh(source, found.where(part), held, at(hours)), path)
+        held = spark.read.parquet(path)
+    again = spark.read.parquet(path)
+    written = again.groupBy("key").agg(F.count("*").alias("n_writes"))
+    return store.live(again, at(30)).join(written, "key").selectExpr(
+        "key AS url", "written_at", "expires_at", "n_writes", "length(value) > 0 AS filled"
+    )
+
+
 def _store(spark, sf_dir):
     return store.entries(results(spark, sf_dir), F.col("ts"))
 
@@ -234,6 +258,7 @@ QUERIES = {
     "crawl_report": crawl_report,
     "export_layout": export_layout_query,
     "incremental_frontier": incremental_frontier_query,
+    "crawl_twice": crawl_twice,
     "store_put": store_put,
     "store_get": store_get,
     "store_delete": store_delete,
@@ -346,6 +371,11 @@ ORACLES = {
              w AS (SELECT url, max(ts) AS ts FROM p JOIN events ON user_id = page_id GROUP BY url)
         SELECT DISTINCT url, 0 AS depth FROM p
         WHERE url NOT IN (SELECT url FROM w WHERE ts + INTERVAL 36 HOUR > TIMESTAMP '2024-01-31 00:00:00')""",
+    "crawl_twice": f"""
+        WITH RECURSIVE {bfs(DEPTH)}, f AS (SELECT url, depth FROM least JOIN cap USING (url))
+        SELECT url, TIMESTAMP '2024-01-01' + to_hours(CASE WHEN depth <= 1 THEN 30 ELSE 12 END) AS written_at,
+               TIMESTAMP '2024-01-02' + to_hours(CASE WHEN depth <= 1 THEN 30 ELSE 12 END) AS expires_at,
+               CASE WHEN depth <= 1 THEN 2 ELSE 1 END::BIGINT AS n_writes, true AS filled FROM f""",
     "store_put": f"""
         WITH {_ENTRIES}, {_NEWEST.format('')}
         SELECT key, l.v AS value, l.w AS written_at, l.e AS expires_at FROM lst""",
