@@ -6,6 +6,18 @@ as soon as another one remembers something, so stages do not add up.
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
+
+
+def give_back() -> None:
+    """Hands freed memory to the system, where its allocators would keep it for this process."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
 
 class Remembered(dict):
     """Values made from keys, those used lately: at most ``limit`` bytes, counted by the caller.
@@ -36,6 +48,7 @@ class Remembered(dict):
         if Remembered._active is not self:
             if Remembered._active is not None:
                 Remembered._active.forget()
+                give_back()
             Remembered._active = self
         if self.held > self.limit // 2:
             self.earlier, self.held = dict(self), 0

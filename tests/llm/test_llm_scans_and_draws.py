@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from pageloom.llm import alignment, license_scan, resampling
 from pageloom.llm.license_rules import CONFIDENCE, Rule, rules
+from pageloom.llm.memory import Remembered
 from pageloom.llm.queries import BYTE_BPE, PIECE_BPE
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -244,3 +245,12 @@ def test_refined_ends_of_shared_characters():
     # Two tokens of one character of three bytes, then byte-fallback tokens with empty spans.
     ends = alignment.refine(np.array([0, 1, 1, 4, 4, 4]), np.array([1, 4, 4, 4, 4, 7]), np.array([1, 1, 2, 1, 1, 1]))
     assert ends.tolist() == [1, 2, 4, 5, 6, 7]
+
+
+def test_remembered_is_bounded_and_of_one_operator():
+    first, second = Remembered(1000), Remembered(1000)
+    for i in range(100):
+        first.keep(i, -i, 50)
+    assert first.held <= 600 and len(first) + len(first.earlier) <= 24 and first[99] == -99
+    second.keep_all({1: 2}, 50)
+    assert not first and not first.earlier and second[1] == 2
