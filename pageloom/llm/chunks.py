@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from pageloom.llm.memory import Remembered
 
-REMEMBERED_BYTES = 144 << 20
+REMEMBERED_BYTES = 256 << 20
 GROUP = 200
 JOINED = 500
 LONGEST = 48
