@@ -6,7 +6,8 @@ similarity ``t`` and ``n`` grams, two similar documents share at least ``l`` of
 their first ``n - ceil(t * n) + l`` grams, for any ``l``.  Each document chooses
 its ``l`` by the estimated cost of its candidates: a longer prefix reads more
 lists but asks for ``l`` shared grams before the sets are compared.  For a pair
-the smaller ``l`` of the two holds.
+the smaller ``l`` of the two holds, and as both sizes are known then, so does
+the shorter prefix that follows from the overlap the two need.
 
 Groups of near copies may be of any size, so pairs are not listed within them:
 
@@ -20,14 +21,16 @@ Groups of near copies may be of any size, so pairs are not listed within them:
 A pair that is never compared is in one component already, so components are
 exact, and so is every link reported between different texts of two components.
 
-How often grams occur is counted over all documents, on each document's lowest
-hashes (a little more than its prefix).  Frequent grams go last; a document left
-with too few rare ones has its prefix taken from the whole text again.
+How often grams occur is counted over the sets of all documents, on each set's
+lowest hashes (a little more than its prefix).  Frequent grams go last; a
+document left with too few rare ones has its prefix taken from the whole text
+again.  Grams of one list only, by these counts and by the prefixes taken
+again, are left out of the lists.
 
 Defined results: without words the set is empty and links with nothing; with
 fewer words than ``n`` the whole sequence is the only gram; NULL text is empty;
 rows repeated with one ``doc_id`` are one node, and each gets its row in the
-result; a NULL ``doc_id`` has a NULL component; an empty table gives an empty
+result; if their sets differ, the set with the least hash stands for the node; a NULL ``doc_id`` has a NULL component; an empty table gives an empty
 result.
 """
 
@@ -44,7 +47,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.components import components
 from pageloom.llm.memory import Remembered
-from pageloom.llm.tables import arrow_batches, release, stored, texts_of
+from pageloom.llm.tables import arrow_batches, discard, release, stored, texts_of
 
 WORDS, PERCENT = 5, 80
 MOST_MATCHES = 4
@@ -103,6 +106,18 @@ def gram_set(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def signature_of(grams: np.ndarray) -> bytes:
+    return blake2b(grams.tobytes(), digest_size=16).digest()
+
+
+def _node_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Ids and sets of rows ``(doc_id, text, signature)`` whose text has that signature."""
+    for doc_id, text, signature in zip(batch["doc_id"], batch["text"], batch["signature"]):
+        grams = gram_set(text.as_py(), words)
+        if signature_of(grams) == signature.as_py():
+            yield doc_id.as_py(), grams
+
+
 def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
@@ -116,6 +131,13 @@ def _kept(n: int, percent: int) -> int:
     return min(n, prefix_length(n, MOST_MATCHES, percent) + 4 + n // 12)
 
 
+def _marked(marks: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Which grams a map of bits has; some that it was not made from, too."""
+    place = grams & np.uint64(8 * len(marks) - 1)
+    bit = np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)
+    return (marks[(place >> np.uint64(3)).astype(np.int64)] & bit) != 0
+
+
 class Frequencies:
     """How often grams occur: a map of those that occur twice, and a table of powers of two.
 
@@ -128,9 +150,7 @@ class Frequencies:
 
     def power(self, grams: np.ndarray) -> np.ndarray:
         """0 for grams that occur once, 1 for a few times, then the power of two."""
-        place = grams & np.uint64(8 * len(self.repeated) - 1)
-        bit = np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)
-        seen = (self.repeated[(place >> np.uint64(3)).astype(np.int64)] & bit) != 0
+        seen = _marked(self.repeated, grams)
         often = self.powers[(grams & np.uint64(len(self.powers) - 1)).astype(np.int64)].astype(np.int64)
         return np.where(seen, np.maximum(often, 1), 0)
 
@@ -160,27 +180,34 @@ def adaptive_prefix(grams: np.ndarray, n: int, table: Frequencies, percent: int)
     return grams[order[: prefix_length(n, chosen, percent)]], chosen
 
 
-# Layer 1 is the prefix for one match, layer l the gram that the prefix for l matches adds.
-# A posting's meta is n * 64 + matches * 8 + layer.
+# A posting's meta is its set's size, its place in the set's order and the set's matches, in this many bits.
+PLACE_BITS, MATCH_BITS = 31, 3
 
 
-def _postings_batch(ids: list, sizes: list, prefixes: list, percent: int) -> pa.RecordBatch:
+def _postings_batch(ids: list, sizes: list, prefixes: list) -> pa.RecordBatch:
+    """``prefixes`` are ``(prefix, matches, wanted)``; grams that are not wanted are left out, places are kept."""
     tokens, docs, metas = [], [], []
-    for doc_id, n, (prefix, matches) in zip(ids, sizes, prefixes):
-        layer = np.ones(len(prefix), np.int64)
-        first = prefix_length(n, 1, percent)
-        layer[first:] = np.arange(2, 2 + len(prefix) - first)
-        tokens.append(prefix.view(np.int64))
-        docs.append(np.full(len(prefix), doc_id, np.int64))
-        metas.append(n * 64 + matches * 8 + layer)
+    for doc_id, n, (prefix, matches, wanted) in zip(ids, sizes, prefixes):
+        place = np.flatnonzero(wanted)
+        tokens.append(prefix[place].view(np.int64))
+        docs.append(np.full(len(place), doc_id, np.int64))
+        metas.append((((n << PLACE_BITS) + place.astype(np.int64)) << MATCH_BITS) + matches)
     empty = [np.zeros(0, np.int64)]
     arrays = [pa.array(np.concatenate(x or empty)) for x in (tokens, docs, metas)]
     return pa.RecordBatch.from_arrays(arrays, ["token", "doc", "meta"])
 
 
+def _size(meta: str) -> Column:
+    return F.shiftright(meta, PLACE_BITS + MATCH_BITS)
+
+
+def _place(meta: str) -> Column:
+    return F.shiftright(meta, MATCH_BITS).bitwiseAND((1 << PLACE_BITS) - 1)
+
+
 def _need() -> Column:
     """Shared grams asked for of a pair: the smaller choice of the two."""
-    return F.least(*(F.shiftright(F.col(c).bitwiseAND(63), 3) for c in ("a_meta", "b_meta")))
+    return F.least(*(F.col(c).bitwiseAND((1 << MATCH_BITS) - 1) for c in ("a_meta", "b_meta")))
 
 
 def _sized(narrow: DataFrame) -> DataFrame:
@@ -210,6 +237,16 @@ def _bytes(cells: DataFrame, size: int) -> np.ndarray:
     return table.reshape(-1)
 
 
+def _bit_map(grams: DataFrame) -> np.ndarray:
+    """A bit for the hash of each ``token``, eight places for each, within bounds."""
+    wanted = max(1, 8 * grams.count() - 1).bit_length()
+    bits = min(max(wanted, LEAST_MAP_BITS), MOST_MAP_BITS)
+    byte = F.shiftright(F.col("token").bitwiseAND((1 << bits) - 1), 3).cast("int")
+    bit = F.expr("shiftleft(1, CAST(token & 7 AS INT))")
+    seen = grams.groupBy(byte.alias("place")).agg(F.bit_or(bit).cast("int").alias("value"))
+    return _bytes(seen, 1 << (bits - 3))
+
+
 class NgramJoin:
     """One run of the join over one table of documents."""
 
@@ -217,12 +254,14 @@ class NgramJoin:
         self.texts = texts_of(docs)
         self.spark = docs.sparkSession
         self.words, self.percent = words, percent
-        self.signed = stored(self._sign(), "grams")
-        filled = self.signed.where("n > 0 AND doc_id IS NOT NULL")
+        signed = stored(self._sign(), "grams")
+        filled = signed.where("n > 0 AND doc_id IS NOT NULL")
         self.classes = stored(filled.groupBy("signature").agg(F.min("doc_id").alias("node")), "classes")
-        self.nodes = filled.join(
-            self.classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"
-        ).dropDuplicates(["doc_id"])
+        named = self.classes.groupBy(F.col("node").alias("doc_id")).agg(F.min("signature").alias("signature"))
+        nodes = filled.join(named, ["doc_id", "signature"], "left_semi").dropDuplicates(["doc_id"])
+        self.nodes = stored(nodes.select("doc_id", "n", "signature", "low"), "nodes")
+        self.signed = stored(signed.drop("low"), "signed")
+        discard(signed)
 
     # -- sets --------------------------------------------------------------------------------
 
@@ -235,7 +274,7 @@ class NgramJoin:
                 for text in batch["text"]:
                     grams = gram_set(text.as_py(), words)
                     sizes.append(len(grams))
-                    signatures.append(blake2b(grams.tobytes(), digest_size=16).digest())
+                    signatures.append(signature_of(grams))
                     low.append(grams[: _kept(len(grams), percent)].tobytes())
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": batch["doc_id"], "n": pa.array(sizes, pa.int64()),
@@ -243,22 +282,30 @@ class NgramJoin:
 
         return self.texts.mapInArrow(sign, "doc_id bigint, n bigint, signature binary, low binary")
 
+    def _whole(self, wanted: DataFrame) -> DataFrame:
+        """``(doc_id, text, signature)`` of the nodes named in ``wanted (doc)``; the signature is the node's."""
+        named = self.nodes.select("doc_id", "signature")
+        named = named.join(_sized(wanted.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi")
+        return self.texts.join(_sized(named), "doc_id")
+
     def sets_of(self, wanted: DataFrame) -> DataFrame:
         """``(doc, grams)`` with all grams of the documents named in ``wanted (doc)``."""
         words = self.words
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                grams = [gram_set(t.as_py(), words).tobytes() for t in batch["text"]]
-                yield pa.RecordBatch.from_pydict({"doc": batch["doc_id"], "grams": pa.array(grams, pa.binary())})
+                ids, grams = [], []
+                for doc_id, found in _node_sets(batch, words):
+                    ids.append(doc_id)
+                    grams.append(found.tobytes())
+                yield pa.RecordBatch.from_pydict({"doc": pa.array(ids, pa.int64()), "grams": pa.array(grams, pa.binary())})
 
-        rows = self.texts.join(_sized(wanted.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi")
-        return rows.mapInArrow(whole, "doc bigint, grams binary")
+        return self._whole(wanted).mapInArrow(whole, "doc bigint, grams binary")
 
     # -- prefixes ----------------------------------------------------------------------------
 
     def frequencies(self) -> Frequencies:
-        """Exact counts over all documents, hashed into tables of bound size."""
+        """Exact counts over the sets of all documents, hashed into tables of bound size."""
 
         def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -266,35 +313,26 @@ class NgramJoin:
                 tokens, counts = np.unique(np.frombuffer(joined, np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(counts)], ["token", "n"])
 
-        counted = self.signed.select("low").mapInArrow(low, "token bigint, n bigint")
+        counted = self.nodes.select("low").mapInArrow(low, "token bigint, n bigint")
         repeated = stored(counted.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "repeated")
         release(self.spark)
-        wanted = max(1, 8 * repeated.count() - 1).bit_length()
-        bits = min(max(wanted, LEAST_MAP_BITS), MOST_MAP_BITS)
-        byte = F.shiftright(F.col("token").bitwiseAND((1 << bits) - 1), 3).cast("int")
-        bit = F.expr("shiftleft(1, CAST(token & 7 AS INT))")
-        seen = repeated.groupBy(byte.alias("place")).agg(F.bit_or(bit).cast("int").alias("value"))
         place = F.col("token").bitwiseAND((1 << POWER_BITS) - 1).cast("int").alias("place")
         often = repeated.where(f"n >= {1 << LEAST_POWER}").groupBy(place)
         powers = often.agg(F.max(F.floor(F.log2("n"))).cast("int").alias("value"))
-        return Frequencies(_bytes(seen, 1 << (bits - 3)), _bytes(powers, 1 << POWER_BITS))
+        table = Frequencies(_bit_map(repeated), _bytes(powers, 1 << POWER_BITS))
+        discard(repeated)
+        return table
 
     def postings(self) -> DataFrame:
-        """``(token, doc, meta)``: the adaptive prefix of every node."""
+        """``(token, doc, meta)``: the adaptive prefix of every node, without grams that no other prefix has.
+
+        A gram the counts know once is in one known prefix at most.  So it can
+        meet another only in a prefix that was taken from a whole text, and
+        those prefixes' own rare grams are known by then.
+        """
         percent, words = self.percent, self.words
         table = self.spark.sparkContext.broadcast(self.frequencies())
 
-        def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, sizes, prefixes = [], [], []
-                for doc_id, n, low in zip(*(batch[c].to_pylist() for c in ("doc_id", "n", "low"))):
-                    prefix = adaptive_prefix(np.frombuffer(low, np.uint64), n, table.value, percent)
-                    if prefix is not None:
-                        ids.append(doc_id)
-                        sizes.append(n)
-                        prefixes.append(prefix)
-                yield _postings_batch(ids, sizes, prefixes, percent)
-
         def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = [
@@ -306,23 +344,57 @@ class NgramJoin:
 
         def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = [gram_set(t.as_py(), words) for t in batch["text"]]
-                prefixes = [adaptive_prefix(g, len(g), table.value, percent) for g in sets]
-                yield _postings_batch(batch["doc_id"].to_pylist(), [len(g) for g in sets], prefixes, percent)
+                ids, sizes, prefixes = [], [], []
+                for doc_id, grams in _node_sets(batch, words):
+                    prefix, matches = adaptive_prefix(grams, len(grams), table.value, percent)
+                    ids.append(doc_id)
+                    sizes.append(len(grams))
+                    prefixes.append((prefix, matches, np.ones(len(prefix), bool)))
+                yield _postings_batch(ids, sizes, prefixes)
+
+        def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                tokens = np.unique(batch["token"].to_numpy())
+                tokens = tokens[table.value.power(tokens.view(np.uint64)) == 0]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens)], ["token"])
 
         nodes = self.nodes.select("doc_id", "n", "low")
         lacking = stored(nodes.mapInArrow(short, "doc bigint"), "short_prefixes")
-        whole = self.texts.join(_sized(lacking.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi")
         schema = "token bigint, doc bigint, meta bigint"
-        return nodes.mapInArrow(known, schema).unionByName(whole.mapInArrow(again, schema))
+        # A row may be there twice.
+        late = stored(self._whole(lacking).mapInArrow(again, schema).distinct(), "late_prefixes")
+        discard(lacking)
+        met = self.spark.sparkContext.broadcast(_bit_map(late.select("token").mapInArrow(rare, "token bigint")))
+
+        def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, sizes, prefixes = [], [], []
+                for doc_id, n, low in zip(*(batch[c].to_pylist() for c in ("doc_id", "n", "low"))):
+                    found = adaptive_prefix(np.frombuffer(low, np.uint64), n, table.value, percent)
+                    if found is not None:
+                        prefix, matches = found
+                        wanted = (table.value.power(prefix) > 0) | _marked(met.value, prefix)
+                        ids.append(doc_id)
+                        sizes.append(n)
+                        prefixes.append((prefix, matches, wanted))
+                yield _postings_batch(ids, sizes, prefixes)
+
+        early = stored(nodes.mapInArrow(known, schema), "prefixes")
+        return early.unionByName(late)
 
     # -- candidates and links ----------------------------------------------------------------
 
     def _alike(self) -> Column:
-        """Whether ``a_meta`` and ``b_meta`` allow a link, and their common gram counts for it."""
-        size_a, size_b = F.shiftright("a_meta", 6), F.shiftright("b_meta", 6)
-        layer = F.greatest(*(F.col(c).bitwiseAND(7) for c in ("a_meta", "b_meta")))
-        return (F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * self.percent) & (layer <= _need())
+        """Whether ``a_meta`` and ``b_meta`` allow a link, and their common gram counts for it.
+
+        Sets of these sizes are linked if they share ``overlap`` grams or more.
+        Then ``need`` of them are among the first ``size - overlap + need`` of
+        each set.
+        """
+        size_a, size_b = _size("a_meta"), _size("b_meta")
+        overlap = F.ceil((size_a + size_b) * self.percent / (100 + self.percent))
+        near = [_place(f"{side}_meta") < size - overlap + _need() for side, size in (("a", size_a), ("b", size_b))]
+        return (F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * self.percent) & near[0] & near[1]
 
     def _matching(self, rows: DataFrame) -> DataFrame:
         """``(a, b)`` of rows ``(a, b, need)`` that share enough prefix grams."""
@@ -354,49 +426,41 @@ class NgramJoin:
         second = sets.join(_sized(others), "doc", "left_semi").select(F.col("doc").alias("b"), F.col("grams").alias("b_grams"))
         joined = pairs.join(first, "a").join(second, "b")
         found = joined.select("a", "b", "a_grams", "b_grams").mapInArrow(compare, "a bigint, b bigint")
-        return stored(found, "links")
+        found = stored(found.distinct(), "links")
+        discard(pairs, sets)
+        return found
 
     def _pivots(self, lists: DataFrame, salt: int) -> DataFrame:
         """Rows of lists that hold several components, each with its list's pivot and length."""
-        head = F.struct(F.xxhash64("doc", F.lit(salt)).alias("h"), "component", "doc")
+        head = F.struct(F.xxhash64("doc", F.lit(salt)).alias("h"), "component", "doc", "meta")
         heads = (
             lists.groupBy("token")
             .agg(F.min(head).alias("head"), F.min("component").alias("low"), F.max("component").alias("high"),
                  F.count("*").alias("length"))
             .where("low <> high")
-            .selectExpr("token", "head.component AS b_component", "head.doc AS b", "length")
+            .selectExpr("token", "head.component AS b_component", "head.doc AS b", "head.meta AS b_meta", "length")
         )
         return lists.join(heads, "token")
 
     def _stars(self, rows: DataFrame) -> DataFrame:
-        """``(a, b)``: documents and their pivots.
-
-        No pair is lost by leaving some out here: those are among the crossing
-        pairs, if they are not in one component by then.
-        """
-        enough = F.shiftright(F.first("meta").bitwiseAND(63), 3)
-        return (
-            rows.groupBy(F.col("doc").alias("a"), "b")
-            .agg(F.count("*").alias("shared"), enough.alias("need"))
-            .where("shared >= need")
-            .select("a", "b")
-        )
+        """``(a, b)``: documents and those of their pivots that may be linked with them."""
+        pairs = rows.select(F.col("doc").alias("a"), "b", F.col("meta").alias("a_meta"), "b_meta")
+        return self._matching(pairs.where(self._alike()).select("a", "b", _need().alias("need")))
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links found between nodes, and ``(doc, component)`` of all nodes that share a gram."""
         postings = self.postings()
-        heads = postings.groupBy("token").agg(F.min("doc").alias("b"), F.max("doc").alias("high"))
-        lists = stored(postings.join(heads.where("b <> high").drop("high"), "token"), "lists")
+        heads = postings.groupBy("token").agg(F.min(F.struct("doc", "meta")).alias("head"), F.max("doc").alias("high"))
+        heads = heads.where("head.doc <> high").selectExpr("token", "head.doc AS b", "head.meta AS b_meta")
+        lists = stored(postings.join(heads, "token"), "lists")
+        discard(postings)
         del postings, heads
         release(self.spark)
         labels = lists.select("doc", F.col("doc").alias("component")).distinct()
-        stars = self._stars(lists.where("doc <> b"))
-        alone = lists.select("token", "doc", "meta")
-        new = self._verified(stars)
+        new = self._verified(self._stars(lists.where("doc <> b")))
         found, salt = [new], 1
         labels = stored(self._relabelled(labels, new), "labels")
-        rows = stored(self._pivots(alone.join(labels, "doc"), salt), "lists")
-        release(self.spark)
+        rows = self._next_lists(lists, labels, salt)
         while salt < PIVOT_ROUNDS:
             # Only long lists are worth further pivots; the others' pairs are few.
             long = rows.where((F.col("length") > LONG_LIST) & (F.col("component") != F.col("b_component")))
@@ -407,36 +471,51 @@ class NgramJoin:
                 break
             salt += 1
             found.append(new)
-            labels = stored(self._relabelled(labels, new), "labels")
-            rows = stored(self._pivots(rows.select("token", "doc", "meta").join(labels, "doc"), salt), "lists")
-            release(self.spark)
+            labels = self._next_labels(labels, new)
+            rows = self._next_lists(rows, labels, salt)
         if not rows.isEmpty():
             new = self._verified(self._matching(self._crossing(rows)))
             found.append(new)
             if not new.isEmpty():
-                labels = stored(self._relabelled(labels, new), "labels")
+                labels = self._next_labels(labels, new)
+        discard(rows)
         links = found[0]
         for more in found[1:]:
             links = links.unionByName(more)
         return links, labels
 
+    def _next_labels(self, labels: DataFrame, new: DataFrame) -> DataFrame:
+        made = stored(self._relabelled(labels, new), "labels")
+        discard(labels)
+        return made
+
+    def _next_lists(self, lists: DataFrame, labels: DataFrame, salt: int) -> DataFrame:
+        """The lists that still hold several components, with other pivots; ``lists`` are gone after this."""
+        rows = stored(self._pivots(lists.select("token", "doc", "meta").join(labels, "doc"), salt), "lists")
+        discard(lists)
+        release(self.spark)
+        return rows
+
     def all_links(self) -> DataFrame:
         """``(a, b)`` with ``a < b``: every pair of linked nodes, also within one component.
 
         A list is dealt into blocks, and each pair of its blocks is joined apart, so
         that a long list is the work of many tasks.
         """
-        postings = stored(self.postings(), "postings")
+        postings = self.postings()
         lengths = postings.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
         dealt = postings.join(lengths, "token").withColumn("blocks", F.expr(f"(length - 1) div {BLOCK_ROWS} + 1"))
         dealt = stored(dealt.withColumn("block", F.expr("pmod(xxhash64(doc, 7), blocks)")), "blocks")
+        discard(postings)
         one = dealt.select("token", F.col("block").alias("i"), F.expr("explode(sequence(block, blocks - 1)) AS j"),
                            F.col("doc").alias("a_doc"), F.col("meta").alias("a_meta"))
         other = dealt.select("token", F.expr("explode(sequence(0L, block)) AS i"), F.col("block").alias("j"),
                              F.col("doc").alias("b_doc"), F.col("meta").alias("b_meta"))
         pairs = one.join(other, ["token", "i", "j"]).where("i < j OR a_doc < b_doc").where(self._alike())
         found = pairs.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"), _need().alias("need"))
-        return self._verified(self._matching(found))
+        links = self._verified(self._matching(found))
+        discard(dealt)
+        return links
 
     def counts(self) -> DataFrame:
         """``(doc_id, class_id, n_links)`` for every row; documents with the same set are linked, too."""
@@ -471,16 +550,22 @@ class NgramJoin:
         """``(a, b, need)`` for all pairs of different components in a list.
 
         Short lists are joined with themselves.  In a long one, components are
-        paired first, so that no pair within a component is looked at.
+        paired first, so that no pair within a component is looked at; they are
+        dealt into blocks, and each pair of blocks is joined apart.
         """
         named = [F.col(c).alias(f"{side}{c}") for side in ("a_", "b_") for c in ("component", "doc", "meta")]
         short, long = (rows.where(f"length {sign} {LONG_LIST}") for sign in ("<=", ">"))
         one, other = short.select("token", *named[:3]), short.select("token", *named[3:])
         pairs = one.join(other, "token").where("a_component < b_component")
         groups = long.select("token", "component").distinct()
-        keys = [groups.select("token", F.col("component").alias(f"{side}component")) for side in ("a_", "b_")]
+        blocks = groups.groupBy("token").agg(F.expr(f"(count(*) - 1) div {BLOCK_ROWS} + 1").alias("blocks"))
+        groups = groups.join(blocks, "token").withColumn("block", F.expr("pmod(xxhash64(component, 7), blocks)"))
+        first = groups.select("token", F.col("block").alias("i"), F.expr("explode(sequence(block, blocks - 1)) AS j"),
+                              F.col("component").alias("a_component"))
+        second = groups.select("token", F.expr("explode(sequence(0L, block)) AS i"), F.col("block").alias("j"),
+                               F.col("component").alias("b_component"))
         crossing = (
-            keys[0].join(keys[1], "token").where("a_component < b_component")
+            first.join(second, ["token", "i", "j"]).where("i < j OR a_component < b_component").drop("i", "j")
             .join(long.select("token", *named[:3]), ["token", "a_component"])
             .join(long.select("token", *named[3:]), ["token", "b_component"])
         )

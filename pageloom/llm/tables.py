@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import posixpath
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -28,6 +29,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Empties written tables that no later step reads, by writing no rows over them.
+
+    Whatever was made from them has to be written by now.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        for path in {posixpath.dirname(file) for file in table.inputFiles()}:
+            spark.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps that nothing refers to any more.
 
