@@ -61,6 +61,8 @@ PIVOT_ROUNDS = 6
 LONG_LIST = 256
 #: Rows of a block of a list, where all its pairs are listed.
 BLOCK_ROWS = 2_000
+#: Documents of one component that are kept together in a long list.
+CHUNK_ROWS = 64
 MAX_BROADCAST_ROWS = 500_000
 #: A batch of sets is copied a few times in a worker, and each core has one.
 BATCH_BYTES = 16 << 20
@@ -258,10 +260,12 @@ class NgramJoin:
         filled = signed.where("n > 0 AND doc_id IS NOT NULL")
         self.classes = stored(filled.groupBy("signature").agg(F.min("doc_id").alias("node")), "classes")
         named = self.classes.groupBy(F.col("node").alias("doc_id")).agg(F.min("signature").alias("signature"))
-        nodes = filled.join(named, ["doc_id", "signature"], "left_semi").dropDuplicates(["doc_id"])
+        # Rows repeated as they are stay repeated here; their postings do not.
+        nodes = filled.join(_sized(named), ["doc_id", "signature"], "left_semi")
         self.nodes = stored(nodes.select("doc_id", "n", "signature", "low"), "nodes")
         self.signed = stored(signed.drop("low"), "signed")
         discard(signed)
+        release(self.spark)
 
     # -- sets --------------------------------------------------------------------------------
 
@@ -284,7 +288,7 @@ class NgramJoin:
 
     def _whole(self, wanted: DataFrame) -> DataFrame:
         """``(doc_id, text, signature)`` of the nodes named in ``wanted (doc)``; the signature is the node's."""
-        named = self.nodes.select("doc_id", "signature")
+        named = self.nodes.select("doc_id", "signature").distinct()
         named = named.join(_sized(wanted.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi")
         return self.texts.join(_sized(named), "doc_id")
 
@@ -379,7 +383,7 @@ class NgramJoin:
                         prefixes.append((prefix, matches, wanted))
                 yield _postings_batch(ids, sizes, prefixes)
 
-        early = stored(nodes.mapInArrow(known, schema), "prefixes")
+        early = stored(nodes.mapInArrow(known, schema).distinct(), "prefixes")
         return early.unionByName(late)
 
     # -- candidates and links ----------------------------------------------------------------
@@ -549,28 +553,39 @@ class NgramJoin:
     def _crossing(self, rows: DataFrame) -> DataFrame:
         """``(a, b, need)`` for all pairs of different components in a list.
 
-        Short lists are joined with themselves.  In a long one, components are
-        paired first, so that no pair within a component is looked at; they are
-        dealt into blocks, and each pair of blocks is joined apart.
+        Short lists are joined with themselves.  In a long one, the documents of
+        a component are put into chunks and chunks are paired, so that pairs
+        within a component cost next to nothing.  Chunks are dealt into blocks,
+        and each pair of blocks is joined apart.  Pairs that cannot be linked go
+        before anything is shuffled.
         """
         named = [F.col(c).alias(f"{side}{c}") for side in ("a_", "b_") for c in ("component", "doc", "meta")]
         short, long = (rows.where(f"length {sign} {LONG_LIST}") for sign in ("<=", ">"))
         one, other = short.select("token", *named[:3]), short.select("token", *named[3:])
-        pairs = one.join(other, "token").where("a_component < b_component")
-        groups = long.select("token", "component").distinct()
-        blocks = groups.groupBy("token").agg(F.expr(f"(count(*) - 1) div {BLOCK_ROWS} + 1").alias("blocks"))
-        groups = groups.join(blocks, "token").withColumn("block", F.expr("pmod(xxhash64(component, 7), blocks)"))
-        first = groups.select("token", F.col("block").alias("i"), F.expr("explode(sequence(block, blocks - 1)) AS j"),
-                              F.col("component").alias("a_component"))
-        second = groups.select("token", F.expr("explode(sequence(0L, block)) AS i"), F.col("block").alias("j"),
-                               F.col("component").alias("b_component"))
+        pairs = one.join(other, "token").where("a_component < b_component").drop("token", "a_component", "b_component")
+
+        sizes = long.groupBy("token", "component").agg(F.expr(f"(count(*) - 1) div {CHUNK_ROWS} + 1").alias("chunks"))
+        dealt = sizes.groupBy("token").agg(F.expr(f"(sum(chunks) - 1) div {BLOCK_ROWS} + 1").alias("blocks"))
+        chunked = (
+            long.join(sizes, ["token", "component"])
+            .groupBy("token", "component", F.expr("pmod(xxhash64(doc, 11), chunks)").alias("chunk"))
+            .agg(F.collect_list(F.struct("doc", "meta")).alias("docs"))
+            .join(dealt, "token")
+            .withColumn("block", F.expr("pmod(xxhash64(component, chunk, 7), blocks)"))
+        )
+        chunked = stored(chunked, "chunks")
+        first = chunked.select("token", F.col("block").alias("i"), F.expr("explode(sequence(block, blocks - 1)) AS j"),
+                               F.col("component").alias("a_component"), F.col("docs").alias("a_docs"))
+        second = chunked.select("token", F.expr("explode(sequence(0L, block)) AS i"), F.col("block").alias("j"),
+                                F.col("component").alias("b_component"), F.col("docs").alias("b_docs"))
         crossing = (
-            first.join(second, ["token", "i", "j"]).where("i < j OR a_component < b_component").drop("i", "j")
-            .join(long.select("token", *named[:3]), ["token", "a_component"])
-            .join(long.select("token", *named[3:]), ["token", "b_component"])
-        )
-        wanted = [F.col("a_doc").alias("a"), F.col("b_doc").alias("b"), _need().alias("need")]
-        return pairs.where(self._alike()).select(wanted).unionByName(crossing.where(self._alike()).select(wanted))
+            first.join(second, ["token", "i", "j"])
+            .where("a_component <> b_component AND (i < j OR a_component < b_component)")
+            .selectExpr("b_docs", "inline(a_docs) AS (a_doc, a_meta)")
+            .selectExpr("a_doc", "a_meta", "inline(b_docs) AS (b_doc, b_meta)")
+        )
+        both = pairs.unionByName(crossing).where(self._alike())
+        return both.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"), _need().alias("need"))
 
     def result(self) -> DataFrame:
         """``(doc_id, n_shingles, class_id, component_id)`` for every row.
