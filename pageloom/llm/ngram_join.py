@@ -256,6 +256,7 @@ class NgramJoin:
         self.texts = texts_of(docs)
         self.spark = docs.sparkSession
         self.words, self.percent = words, percent
+        self.scratch: list[DataFrame] = []
         signed = stored(self._sign(), "grams")
         filled = signed.where("n > 0 AND doc_id IS NOT NULL")
         self.classes = stored(filled.groupBy("signature").agg(F.min("doc_id").alias("node")), "classes")
@@ -293,18 +294,22 @@ class NgramJoin:
         return self.texts.join(_sized(named), "doc_id")
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """``(doc, grams)`` with all grams of the documents named in ``wanted (doc)``."""
+        """``(doc, n, brief, grams)`` of the documents named in ``wanted (doc)``; ``brief`` has each gram's last 16 bits."""
         words = self.words
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, grams = [], []
+                ids, sizes, brief, grams = [], [], [], []
                 for doc_id, found in _node_sets(batch, words):
                     ids.append(doc_id)
+                    sizes.append(len(found))
+                    brief.append(np.unique(found.astype(np.uint16)).tobytes())
                     grams.append(found.tobytes())
-                yield pa.RecordBatch.from_pydict({"doc": pa.array(ids, pa.int64()), "grams": pa.array(grams, pa.binary())})
+                yield pa.RecordBatch.from_pydict(
+                    {"doc": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()),
+                     "brief": pa.array(brief, pa.binary()), "grams": pa.array(grams, pa.binary())})
 
-        return self._whole(wanted).mapInArrow(whole, "doc bigint, grams binary")
+        return self._whole(wanted).mapInArrow(whole, "doc bigint, n bigint, brief binary, grams binary")
 
     # -- prefixes ----------------------------------------------------------------------------
 
@@ -406,32 +411,47 @@ class NgramJoin:
         return shared.where("shared >= need").select("a", "b")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets are similar; sets are made for documents in pairs only."""
+        """The pairs whose whole sets are similar; sets are made for documents in pairs only.
+
+        Most pairs fail by far, and the last 16 bits of the grams show it: sets
+        share no more grams than different endings, and than the endings that
+        come again in the set with fewer of those.  Whole grams travel only for
+        the pairs that are left.
+        """
         percent = self.percent
 
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compare(batches: Iterator[pa.RecordBatch], grams: str, kind: type) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 good = []
-                for one, other in zip(batch["a_grams"], batch["b_grams"]):
-                    x = np.frombuffer(one.as_buffer(), np.uint64)
-                    y = np.frombuffer(other.as_buffer(), np.uint64)
+                columns = ("a_n", "b_n", f"a_{grams}", f"b_{grams}")
+                for size_a, size_b, one, other in zip(*(batch[c] for c in columns)):
+                    x, y = np.frombuffer(one.as_buffer(), kind), np.frombuffer(other.as_buffer(), kind)
+                    size_a, size_b = size_a.as_py(), size_b.as_py()
                     both = np.concatenate([x, y])
                     both.sort(kind="stable")
-                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                    good.append(100 * shared >= percent * (len(both) - shared))
+                    shared = int(np.count_nonzero(both[1:] == both[:-1])) + min(size_a - len(x), size_b - len(y))
+                    good.append((100 + percent) * shared >= percent * (size_a + size_b))
                 keep = pa.array(good, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
 
+        def alike(pairs: DataFrame, grams: str, kind: type) -> DataFrame:
+            joined = pairs
+            for side in ("a", "b"):
+                wanted = pairs.select(F.col(side).alias("doc")).distinct()
+                named = [F.col(c).alias(f"{side}_{c}") for c in ("n", grams)]
+                half = sets.join(_sized(wanted), "doc", "left_semi").select(F.col("doc").alias(side), *named)
+                joined = joined.join(half, side)
+            return joined.mapInArrow(lambda batches: compare(batches, grams, kind), "a bigint, b bigint")
+
         pairs = stored(pairs, "pairs")
         release(self.spark)
         ones, others = (pairs.select(F.col(c).alias("doc")).distinct() for c in ("a", "b"))
         sets = stored(self.sets_of(ones.union(others).distinct()), "sets")
-        first = sets.join(_sized(ones), "doc", "left_semi").select(F.col("doc").alias("a"), F.col("grams").alias("a_grams"))
-        second = sets.join(_sized(others), "doc", "left_semi").select(F.col("doc").alias("b"), F.col("grams").alias("b_grams"))
-        joined = pairs.join(first, "a").join(second, "b")
-        found = joined.select("a", "b", "a_grams", "b_grams").mapInArrow(compare, "a bigint, b bigint")
-        found = stored(found.distinct(), "links")
-        discard(pairs, sets)
+        likely = stored(alike(pairs, "brief", np.uint16), "likely")
+        discard(pairs)
+        # A row may be there twice.
+        found = stored(alike(likely, "grams", np.uint64).distinct(), "links")
+        discard(likely, sets)
         return found
 
     def _pivots(self, lists: DataFrame, salt: int) -> DataFrame:
@@ -482,7 +502,7 @@ class NgramJoin:
             found.append(new)
             if not new.isEmpty():
                 labels = self._next_labels(labels, new)
-        discard(rows)
+        discard(rows, *self.scratch)
         links = found[0]
         for more in found[1:]:
             links = links.unionByName(more)
@@ -574,6 +594,7 @@ class NgramJoin:
             .withColumn("block", F.expr("pmod(xxhash64(component, chunk, 7), blocks)"))
         )
         chunked = stored(chunked, "chunks")
+        self.scratch.append(chunked)
         first = chunked.select("token", F.col("block").alias("i"), F.expr("explode(sequence(block, blocks - 1)) AS j"),
                                F.col("component").alias("a_component"), F.col("docs").alias("a_docs"))
         second = chunked.select("token", F.expr("explode(sequence(0L, block)) AS i"), F.col("block").alias("j"),
