@@ -10,7 +10,6 @@ then are they exploded.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,17 +122,22 @@ def extract_links(
 ) -> DataFrame:
     """``(page_id, url, pos, link)``: distinct followable links of each page.
 
-    ``allowed`` is a short list of domains, a one-column DataFrame ``domain`` of
-    any size, or nothing (links to the page's own host).  ``pos`` counts the kept
+    ``allowed`` are domains, as a list or a one-column DataFrame ``domain`` of any
+    size, or nothing (links to the page's own host).  ``pos`` counts the kept
     links of a page in order of first occurrence.
+
+    Up to ``MAX_LITERAL_ALLOWLIST`` distinct hosts are tested within the page's
+    array, as a hashed list, so that no link is moved; only the hosts of the
+    allowlist itself are exchanged.  More of them are joined.
     """
     if allowed is None:
         return _edges(page_links(pages, base=base)).drop("host")
+    hosts = allowed_hosts(pages, allowed, lower=lower_allowlist)
     found = page_links(pages, same_host=False, base=base)
-    if isinstance(allowed, DataFrame):
-        return _filter_by_table(found, normalize_allowlist(allowed, lower=lower_allowlist))
-    hosts = ", ".join(literal(h) for h in literal_allowlist(allowed, lower=lower_allowlist))
-    kept = keep("links", lambda link: f"{link}.host IN ({hosts})")
+    listed = host_list(hosts)
+    if listed is None:
+        return _filter_by_table(found, hosts)
+    kept = keep("links", lambda link: f"{link}.host IN ({listed})")
     return _edges(found.selectExpr("page_id", "url", f"{kept} AS links")).drop("host")
 
 
@@ -152,13 +156,19 @@ def _edges(found: DataFrame) -> DataFrame:
     return kept.selectExpr("page_id", "url", "pos", "_link.url AS link", "_link.host AS host")
 
 
-def literal_allowlist(domains: Sequence[str], *, lower: bool = True) -> list[str]:
-    """Hosts of a short allowlist as plain values (an ``IN`` list)."""
-    if len(domains) > MAX_LITERAL_ALLOWLIST:
-        raise ValueError("pass a large allowlist as a DataFrame with column 'domain'")
-    bare = [d if d.startswith(("http://", "https://")) else f"https://{d}" for d in domains]
-    hosts = [urlsplit(d).netloc.rsplit("@", 1)[-1] for d in bare]
-    return [h.lower() for h in hosts] if lower else hosts
+def allowed_hosts(pages: DataFrame, allowed: Sequence[str] | DataFrame, *, lower: bool = True) -> DataFrame:
+    """The distinct hosts ``(host)`` of an allowlist, by one rule for lists and tables."""
+    if not isinstance(allowed, DataFrame):
+        allowed = pages.sparkSession.createDataFrame([(domain,) for domain in allowed], "domain string")
+    return normalize_allowlist(allowed, lower=lower).select("host").where("host IS NOT NULL").distinct()
+
+
+def host_list(hosts: DataFrame) -> str | None:
+    """The hosts as the content of an ``IN`` list, or nothing if they are more than ``MAX_LITERAL_ALLOWLIST``."""
+    few = [row.host for row in hosts.limit(MAX_LITERAL_ALLOWLIST + 1).collect()]
+    if len(few) > MAX_LITERAL_ALLOWLIST:
+        return None
+    return ", ".join(map(literal, few)) or "NULL"
 
 
 def normalize_allowlist(allowed: DataFrame, *, lower: bool = True) -> DataFrame:
@@ -174,7 +184,7 @@ def _filter_by_table(found: DataFrame, hosts: DataFrame) -> DataFrame:
     skew join, which covers the left side of a semi-join.  Positions are those
     within the page, so the window is bounded by one page.
     """
-    kept = _edges(found).join(hosts.select("host").distinct(), "host", "left_semi")
+    kept = _edges(found).join(hosts, "host", "left_semi")
     order = Window.partitionBy("page_id").orderBy("pos")
     return kept.select(
         "page_id", "url", (F.row_number().over(order) - 1).alias("pos"), "link"

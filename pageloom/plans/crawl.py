@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.text import literal
 from pageloom.functions.urls import normalize_url, normalized_host
 from pageloom.operators.frontier import fetch_outcome, frontier_step, seed_level
-from pageloom.operators.links import captures, extract_links, literal_allowlist
+from pageloom.operators.links import allowed_hosts, captures, extract_links, host_list
 from pageloom.operators.ranking import first_per_group, first_ranks
 from pageloom.plans.config import CrawlConfig
 from pageloom.session import KeyedLog, bucket_count, cut_lineage, shuffle_partitions, store_by
@@ -134,10 +134,13 @@ def _reachable(
     )
     starts = first.select(F.col("url").alias("_url")).distinct()
     if config.allowed_domains:
-        names = literal_allowlist(config.allowed_domains, lower=config.lower_allowlist)
-        inside = F.expr(f"_host IN ({', '.join(map(literal, names))})")
-        outside_starts = hosted.where(~inside).join(starts, "_url", "left_semi")
-        kept = hosted.where(inside).unionByName(outside_starts)
+        hosts = allowed_hosts(pages, config.allowed_domains, lower=config.lower_allowlist)
+        listed = host_list(hosts)
+        if listed is None:
+            within, outside = (hosted.join(hosts, hosted["_host"] == hosts["host"], how) for how in ("left_semi", "left_anti"))
+        else:
+            within, outside = hosted.where(f"_host IN ({listed})"), hosted.where(f"_host NOT IN ({listed})")
+        kept = within.unionByName(outside.join(starts, "_url", "left_semi"))
     else:
         hosts = starts.selectExpr(f"{normalized_host('_url')} AS _host").distinct()
         kept = hosted.join(hosts, "_host", "left_semi")

@@ -1,4 +1,5 @@
 from pageloom.functions.urls import normalize_url
+from pageloom.operators import links as links_module
 from pageloom.operators.links import (
     anchor_hrefs,
     captures,
@@ -74,6 +75,17 @@ def test_rules(spark, make_pages):
     assert raw_links(pages).count() == 9
 
 
+def test_both_ways_of_an_allowlist_are_equal(make_pages, monkeypatch):
+    docs = ["<a href='https://a.com/1'><a href='https://b.com/2'><a href='https://a.com/3'>", "<a href='//b.com/x'>", "<a href=/y>"]
+    pages = make_pages(docs)
+    few = {tuple(r) for r in extract_links(pages, ["a.com", "A.com", "c.com"]).collect()}
+    assert "Exchange" not in extract_links(pages, ["a.com"])._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(links_module, "MAX_LITERAL_ALLOWLIST", 1)
+    many = {tuple(r) for r in extract_links(pages, ["a.com", "A.com", "c.com"]).collect()}
+    assert few == many and {(pos, link) for _, _, pos, link in few} == {(0, "https://a.com/1"), (1, "https://a.com/3")}
+    assert extract_links(pages, []).count() == 0
+
+
 def test_malformed_page_url_has_no_links(make_pages):
     pages = make_pages(["<a href='https://x/'>x</a>"], ["not a url"])
     assert extract_links(pages, ["x"]).count() == 0
