@@ -7,12 +7,14 @@ very often costs no more than any other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.plans.config import RESULT_TTL_HOURS
+from pageloom.session import KeyedLog, shuffle_partitions
 
 STORE_COLUMNS = ["key", "value", "written_at", "expires_at"]
+STORE_SCHEMA = "key STRING, value STRING, written_at {0}, expires_at {0}"
 
 
 def entries(results: DataFrame, written_at: Column, ttl_hours: float = RESULT_TTL_HOURS) -> DataFrame:
@@ -76,3 +78,59 @@ def append(store_rows: DataFrame, path: str) -> None:
 def compact(store: DataFrame, as_of: Column, path: str) -> None:
     """Write a fresh copy with only live entries (the periodic clean-up)."""
     live(store, as_of).select(STORE_COLUMNS).write.mode("errorifexists").parquet(path)
+
+
+class RunStore:
+    """A store in a folder of its own, written as runs that are bucketed and sorted by key.
+
+    A put moves the rows put and nothing that is stored: first they are reduced
+    to the newest entry of each key, with map-side combine, so a key written very
+    often is one row by the time it reaches its bucket.  Readers find all runs
+    laid out by key alike, so neither picking the newest entry nor looking up
+    keys moves a stored value.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int, time_type: str = "TIMESTAMP_NTZ"):
+        self.spark, self.path, self.buckets, self.time_type = spark, path, buckets, time_type
+        self._log = KeyedLog(spark, "key", buckets, f"{path}/runs", STORE_SCHEMA.format(time_type))
+
+    @staticmethod
+    def create(spark: SparkSession, path: str, buckets: int, time_type: str = "TIMESTAMP_NTZ") -> RunStore:
+        """A new empty store; the number of buckets stays as it is for good."""
+        layout = spark.range(1).selectExpr(f"{buckets} AS buckets", f"'{time_type}' AS time_type")
+        layout.coalesce(1).write.mode("errorifexists").json(f"{path}/layout")
+        return RunStore(spark, path, buckets, time_type)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> RunStore:
+        layout = spark.read.schema("buckets INT, time_type STRING").json(f"{path}/layout").first()
+        return RunStore(spark, path, layout["buckets"], layout["time_type"])
+
+    def put(self, rows: DataFrame) -> None:
+        """Append a run of store rows; of one key the newest is kept."""
+        with shuffle_partitions(self.spark, self.buckets):
+            self._log.append(newest(rows.select(STORE_COLUMNS).where("key IS NOT NULL")).select(STORE_COLUMNS))
+
+    def rows(self) -> DataFrame:
+        return self._log.rows()
+
+    def newest(self) -> DataFrame:
+        return newest(self.rows())
+
+    def get(self, keys: DataFrame, as_of: Column) -> DataFrame:
+        """``(key, value, found)`` for each distinct key of ``keys(key)``; only these keys are moved."""
+        asked = keys.select("key").distinct().repartition(self.buckets, "key")
+        return lookup(asked, self.rows(), as_of)
+
+    def delete(self, keys: DataFrame, at: Column) -> None:
+        """Append entries without value that are expired from the start; they hide older ones of their keys."""
+        self.put(keys.select("key", F.lit(None).cast("string").alias("value"), at.alias("written_at"), at.alias("expires_at")))
+
+    def item_count(self, as_of: Column) -> DataFrame:
+        return item_count(self.rows(), as_of)
+
+    def compact(self, as_of: Column, path: str) -> RunStore:
+        """A fresh store at ``path`` with one run of the live entries; buckets are copied where they lie."""
+        fresh = RunStore.create(self.spark, path, self.buckets, self.time_type)
+        fresh.put(live(self.rows(), as_of))
+        return fresh

@@ -93,21 +93,24 @@ def store_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
 
 
 class KeyedLog:
-    """An append-only table bucketed by a key, in the shared folder.
+    """An append-only table bucketed by a key and sorted by it within a file, in the shared folder.
 
     Each append adds files of its own and leaves the others alone.  All rows
     appended so far are one table, and joins and groupings by the key need no
     shuffle of it.  Rows partitioned by the key into as many parts are written
-    as one file a bucket.
+    as one file a bucket.  ``path`` and ``schema`` take up a log written before.
     """
 
-    def __init__(self, spark: SparkSession, key: str, buckets: int):
+    def __init__(self, spark: SparkSession, key: str, buckets: int, path: str | None = None, schema: str | None = None):
         self.spark, self.key, self.buckets = spark, key, buckets
         self.name = f"pageloom_{uuid.uuid4().hex}"
-        self.path = new_folder(spark, self.name)
+        self.path = path or new_folder(spark, self.name)
+        if schema is not None:
+            layout = f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS"
+            spark.sql(f"CREATE TABLE {self.name} ({schema}) USING parquet {layout} LOCATION '{self.path}'")
 
     def append(self, df: DataFrame) -> None:
-        writer = df.write.format("parquet").mode("append").bucketBy(self.buckets, self.key)
+        writer = df.write.format("parquet").mode("append").bucketBy(self.buckets, self.key).sortBy(self.key)
         writer.option("path", self.path).saveAsTable(self.name)
 
     def rows(self) -> DataFrame:

@@ -1,4 +1,6 @@
-"""Queries for single rules: list numbers and nesting, tables in a row, file names, allowlists, clearing, arrivals."""
+"""Queries for single rules: list numbers and nesting, tables in a row, file names, allowlists, clearing,
+store runs, written documents, arrivals.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +9,16 @@ from pyspark.sql import functions as F
 from pageloom.functions.urls import url_filename
 from pageloom.operators import store
 from pageloom.operators.links import extract_links
-from pageloom.plans.convert import html_to_markdown
+from pageloom.plans.convert import html_to_markdown, pages_to_markdown
 from pageloom.plans.fetch import arrival_schedule
+from pageloom.session import new_folder
+from pageloom.sinks.markdown_folder import export_documents
+from pageloom.workload.content_queries import ORACLES as CONTENT_ORACLES
+from pageloom.workload.crawl_queries import AS_OF
+from pageloom.workload.crawl_queries import ORACLES as CRAWL_ORACLES
 from pageloom.workload.oracles import LINKS, host, trim
 from pageloom.workload.tables import pages, results, table
+from pageloom.workload.url_queries import FILE
 
 RATE, DELAY_MS, HOSTS = 2.5, 300, 3
 ALLOWED = ["https://www.therwh.example.org", "BLOG.theres.example.com", "therha.example.com/path"]
@@ -84,6 +92,35 @@ def store_clear(spark, sf_dir):
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
+def _runs(rows):
+    """Store rows put in three runs that share keys and overlap in time."""
+    spark = rows.sparkSession
+    runs = store.RunStore.create(spark, new_folder(spark, "runs"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for third in range(3):
+        runs.put(rows.where(f"pmod(hash(key, written_at, value), 3) = {third}"))
+    return runs
+
+
+def store_runs_put(spark, sf_dir):
+    """The newest entry of each key after three runs."""
+    return _runs(store.entries(results(spark, sf_dir), F.col("ts"))).newest()
+
+
+def store_runs_get(spark, sf_dir):
+    """Lookups by every customer number in a store of three runs, reopened and compacted."""
+    as_of = F.expr(f"TIMESTAMP_NTZ '{AS_OF}'")
+    rows = store.entries(results(spark, sf_dir), F.col("ts")).where(F.col("written_at") <= as_of)
+    again = store.RunStore.open(spark, _runs(rows).path).compact(as_of, new_folder(spark, "compacted"))
+    return again.get(table(spark, sf_dir, "customer").selectExpr("concat('u', c_custkey) AS key"), as_of)
+
+
+def documents_written(spark, sf_dir):
+    """Every page's Markdown document, written as a file of its own and read back."""
+    found = pages_to_markdown(pages(spark, sf_dir)).withColumn("depth", F.expr("CAST(page_id % 3 AS INT)"))
+    folder = export_documents(found, new_folder(spark, "documents"), ["page_id"], "page_id")
+    return spark.read.text(folder, wholetext=True).selectExpr("_metadata.file_name AS file", "value AS document")
+
+
 def arrivals(spark, sf_dir):
     """Events read as requests to a few hosts, so that one host holds a third of them."""
     requests = table(spark, sf_dir, "events").selectExpr(
@@ -103,6 +140,9 @@ QUERIES = {
     "links_literal_allowlist": links_literal_allowlist,
     "store_clear": store_clear,
     "fetch_arrivals": arrivals,
+    "store_runs_put": store_runs_put,
+    "store_runs_get": store_runs_get,
+    "documents_written": documents_written,
 }
 
 _COUNTED = """
@@ -155,4 +195,12 @@ ORACLES = {
                    FROM s JOIN n ON n.host = s.host AND n.i = s.i + 1)
         SELECT event_id, host, make_timestamp(came) AS arrived_at, make_timestamp(greatest(came, drained) + {DELAY_MS * 1000}) AS start_at
         FROM s""",
+    "store_runs_put": CRAWL_ORACLES["store_put"],
+    "store_runs_get": CRAWL_ORACLES["store_get"],
+    "documents_written": f"""
+        WITH md AS ({CONTENT_ORACLES['md_document']}), named AS (SELECT page_id, {FILE} AS file FROM pages),
+             won AS (SELECT file, max(page_id) AS page_id FROM named JOIN md USING (page_id) GROUP BY file)
+        SELECT file, '# ' || url || repeat(chr(10), 2) || '**Source URL:** ' || url || '  ' || chr(10) || '**Depth:** '
+               || page_id % 3 || '  ' || repeat(chr(10), 2) || '---' || repeat(chr(10), 2) || markdown || chr(10) AS document
+        FROM won JOIN md USING (page_id)""",
 }

@@ -129,7 +129,7 @@ QUERIES = {
 }
 
 _PATH = "regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1)"
-_FILE = f"""replace({host('url')}, '.', '_') || '_'
+FILE = f"""replace({host('url')}, '.', '_') || '_'
     || replace(regexp_replace(regexp_replace({_PATH}, '^/', ''), '/$', ''), '/', '_') || '.md'"""
 
 ORACLES = {
@@ -152,8 +152,8 @@ ORACLES = {
     "allowlist_norm": f"""
         SELECT DISTINCT CASE page_id % 3 WHEN 0 THEN {host('url')} WHEN 1 THEN upper({host('url')})
                ELSE 'http://' || {host('url')} || '/x' END AS domain, {host('url')} AS host FROM pages""",
-    "url_filename": f"SELECT page_id, {_FILE} AS file FROM pages",
-    "filename_collisions": f"SELECT {_FILE} AS file, max(page_id) AS page_id FROM pages GROUP BY 1",
+    "url_filename": f"SELECT page_id, {FILE} AS file FROM pages",
+    "filename_collisions": f"SELECT {FILE} AS file, max(page_id) AS page_id FROM pages GROUP BY 1",
     "links_raw": f"WITH {LINKS} SELECT page_id, CAST(pos AS INTEGER) AS pos, href, abs_url FROM raw",
     "links_extract": f"WITH {LINKS} SELECT page_id, url, CAST(pos AS INTEGER) AS pos, link FROM lk",
     "links_allowlist": f"""

@@ -133,3 +133,45 @@ def test_buckets_follow_files_not_checkpoints(spark):
     joined = pages.join(reached, "page_id", "left_semi")
     assert 0 < estimated_bytes(joined) <= 2 * estimated_bytes(pages)
     assert bucket_count(joined) == spark.sparkContext.defaultParallelism
+
+
+def _entries(spark, *rows):
+    frame = spark.createDataFrame([(k, v, at(s)) for k, v, s in rows], "key string, value string, ts timestamp")
+    return store.entries(frame, F.col("ts"), ttl_hours=1)
+
+
+def test_store_of_runs(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    runs = store.RunStore.create(spark, path, 4, "TIMESTAMP")
+
+    def get(held, second, *keys):
+        found = held.get(spark.createDataFrame([(k,) for k in keys], "key string"), F.lit(at(second)))
+        return {r.key: r.value for r in found.collect()}
+
+    assert get(runs, 0, "a") == {"a": None}
+    runs.put(_entries(spark, ("a", "late", 20), ("b", "x", 0), ("a", "older", 5), (None, "lost", 0)))
+    runs.put(_entries(spark, ("a", "early", 10), ("c", "y", 0)))
+    again = store.RunStore.open(spark, path)
+    assert again.buckets == 4 and again.rows().count() == 4  # of a run the newest entry of each key
+    assert get(again, 30, "a", "b", "c", "d", "a") == {"a": "late", "b": "x", "c": "y", "d": None}
+    again.delete(spark.createDataFrame([("b",)], "key string"), F.lit(at(40)))
+    assert get(again, 50, "a", "b", "c") == {"a": "late", "b": None, "c": "y"}
+    assert tuple(again.item_count(F.lit(at(50))).first()) == (2, 1)
+    clean = again.compact(F.lit(at(3610)), str(tmp_path / "clean"))  # only "a" lives
+    assert [r.key for r in clean.rows().collect()] == ["a"]
+
+
+def test_stored_values_are_not_moved(spark, tmp_path):
+    runs = store.RunStore.create(spark, str(tmp_path / "runs"), 4, "TIMESTAMP")
+    for value in ("v1", "v2"):
+        runs.put(_entries(spark, *((f"k{i}", value, i) for i in range(20))))
+    plan = runs.newest()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = spark.range(5).selectExpr("concat('k', id) AS key")
+        plan = runs.get(keys, F.lit(at(5)))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Both are those of the keys asked for: made distinct, then dealt to the buckets.
+    assert plan.count("Exchange") == 2 and "Exchange" not in plan[plan.index("AS _found") :]

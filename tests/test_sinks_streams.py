@@ -1,6 +1,10 @@
 import json
 import os
 
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import Row
+
 from pageloom.operators.links import extract_links
 from pageloom.plans.convert import pages_to_markdown
 from pageloom.session import new_folder, shared_folder
@@ -11,6 +15,7 @@ from pageloom.sinks.documents import (
     write_document_table,
     write_documents,
 )
+from pageloom.sinks.markdown_folder import FolderWriter, MarkdownFolder, export_documents
 from pageloom.sinks.report import report_lines, summary_lines, write_report, write_results
 from pageloom.sources.pages import read_page_files, read_pages, stream_pages
 from pageloom.streaming.flows import (
@@ -162,3 +167,36 @@ def test_no_page_is_lost_to_its_name(spark, tmp_path):
     write_document_table(results(spark, rows), path, ["depth", "path"], 2)
     back = {r.file: r.document for r in spark.read.parquet(path).collect()}
     assert set(back) == set(got) and back["h_example_index.md"].endswith("---\n\nsecond capture\n")
+
+
+def test_export_is_one_file_a_page(spark, tmp_path):
+    target = export_documents(results(spark).repartition(3), str(tmp_path / "out.md"), ["depth", "path"])
+    assert target == str(tmp_path / "out")
+    assert sorted(os.listdir(target)) == ["h_example_index.md", "h_example_x.md"]
+    text = (tmp_path / "out" / "h_example_x.md").read_bytes().decode()
+    assert text == page_documents(results(spark)).where("path = array(1)").first().document
+    again = results(spark, [RESULTS[0][:1] + ("new",) + RESULTS[0][2:]])
+    export_documents(again, target, ["depth", "path"])
+    assert (tmp_path / "out" / "h_example_index.md").read_text().endswith("---\n\nnew\n")
+    assert (tmp_path / "out" / "h_example_x.md").exists()
+    single = export_documents(results(spark, RESULTS[:1]), str(tmp_path / "one.md"), ["depth", "path"])
+    assert open(single, encoding="utf-8").read().startswith("# https://h.example/\n")
+    assert sorted(os.listdir(tmp_path)) == ["one.md", "out"]
+
+
+def test_failed_export_leaves_nothing(spark, tmp_path):
+    rows = spark.range(40).selectExpr("concat('p', id, '.md') AS file", "if(id = 39, raise_error('stop'), 'text') AS document")
+    target = tmp_path / "out"
+    with pytest.raises(PySparkException):
+        spark.dataSource.register(MarkdownFolder)
+        rows.write.format("markdown_folder").mode("append").save(str(target))
+    assert not target.exists() or os.listdir(target) == []
+
+
+def test_commit_moves_only_what_successful_tasks_wrote(tmp_path):
+    writer = FolderWriter(str(tmp_path / "out"))
+    lost = writer.write(iter([Row(file="a.md", document="lost"), Row(file="b.md", document="lost")]))
+    kept = writer.write(iter([Row(file="a.md", document="kept")]))
+    assert lost.folder != kept.folder
+    writer.commit([kept, None])
+    assert os.listdir(tmp_path / "out") == ["a.md"] and (tmp_path / "out" / "a.md").read_text() == "kept"
