@@ -84,7 +84,7 @@ class _Words(Remembered):
         return value
 
 
-_words = _Words(80 << 20)
+_words = _Words(24 << 20)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
