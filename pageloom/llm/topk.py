@@ -9,7 +9,8 @@ so that later dimensions are read for few candidates.
 
 Queries are dealt in blocks of ``query_rows``, the proven bound of what is
 broadcast; every task searches its own rows for a block, and only its k best per
-query are shuffled.
+query are shuffled.  A block's results are written before the next block is
+read, so the driver and the executors hold one block at a time.
 
 Defined results: vectors that are NULL, empty, or hold NULL or non-finite
 components take no part; a query meets candidates of its own length only; rows
@@ -30,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.session import new_folder
+
 SCALE = 1024
 K = 10
 QUERY_ROWS = 16_384
@@ -106,10 +109,10 @@ def exact_scores(q: np.ndarray, columns: np.ndarray) -> list[int]:
 def top_k(embeddings: DataFrame, queries: DataFrame, k: int = K, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: exact results for every row of ``queries``."""
     spark = embeddings.sparkSession
+    schema, path = "query_id bigint, vec_id bigint, score bigint", new_folder(spark, "top_k")
     candidates, asked = whole_vectors(embeddings), whole_vectors(queries)
     blocks = max(1, math.ceil(asked.count() / query_rows))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    found = None
     for b in range(blocks):
         # About query_rows queries: the bound of the broadcast.
         rows = asked.where(block == b).collect()
@@ -118,8 +121,9 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = K, query_rows: int
             edges = list(range(0, len(columns), DIMENSIONS))
             prepared.append((ids, columns.T.copy(), _rest(columns, edges), edges))
         sent = spark.sparkContext.broadcast(prepared)
-        part = candidates.mapInArrow(_searcher(sent, k), "query_id bigint, vec_id bigint, score bigint")
-        found = part if found is None else found.unionByName(part)
+        candidates.mapInArrow(_searcher(sent, k), schema).write.mode("append").parquet(path)
+        sent.destroy()
+    found = spark.read.schema(schema).parquet(path)
     # An id may come from several tasks and a query's id from several rows: the best score counts.
     one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
