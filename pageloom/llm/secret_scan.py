@@ -9,7 +9,7 @@ from its first line to its last.  A candidate's novelty is the number of bytes b
 which it lengthens the compressed text around it, other candidates left out (the
 lines of one key make each other cheap); the compressor is primed with a dictionary
 of identifiers.  Words and identifiers are cheap there; a candidate that stays
-incompressible is reported.
+as incompressible as keys of its alphabet are is reported.
 
 Defined results: NULL text is empty; places are code points; repeated rows give
 repeated results; an empty table gives an empty result.
@@ -21,6 +21,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import accumulate
+from math import log2
 
 import pyarrow as pa
 import zstandard
@@ -42,7 +43,10 @@ _NEAR = re.compile("(?ai:" + "|".join(_NEAR_WORDS) + ")")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 REACH = 96
 AROUND = 512
+#: Bytes a character that a key costs at least, and the share of them that is asked for of numbers and single-case keys.
 LEAST_NOVELTY = 0.75
+ALPHABET_SHARE = 0.9
+LEAST_DIGITS = 0.1
 
 # What identifiers in code and configuration are made of.
 IDENTIFIERS = (
@@ -71,6 +75,21 @@ class Novelty:
 _novelty: list[Novelty] = []
 
 
+def least_novelty(own: str) -> float:
+    """Bytes a character that ``own`` has to add to be reported.
+
+    A random key costs what its alphabet allows: a digit less than half a byte.
+    So what is asked for is a share of that, where digits are mixed in; words of
+    one case without them, and names joined from words, would pass as keys and
+    have to add the full amount.
+    """
+    digits = sum(map(own.count, "0123456789"))
+    lower, upper = own.upper() != own, own.lower() != own
+    if lower and upper or not own.isalnum() or digits < LEAST_DIGITS * len(own):
+        return LEAST_NOVELTY
+    return min(LEAST_NOVELTY, ALPHABET_SHARE * log2(36 if lower or upper else 10) / 8)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind index, end)`` of the base kinds."""
     spans = []
@@ -121,7 +140,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         if not _novelty:
             _novelty.append(Novelty())
         before, after = _around(text, runs, k)
-        if _novelty[0].marginal(before, text[start:end], after) < LEAST_NOVELTY * (end - start):
+        if _novelty[0].marginal(before, text[start:end], after) < least_novelty(text[start:end]) * (end - start):
             continue
         spans.append((start, 3, end))
         for step in (-1, 1):

@@ -3,7 +3,9 @@
 import base64
 import collections
 import hashlib
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -252,6 +254,45 @@ def test_secret_spans_and_blanking(spark, odd, none):
     assert secret_scan.scan(odd).count() == len(ODD)
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789", "0123456789ABCDEF", string.ascii_lowercase + string.digits,
+                                      string.ascii_uppercase + "234567", string.ascii_letters + string.digits])
+def test_secret_recall_by_alphabet_and_length(alphabet):
+    rng, prose = random.Random(11), (PROSE + " ") * 4
+    for size in (16, 20, 32, 64):
+        found = 0
+        for _ in range(60):
+            key = "".join(rng.choice(alphabet) for _ in range(size))
+            text = f"{prose}credential is {key} and {prose}"
+            at = text.index(key)
+            found += any(start <= at and end >= at + size for start, _, end in secret_scan.find_spans(text))
+        assert found >= 54, (alphabet, size, found)
+
+
+def test_names_beside_sensitive_words_are_no_secrets():
+    names = "internationalization authentication_middleware_v2 utf8mb4_general_ci oauth2_client_id_v2_1 session_timeout_3600_seconds"
+    for name in names.split():
+        assert secret_scan.find_spans(f"{PROSE} the credential {name} {PROSE}") == []
+
+
+def test_base_secrets_equal_plain_patterns():
+    rng, kinds = random.Random(12), secret_scan.KINDS
+    pieces = ["password", "Token", "api-key", "APIKEY", "secret", '"', "'", " ", ":", "=", " = ", "abc", "A1+/=_.-", "AKIA",
+              "AKIAZ" * 5, "0123456789abcdef", "deadbeef" * 3, "\n", "é", "漢"]
+    plain = [
+        (r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        (r"AKIA[A-Z0-9]+", 0, 20),
+        (r"[0-9a-f]+", 0, 24),
+    ]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
+        want = sorted(
+            (m.start(), k, m.end()) for k, (pattern, group, least) in enumerate(plain)
+            for m in re.finditer(pattern, text) if len(m.group(group)) >= least
+        )
+        assert secret_scan.base_spans(text) == want
+        assert [s for s in secret_scan.find_spans(text) if kinds[s[1]] != "novel"] == want
+
+
 def test_secret_context_reaches_whole_keys():
     rng = np.random.default_rng(5)
     lines = [base64.b64encode(rng.bytes(48)).decode() for _ in range(25)]
