@@ -1,7 +1,13 @@
 """From raw documents to packed training sequences, a stage at a time.
 
 Each stage takes what its predecessor kept, as a table that was written and read
-again.  All stages but the last return the columns of ``documents``.
+again.  All stages but the last return the columns of ``documents``, other
+columns of any name included.
+
+Defined results: an empty table stays empty; NULL text is empty text, and stays
+NULL in what is kept.  A row that repeats another as it is shares its fate.  If
+texts share an id and one of them is rejected, all rows with that id go.  Rows
+without an id stay, unless a row with an id has the same text.
 """
 
 from __future__ import annotations

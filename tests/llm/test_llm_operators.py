@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -419,6 +420,54 @@ def test_pipeline_stages(spark):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def _similar(a, b):
+    def grams(text):
+        words = re.findall(r"[^ \t-\r]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    x, y = grams(a), grams(b)
+    return bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+
+
+def test_pipeline_stages_by_brute_force_on_odd_rows(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"word{i}" for i in range(60))
+    texts = [*ODD, long, long, long.replace("word30", "other"), long.upper(), f"{PROSE} password=hunter2hunter2", "x y"]
+    data = [(i, t, "en", "s", len(t or ""), 1, "k", "d", b"g", i) for i, t in enumerate(texts)]
+    data += [data[0], data[6]]  # repeated as they are
+    docs = spark.createDataFrame(
+        data, "doc_id bigint, text string, lang string, source string, n_chars bigint, _rejected int, key string,"
+        " digest string, signature binary, n int")
+    stages, sf_dir = dict(corpus_pipeline.STAGES), "/root/testdata/sf0.001"
+
+    def kept(name):
+        frame = stages[name](spark, docs, sf_dir)
+        assert frame.columns == docs.columns
+        assert stages[name](spark, docs.where("false"), sf_dir).count() == 0
+        return sorted((r.doc_id, r.text) for r in frame.collect())
+
+    all_rows = [(r[0], r[1]) for r in data]
+    last = {text or "": i for i, text in all_rows[: len(texts)]}
+    assert kept("exact_dedup") == sorted(r for r in all_rows if last[r[1] or ""] == r[0])
+    least = list(range(len(texts)))
+    for _ in texts:
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            if _similar(texts[i], texts[j]):
+                least[i] = least[j] = min(least[i], least[j])
+    assert kept("near_copies") == sorted(r for r in all_rows if least[r[0]] == r[0])
+    blanked = dict(kept("secrets"))
+    assert blanked == {i: t if i != 13 else f"{PROSE} [secret]" for i, t in enumerate(texts)}
+    good = kept("quality")
+    assert set(good) <= set(all_rows) and all(good.count(r) in (0, all_rows.count(r)) for r in all_rows)
+    unnamed = docs.withColumn("doc_id", F.lit(None).cast("bigint"))
+    for name in ("quality", "exact_dedup", "near_copies", "secrets"):
+        assert stages[name](spark, unnamed, sf_dir).count() == len(data)
+    packed = stages["packing"](spark, docs.dropDuplicates(["doc_id"]), sf_dir)
+    assert {r.doc_id for r in packed.collect()} == set(range(len(texts)))
+    assert stages["packing"](spark, docs.where("false"), sf_dir).count() == 0
+
+
 def test_batch_size_holds_inside_only(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
