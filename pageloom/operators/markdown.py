@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from pageloom.functions.arrays import bind, running
+from pageloom.functions.arrays import bind
 from pageloom.functions.text import extract, is_blank, let, literal, squeeze, substitute
 
 # How tags are rendered.
@@ -25,73 +25,57 @@ SWALLOWING = "h1 h2 h3 h4 h5 h6 blockquote pre code a strong b em i img hr".spli
 CONTAINERS = "p ul ol li tr table".split()
 ROOT = -1
 
-_STOPS = [*SWALLOWING, "table", "p", "ul", "ol"]
-_TEXT_TAKERS = [*SWALLOWING, "td", "th"]
 _NO_TARGETS = "cast(NULL AS array<struct<id: int, level: int>>)"
 
+# What the tag of an ancestor means for the nodes below it, as bits of a number a node.
+_BITS = {
+    "box": CONTAINERS, "stop": [*SWALLOWING, "table", "p", "ul", "ol"], "taker": [*SWALLOWING, "td", "th"],
+    "li": ["li"], "p": ["p"], "list": ["ul", "ol"], "tr": ["tr"], "table": ["table"], "pre": ["pre"],
+}
+_MARKED = sorted({tag for tags in _BITS.values() for tag in tags})
+
 
 def _one_of(tag: str, tags: list[str]) -> str:
     return f"{tag} IN ({', '.join(literal(t) for t in tags)})"
 
 
-def _count(tags: str) -> str:
-    return f"size(filter({tags}, t -> {_one_of('t', CONTAINERS)}))"
+def _marks() -> str:
+    """For each node of the page the bits of its tag."""
+    values = [sum(1 << k for k, tags in enumerate(_BITS.values()) if tag in tags) for tag in _MARKED]
+    listed = f"array(0, {', '.join(map(str, values))})"
+    return f"transform(tags, t -> {listed}[find_in_set(t, {literal(','.join(_MARKED))})])"
 
 
-def _lined(content: DataFrame) -> DataFrame:
-    """``(page_id, url, lined)``: content nodes with ``up``, ``level`` and ``targets``.
+def _is(name: str, node: str) -> str:
+    return f"(marks[{node}] & {1 << list(_BITS).index(name)}) != 0"
 
-    ``up`` are the ancestors below the root, nearest first, with tags and levels.
-    The level of an element is 1 plus the number of containers above it.
-    """
-    flags = f"transform(x.up, a -> if({_one_of('tags[a]', CONTAINERS)}, 1, 0))"
-
-    def chained(f: str) -> str:
-        def node(s: str) -> str:
-            chain = f"transform(x.up, (a, k) -> struct(a AS id, tags[a] AS tag, 1 + {s}[k] - {f}[k] AS level))"
-            return (
-                "named_struct('n', x.n, 'end', x.end, 'kind', x.kind, 'tag', x.tag, 'text', x.text, 'attrs', x.attrs,"
-                f" 'up', reverse({chain}), 'level', 1 + coalesce(get({s}, size({s}) - 1), 0))"
-            )
-
-        return let(running(f, lambda a, b: f"{a} + {b}"), node)
-
-    named = bind(content, _named=f"transform(content, x -> {let(flags, chained)})").select("page_id", "url", "_named")
-    targeted = (
-        "named_struct('n', x.n, 'end', x.end, 'kind', x.kind, 'tag', x.tag, 'text', x.text, 'attrs', x.attrs,"
-        f" 'up', x.up, 'level', x.level, 'targets', {_targets()})"
-    )
-    return bind(named, lined=f"transform(_named, x -> {targeted})").select("page_id", "url", "lined")
 
+def _level(above: str = "true") -> str:
+    """1 plus the number of containers among the ancestors ``b`` of node ``x`` that meet ``above``."""
+    return f"(1 + size(filter(x.up, b -> {above} AND {_is('box', 'b')})))"
 
-def _receivers() -> str:
-    """Containers that show this node: items passed on the way up, then the first paragraph or root."""
-    stop = f"array_position(transform(x.up, u -> {_one_of('u.tag', _STOPS)}), true)"
 
-    def shown(at: str) -> str:
-        passed = f"if({at} = 0, x.up, slice(x.up, 1, {at} - 1))"
-        items = f"filter({passed}, u -> u.tag = 'li')"
-        last = f"filter(slice(x.up, greatest({at}, 1), if({at} = 0, 0, 1)), u -> u.tag = 'p')"
-        root = f"if({at} = 0, array(struct({ROOT} AS id, 0 AS level)), array())"
-        return f"concat({_places(f'concat({items}, {last})')}, {root})"
+def _places(test: str) -> str:
+    """Ancestors ``a`` of node ``x`` that meet ``test``, with their levels; numbers rise from the root down."""
+    return f"transform(filter(x.up, a -> {test}), a -> struct(a AS id, {_level('b < a')} AS level))"
 
-    return let(stop, shown)
 
+def _receivers() -> str:
+    """Containers that show this node: items passed on the way up, then the first paragraph or root."""
+    def shown(stop: str) -> str:
+        taken = _places(f"a > {stop} AND {_is('li', 'a')} OR a = {stop} AND {_is('p', 'a')}")
+        return f"if({stop} = -1, concat({taken}, array(struct({ROOT} AS id, 0 AS level))), {taken})"
 
-def _places(elements: str) -> str:
-    return f"transform({elements}, u -> struct(u.id AS id, u.level AS level))"
+    return let(f"coalesce(array_max(filter(x.up, a -> {_is('stop', 'a')})), -1)", shown)
 
 
 def _targets() -> str:
-    def above(*tags: str) -> str:
-        return _places(f"filter(x.up, u -> {_one_of('u.tag', list(tags))})")
-
+    """Containers that show an element; NULL if none does."""
     shown = _one_of("x.tag", [*SWALLOWING, "p", "ul", "ol", "table"])
     return f"""
-        CASE WHEN x.kind = 'text' THEN {_receivers()} WHEN x.kind != 'element' THEN NULL
-             WHEN x.tag = 'li' THEN {above('ul', 'ol')}
-             WHEN x.tag IN ('td', 'th') THEN {above('tr')}
-             WHEN x.tag = 'tr' THEN {above('table')}
+        CASE WHEN x.tag = 'li' THEN {_places(_is('list', 'a'))}
+             WHEN x.tag IN ('td', 'th') THEN {_places(_is('tr', 'a'))}
+             WHEN x.tag = 'tr' THEN {_places(_is('table', 'a'))}
              WHEN {shown} THEN {_receivers()} END"""
 
 
@@ -115,23 +99,26 @@ def fragments(content: DataFrame) -> DataFrame:
       what its attributes add.
     * ``edge``: line ends around the children of the root.
     """
-    direct = "size(x.up) > 0 AND t.id = get(x.up, 0).id"
-    shown = f"(t.id != {ROOT} OR size(x.up) > 0) AND ({direct} OR NOT {is_blank('x.text')})"
-    text = _row("t.id", "t.level", "x.n", 1, "'text'", f"concat({squeeze('x.text')}, ' ')", _NO_TARGETS)
-    raw = _row("u.id", "u.level", "x.n", 1, "'raw'", "x.text", _NO_TARGETS)
-    lang = _row("u.id", "u.level", "x.n", 1, "'lang'", "coalesce(x.attrs['class'], '')", _NO_TARGETS)
+    direct = "t.id = coalesce(get(x.up, size(x.up) - 1), -2)"
+
+    def text(squeezed: str) -> str:
+        shown = f"(t.id != {ROOT} OR size(x.up) > 0) AND ({direct} OR {squeezed} != '')"
+        row = _row("t.id", "t.level", "x.n", 1, "'text'", f"concat({squeezed}, ' ')", _NO_TARGETS)
+        return f"transform(filter({_receivers()}, t -> {shown}), t -> {row})"
+
+    raw = _row("t.id", "t.level", "x.n", 1, "'raw'", "x.text", _NO_TARGETS)
+    lang = _row("t.id", "t.level", "x.n", 1, "'lang'", "coalesce(x.attrs['class'], '')", _NO_TARGETS)
     note = """CASE x.tag WHEN 'a' THEN coalesce(x.attrs['href'], '')
         WHEN 'img' THEN concat('![', coalesce(x.attrs['alt'], ''), '](', coalesce(x.attrs['src'], ''), ')\\n')
         ELSE '' END"""
-    box = _row("x.n", "x.level", "x.n", 1, "concat('box ', x.tag)", note, "x.targets")
+    box = _row("x.n", _level(), "x.n", 1, "concat('box ', x.tag)", note, _targets())
     rows = f"""
         CASE x.kind
-          WHEN 'text' THEN concat(
-            transform(filter(x.targets, t -> {shown}), t -> {text}),
-            transform(filter(x.up, u -> {_one_of('u.tag', _TEXT_TAKERS)}), u -> {raw}))
-          WHEN 'element' THEN concat(
-            if({_one_of('x.tag', [*CONTAINERS, *_TEXT_TAKERS])}, array({box}), array()),
-            if(x.tag = 'code', transform(filter(x.up, u -> u.tag = 'pre'), u -> {lang}), array()))
+          WHEN 'text' THEN concat({let(squeeze('x.text'), text)}, transform({_places(_is('taker', 'a'))}, t -> {raw}))
+          WHEN 'element' THEN
+            if({_is('box', 'x.n')} OR {_is('taker', 'x.n')},
+              if(x.tag = 'code', concat(array({box}), transform({_places(_is('pre', 'a'))}, t -> {lang})), array({box})),
+              array())
           ELSE array() END"""
     before = "if(x.tag = 'table' AND NOT coalesce(get(_top, i - 1).tag = 'table', false), '\\n', '')"
     after = "if(x.tag = 'table', '\\n', '\\n\\n')"
@@ -139,9 +126,9 @@ def fragments(content: DataFrame) -> DataFrame:
         _row(str(ROOT), "0", at, side, "'edge'", md, _NO_TARGETS)
         for at, side, md in (("x.n", 0, before), ("x.end", 2, after))
     )
-    tops = bind(_lined(content), _top="filter(lined, x -> x.kind = 'element' AND size(x.up) = 0)")
-    pool = f"concat(flatten(transform(lined, x -> {rows})), flatten(transform(_top, (x, i) -> array({edges}))))"
-    return bind(tops, pool=f"filter({pool}, f -> f.target IS NOT NULL)").select("page_id", "url", "pool")
+    tops = bind(content, marks=_marks(), _top="filter(content, x -> x.kind = 'element' AND size(x.up) = 0)")
+    pool = f"concat(flatten(transform(content, x -> {rows})), flatten(transform(_top, (x, i) -> array({edges}))))"
+    return bind(tops, pool=pool).select("page_id", "url", "pool")
 
 
 def _render() -> str:
@@ -155,7 +142,11 @@ def _render() -> str:
     )
     # The indent is one more than the UTF-8 length of the item number as a character.
     indent = "CASE WHEN i < 127 THEN 2 WHEN i < 2047 THEN 3 WHEN i < 65535 THEN 4 ELSE 5 END"
-    ruler = f"array_repeat('---', size({_cells('td', 'th')}))"
+
+    def row(cells: str) -> str:
+        ruler = f"array_repeat('---', size({cells}))"
+        return f"if(size({cells}) > 0, concat({_table_line(cells)}, {_table_line(ruler)}), NULL)"
+
     rest = "array_join(transform(slice(_parts, 2, size(_parts)), x -> coalesce(x.md2, '')), '')"
     return f"""
         CASE WHEN _box = 'p' THEN concat({squeeze(inline)}, '\\n')
@@ -164,8 +155,7 @@ def _render() -> str:
              WHEN _box = 'ol' THEN array_join(transform(_parts,
                (x, i) -> concat(repeat(' ', {indent}), '1. ', x.md, '\\n')), '')
              WHEN _box IN ('td', 'th') THEN {text}
-             WHEN _box = 'tr' THEN if(size({_cells('td', 'th')}) > 0,
-               concat({_table_line(_cells('td', 'th'))}, {_table_line(ruler)}), NULL)
+             WHEN _box = 'tr' THEN {let(_cells('td', 'th'), row)}
              WHEN _box = 'table' THEN
                concat('\\n', if(get(_parts, 0).md IS NULL, '', concat(get(_parts, 0).md, {rest})))
              WHEN _box IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') THEN
@@ -192,28 +182,30 @@ def _table_line(cells: str) -> str:
 def _folded(pool: str, level: str) -> str:
     """``pool`` with the boxes of ``level`` turned into fragments of lower levels; others pass unchanged.
 
-    Fragments of a level are sorted by box, so that each box is a slice of them.
+    Fragments of a level are sorted by box, so that each box is a slice of them, which its own row begins.
     """
     def rendered(group: str) -> str:
-        def made(own: str) -> str:
-            body_row = f"if(_box = 'tr' AND size({_cells('td')}) > 0, {_table_line(_cells('td'))}, NULL)"
-
-            def named(parts: str) -> str:
-                def expression(template: str) -> str:
-                    boxed = template.replace("_parts", parts).replace("_box", f"substring({own}.kind, 5)")
-                    return boxed.replace("_note", f"{own}.md")
-
-                md = f"struct({expression(_render())} AS md, {expression(body_row)} AS md2)"
-                return let(
-                    md,
-                    lambda m: f"transform({own}.targets, t -> struct(t.id AS target, {own}.target AS ord,"
-                    f" substring({own}.kind, 5) AS kind, {m}.md AS md, {m}.md2 AS md2, 1 AS side, t.level AS level,"
-                    f" {_NO_TARGETS} AS targets))",
-                )
-
-            return f"if({own} IS NULL, NULL, {let(f'filter({group}, x -> NOT startswith(x.kind, {literal(BOX)}))', named)})"
-
-        return let(f"get(filter({group}, x -> startswith(x.kind, {literal(BOX)})), 0)", made)
+        def boxed(own: str) -> str:
+            def made(box: str) -> str:
+                def named(parts: str) -> str:
+                    def expression(template: str) -> str:
+                        return template.replace("_parts", parts).replace("_box", box).replace("_note", f"{own}.md")
+
+                    body_row = let(_cells("td"), lambda c: f"if(size({c}) > 0, {_table_line(c)}, NULL)")
+                    md = f"struct({expression(_render())} AS md, if({box} = 'tr', {expression(body_row)}, NULL) AS md2)"
+                    return let(
+                        md,
+                        lambda m: f"transform({own}.targets, t -> struct(t.id AS target, {own}.target AS ord,"
+                        f" {box} AS kind, {m}.md AS md, {m}.md2 AS md2, 1 AS side, t.level AS level,"
+                        f" {_NO_TARGETS} AS targets))",
+                    )
+
+                return let(f"slice({group}, 2, size({group}))", named)
+
+            made_box = let(f"substring({own}.kind, {len(BOX) + 1})", made)
+            return f"if(startswith({own}.kind, {literal(BOX)}), {made_box}, NULL)"
+
+        return let(f"{group}[0]", boxed)
 
     def grouped(here: str) -> str:
         head = f"i = 0 OR {here}[i].target != get({here}, i - 1).target"

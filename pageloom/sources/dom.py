@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from pageloom.session import estimated_bytes
 from pageloom.sources import tree
-from pageloom.sources.tree import TreeBuilder, flatten
+from pageloom.sources.tree import TreeBuilder, flatten, flatten_into
 
 # Ship this code with the task, so that executors need no installed package.
 for _module in (tree, sys.modules[__name__]):
@@ -89,11 +90,17 @@ def page_trees(pages: DataFrame, fields: Sequence[str] = tuple(TREE_FIELDS)) ->
 
 
 def _tree_batches(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[pa.RecordBatch]:
-    names = [TREE_FIELDS[name] for name in fields]
+    def fresh() -> dict[str, list]:
+        return {name: [] for name in (*TREE_FIELDS, "n_up")}
+
+    def column(flat: dict[str, list], name: str) -> pa.Array:
+        if name != "up":
+            return pa.array(flat[name], _ARROW.get(TREE_FIELDS[name], pa.int32()))
+        offsets = np.concatenate([[0], np.cumsum(flat["n_up"])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat["up"], pa.int32()))
 
     def packed(pages: list[tuple], flat: dict[str, list], offsets: list[int]) -> pa.RecordBatch:
-        arrays = [pa.array(flat[name], _ARROW.get(name, pa.int32())) for name in names]
-        nodes = pa.StructArray.from_arrays(arrays, fields)
+        nodes = pa.StructArray.from_arrays([column(flat, name) for name in fields], fields)
         ids, urls = zip(*pages)
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(urls, pa.string()),
@@ -101,16 +108,14 @@ def _tree_batches(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Itera
             ["page_id", "url", "nodes"],
         )
 
-    pages, flat, offsets = [], {name: [] for name in names}, [0]
+    pages, flat, offsets = [], fresh(), [0]
     for batch in batches:
-        for page_id, url, text in zip(*(column.to_pylist() for column in batch.columns)):
-            rows, ends = flatten(TreeBuilder(text).build())
-            _add_rows(flat, names, page_id, url, rows, ends)
+        for page_id, url, text in zip(*(values.to_pylist() for values in batch.columns)):
+            offsets.append(offsets[-1] + flatten_into(TreeBuilder(text).build(), flat))
             pages.append((page_id, url))
-            offsets.append(offsets[-1] + len(rows))
             if offsets[-1] >= ROWS_PER_BATCH:
                 yield packed(pages, flat, offsets)
-                pages, flat, offsets = [], {name: [] for name in names}, [0]
+                pages, flat, offsets = [], fresh(), [0]
     if pages:
         yield packed(pages, flat, offsets)
 

@@ -111,3 +111,17 @@ def test_nesting_deeper_than_usual(make_pages):
     assert flat == "flat"
     assert deep.split("\n")[-1] == "z" and deep.count("a") >= 9
     assert ordered.count("b") >= 7
+
+
+def test_levels_take_no_arrays_of_ancestor_rows(make_pages):
+    """A node's ancestors stay numbers; their tags are looked up once a page."""
+    from pageloom.operators.content import page_nodes, whole_body
+    from pageloom.operators.markdown import fragments
+
+    depth = 40
+    html = "<ul><li>" * depth + "x" + "</li></ul>" * depth
+    found = fragments(whole_body(page_nodes(make_pages([html]), noise=True)))
+    assert "reverse(" not in found._jdf.queryExecution().analyzed().toString()
+    levels = found.selectExpr("array_sort(array_distinct(transform(filter(pool, f -> f.kind = 'box li'), f -> f.level))) AS l")
+    assert levels.first().l == list(range(2, 2 * depth + 1, 2))
+    assert converted(html_to_markdown(make_pages(["<ul><li>" * 3 + "x" + "</li></ul>" * 3]))) == ["- - - x\n- x\n- - x\n- x"]

@@ -1,5 +1,10 @@
+import gc
+
+import pyarrow as pa
 import pytest
 
+from pageloom.sources import dom
+from pageloom.sources.dom import page_trees, shred
 from pageloom.sources.tree import VOID, TreeBuilder, decode_text, flatten
 
 CASES = [
@@ -77,3 +82,26 @@ def test_no_reference_is_dropped():
     assert decode_text("a&#1;b&#146;&#xFDD0;&#0;&copyx &amp= &#99999999999999999999;&nope;") == (
         "a\x01b\u2019\ufdd0\ufffd\xa9x &= \ufffd&nope;"
     )
+
+
+def test_page_trees_are_freed_at_once():
+    html = "<p>a<b>x<p>y</b><table><tr><td>1<td>2</table><ul><li>q<li>r</ul><a href=q>s</a>"
+    batch = pa.RecordBatch.from_pydict({"page_id": range(200), "url": ["u"] * 200, "html": [html] * 200})
+    gc.collect()
+    gc.disable()
+    try:
+        list(dom._tree_batches(iter([batch]), list(dom.TREE_FIELDS)))
+        assert gc.collect() < 200
+    finally:
+        gc.enable()
+
+
+def test_page_trees_hold_the_rows_of_nodes(spark, make_pages):
+    pages = make_pages(["<!-- c --><p class=k>a<b>x<p>y</b ><table>z<tr><td>1<td/>2</table></P><br/>&amp;<pre>\n\nq", "", "<"])
+    trees = page_trees(pages).selectExpr("page_id", "posexplode(nodes) AS (at, x)").selectExpr(
+        "page_id", "x.n", "x.end", "x.parent", "x.kind", "x.tag", "x.text", "map_entries(x.attrs)", "x.up"
+    )
+    nodes = shred(pages).selectExpr(
+        "page_id", "node_id", "end_id", "parent_id", "kind", "tag", "text", "map_entries(attrs)", "ancestors"
+    )
+    assert sorted(map(str, map(tuple, trees.collect()))) == sorted(map(str, map(tuple, nodes.collect())))
