@@ -48,6 +48,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def written(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` as a Parquet table in the shared folder, which is emptied afterwards.
+
+    What reads it several times, or some of its columns, does not make ``df`` again.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        spark.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Size of the files ``df`` is made from; nothing is run.
 

@@ -1,14 +1,17 @@
 """A folder of Markdown files, one per page, as a data source that the tasks write.
 
-Every task writes whole files below a staging folder next to the target.  Only
-when all tasks have ended does the commit move what the successful ones wrote
-into place; what lost or repeated attempts left goes with the staging folder.
+Every task writes whole files below a staging folder in the target.  Only when
+all tasks have ended does the commit move what the successful ones wrote into
+place; what lost or repeated attempts left goes with the staging folder.  The
+driver makes that folder and no task does, so that an attempt which outlives a
+failed export finds no place to write to.
 """
 
 from __future__ import annotations
 
 import os
 import sys
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -21,12 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from pageloom.session import written
 from pageloom.sinks.documents import document_files, export_layout, page_documents
 
 # Ship this code with the task, so that executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MOVES_AT_ONCE = 32
+DROP_ATTEMPTS = 6
 
 
 @dataclass
@@ -42,11 +47,13 @@ class FolderWriter(DataSourceWriter):
     def __init__(self, target: str):
         self.target = target if "://" in target else os.path.abspath(target)
         self.staging = f"{self.target.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+        files, staging = fs.FileSystem.from_uri(self.staging)
+        files.create_dir(staging, recursive=True)
 
     def write(self, iterator: Iterator[Row]) -> Staged:
         files, staging = fs.FileSystem.from_uri(self.staging)
         folder = f"{staging}/{uuid.uuid4().hex}"
-        files.create_dir(folder, recursive=True)
+        files.create_dir(folder, recursive=False)
         for row in iterator:
             with files.open_output_stream(f"{folder}/{row.file}") as out:
                 out.write(row.document.encode("utf-8"))
@@ -67,9 +74,17 @@ class FolderWriter(DataSourceWriter):
         self._drop_staging()
 
     def _drop_staging(self) -> None:
+        """Tries again while an attempt that is being killed adds files to its own folder."""
         files, staging = fs.FileSystem.from_uri(self.staging)
-        if files.get_file_info(staging).type != fs.FileType.NotFound:
-            files.delete_dir(staging)
+        for attempt in range(DROP_ATTEMPTS):
+            try:
+                if files.get_file_info(staging).type != fs.FileType.NotFound:
+                    files.delete_dir(staging)
+                return
+            except OSError:
+                if attempt == DROP_ATTEMPTS - 1:
+                    raise
+                time.sleep(0.1 * 2**attempt)
 
 
 class MarkdownFolder(DataSource):
@@ -88,13 +103,18 @@ def export_documents(results: DataFrame, path: str, order: list[str], index: str
     pages with one file name the last by ``order`` is written, see
     ``document_files``.  No result writes no file.
     """
-    layout = export_layout(results, path).first()
-    folder = layout["target"]
-    if layout["mode"] == "file":
-        folder, name = os.path.split(layout["target"])
-        chosen = page_documents(results).withColumn("file", F.lit(name))
-    else:
-        chosen = page_documents(document_files(results, order, index))
-    results.sparkSession.dataSource.register(MarkdownFolder)
-    chosen.select("file", "document").where("document IS NOT NULL").write.format("markdown_folder").mode("append").save(folder)
+    # Results are read three times: counted, named and written.
+    columns = dict.fromkeys([*order, "url", "markdown", "depth"])
+    number = [] if index is None else [F.expr(index).alias("_number")]
+    with written(results.select(*columns, *number), "results") as made:
+        layout = export_layout(made, path).first()
+        folder = layout["target"]
+        if layout["mode"] == "file":
+            folder, name = os.path.split(layout["target"])
+            chosen = page_documents(made).withColumn("file", F.lit(name))
+        else:
+            chosen = page_documents(document_files(made, order, None if index is None else "_number"))
+        results.sparkSession.dataSource.register(MarkdownFolder)
+        chosen = chosen.select("file", "document").where("document IS NOT NULL")
+        chosen.write.format("markdown_folder").mode("append").save(folder)
     return layout["target"]

@@ -200,3 +200,26 @@ def test_commit_moves_only_what_successful_tasks_wrote(tmp_path):
     assert lost.folder != kept.folder
     writer.commit([kept, None])
     assert os.listdir(tmp_path / "out") == ["a.md"] and (tmp_path / "out" / "a.md").read_text() == "kept"
+
+
+def test_attempt_that_outlives_a_failed_export_writes_nothing(tmp_path):
+    writer = FolderWriter(str(tmp_path / "out"))
+    writer.abort([])
+    with pytest.raises(OSError):
+        writer.write(iter([Row(file="a.md", document="late")]))
+    assert os.listdir(tmp_path / "out") == []
+
+
+def test_export_makes_results_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    source = spark.range(30).selectExpr("id AS page_id", "concat('https://h.example/', id div 2) AS url", "'m' AS markdown", "0 AS depth")
+    results = source.mapInArrow(counted, source.schema)
+    export_documents(results, str(tmp_path / "out"), ["page_id"], "page_id")
+    assert len(os.listdir(tmp_path / "out")) == 15
+    assert made.value == 30
