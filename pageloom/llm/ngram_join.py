@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.components import components
-from pageloom.llm.memory import Remembered
+from pageloom.llm.memory import Remembered, give_back
 from pageloom.llm.tables import arrow_batches, discard, release, stored, texts_of
 
 WORDS, PERCENT = 5, 80
@@ -64,8 +64,8 @@ BLOCK_ROWS = 2_000
 #: Documents of one component that are kept together in a long list.
 CHUNK_ROWS = 64
 MAX_BROADCAST_ROWS = 500_000
-#: A batch of sets is copied a few times in a worker, and each core has one.
-BATCH_BYTES = 16 << 20
+#: A batch of sets is copied a few times in a worker and in its executor, and each core has one.
+BATCH_BYTES = 2 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FACTORS = np.array([0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -284,6 +284,7 @@ class NgramJoin:
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": batch["doc_id"], "n": pa.array(sizes, pa.int64()),
                      "signature": pa.array(signatures, pa.binary()), "low": pa.array(low, pa.binary())})
+            give_back()
 
         return self.texts.mapInArrow(sign, "doc_id bigint, n bigint, signature binary, low binary")
 
@@ -308,6 +309,7 @@ class NgramJoin:
                 yield pa.RecordBatch.from_pydict(
                     {"doc": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()),
                      "brief": pa.array(brief, pa.binary()), "grams": pa.array(grams, pa.binary())})
+            give_back()
 
         return self._whole(wanted).mapInArrow(whole, "doc bigint, n bigint, brief binary, grams binary")
 
@@ -433,6 +435,7 @@ class NgramJoin:
                     good.append((100 + percent) * shared >= percent * (size_a + size_b))
                 keep = pa.array(good, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
+            give_back()
 
         def alike(pairs: DataFrame, grams: str, kind: type) -> DataFrame:
             joined = pairs
