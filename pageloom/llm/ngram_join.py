@@ -24,7 +24,9 @@ exact, and so is every link reported between different texts of two components.
 How often grams occur is counted over the sets of all documents, on each set's
 lowest hashes (a little more than its prefix).  Frequent grams go last; a
 document left with too few rare ones has its prefix taken from the whole text
-again.  Grams of one list only, by these counts and by the prefixes taken
+again.  As that has grams the counts have not met, which would look rare
+however frequent they are, the whole sets of these documents are counted
+before.  Grams of one list only, by these counts and by the prefixes taken
 again, are left out of the lists.
 
 Defined results: without words the set is empty and links with nothing; with
@@ -42,6 +44,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,6 +131,11 @@ def prefix_length(n: int, matches: int, percent: int = PERCENT) -> int:
     return min(n, n - least_overlap(n, percent) + matches)
 
 
+def strong_places(n: int, matches: int, percent: int = PERCENT) -> int:
+    """Places of a set's order where it can meet sets that are not smaller; behind them it meets smaller ones only."""
+    return n - -(-2 * n * percent // (100 + percent)) + matches
+
+
 def _kept(n: int, percent: int) -> int:
     """Lowest hashes kept of a document: its longest prefix and something for frequent grams."""
     return min(n, prefix_length(n, MOST_MATCHES, percent) + 4 + n // 12)
@@ -174,8 +182,10 @@ def adaptive_prefix(grams: np.ndarray, n: int, table: Frequencies, percent: int)
     reads = np.cumsum(often)
     best, chosen = np.inf, 1
     for matches in range(1, most + 1):
+        # The lists are as many as the prefix, but most partners are of a size that asks for less of it.
         read = reads[prefix_length(n, matches, percent) - 1]
-        others = read - prefix_length(n, matches, percent)
+        near = min(n, strong_places(n, matches, percent))
+        others = reads[near - 1] - near
         cost = read + others / matches * (1 + n / 16)
         if cost < best:
             best, chosen = cost, matches
@@ -199,6 +209,11 @@ def _postings_batch(ids: list, sizes: list, prefixes: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["token", "doc", "meta"])
 
 
+def _counted(tokens: np.ndarray) -> pa.RecordBatch:
+    tokens, counts = np.unique(tokens, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(counts)], ["token", "n"])
+
+
 def _size(meta: str) -> Column:
     return F.shiftright(meta, PLACE_BITS + MATCH_BITS)
 
@@ -315,24 +330,62 @@ class NgramJoin:
 
     # -- prefixes ----------------------------------------------------------------------------
 
+    def _repeated(self, counted: DataFrame) -> DataFrame:
+        """``(token, n)`` of grams that occur more than once in ``counted (token, n)``."""
+        repeated = stored(counted.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "repeated")
+        release(self.spark)
+        return repeated
+
+    @staticmethod
+    def _table(repeated: DataFrame) -> Frequencies:
+        place = F.col("token").bitwiseAND((1 << POWER_BITS) - 1).cast("int").alias("place")
+        often = repeated.where(f"n >= {1 << LEAST_POWER}").groupBy(place)
+        powers = often.agg(F.max(F.floor(F.log2("n"))).cast("int").alias("value"))
+        return Frequencies(_bit_map(repeated), _bytes(powers, 1 << POWER_BITS))
+
+    def _short_prefixes(self, table: Broadcast) -> DataFrame:
+        """``(doc)``: nodes whose prefix their lowest hashes do not tell, by these frequencies."""
+        percent = self.percent
+
+        def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = [
+                    doc_id
+                    for doc_id, n, low in zip(*(batch[c].to_pylist() for c in ("doc_id", "n", "low")))
+                    if adaptive_prefix(np.frombuffer(low, np.uint64), n, table.value, percent) is None
+                ]
+                yield pa.RecordBatch.from_pydict({"doc": pa.array(ids, pa.int64())})
+
+        return stored(self.nodes.select("doc_id", "n", "low").mapInArrow(short, "doc bigint"), "short_prefixes")
+
     def frequencies(self) -> Frequencies:
-        """Exact counts over the sets of all documents, hashed into tables of bound size."""
+        """Counts hashed into tables of bound size: over all lowest hashes, and over whole sets where those do not do.
+
+        Documents whose lowest hashes are too frequent take their prefix from all
+        their grams, most of which nobody's lowest hashes have.
+        """
+        words = self.words
 
         def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                joined = b"".join(batch["low"].to_pylist())
-                tokens, counts = np.unique(np.frombuffer(joined, np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(counts)], ["token", "n"])
+                yield _counted(np.frombuffer(b"".join(batch["low"].to_pylist()), np.int64))
 
-        counted = self.nodes.select("low").mapInArrow(low, "token bigint, n bigint")
-        repeated = stored(counted.groupBy("token").agg(F.sum("n").alias("n")).where("n > 1"), "repeated")
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [grams.view(np.int64) for _, grams in _node_sets(batch, words)]
+                yield _counted(np.concatenate([*sets, np.zeros(0, np.int64)]))
+
+        repeated = self._repeated(self.nodes.select("low").mapInArrow(low, "token bigint, n bigint"))
+        table = self.spark.sparkContext.broadcast(self._table(repeated))
+        lacking = self._short_prefixes(table)
+        table.unpersist()
+        late = self._repeated(self._whole(lacking).mapInArrow(whole, "token bigint, n bigint"))
+        both = stored(repeated.unionByName(late).groupBy("token").agg(F.max("n").alias("n")), "repeated")
+        discard(lacking, repeated, late)
         release(self.spark)
-        place = F.col("token").bitwiseAND((1 << POWER_BITS) - 1).cast("int").alias("place")
-        often = repeated.where(f"n >= {1 << LEAST_POWER}").groupBy(place)
-        powers = often.agg(F.max(F.floor(F.log2("n"))).cast("int").alias("value"))
-        table = Frequencies(_bit_map(repeated), _bytes(powers, 1 << POWER_BITS))
-        discard(repeated)
-        return table
+        found = self._table(both)
+        discard(both)
+        return found
 
     def postings(self) -> DataFrame:
         """``(token, doc, meta)``: the adaptive prefix of every node, without grams that no other prefix has.
@@ -344,15 +397,6 @@ class NgramJoin:
         percent, words = self.percent, self.words
         table = self.spark.sparkContext.broadcast(self.frequencies())
 
-        def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = [
-                    doc_id
-                    for doc_id, n, low in zip(*(batch[c].to_pylist() for c in ("doc_id", "n", "low")))
-                    if adaptive_prefix(np.frombuffer(low, np.uint64), n, table.value, percent) is None
-                ]
-                yield pa.RecordBatch.from_pydict({"doc": pa.array(ids, pa.int64())})
-
         def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, sizes, prefixes = [], [], []
@@ -370,7 +414,7 @@ class NgramJoin:
                 yield pa.RecordBatch.from_arrays([pa.array(tokens)], ["token"])
 
         nodes = self.nodes.select("doc_id", "n", "low")
-        lacking = stored(nodes.mapInArrow(short, "doc bigint"), "short_prefixes")
+        lacking = self._short_prefixes(table)
         schema = "token bigint, doc bigint, meta bigint"
         # A row may be there twice.
         late = stored(self._whole(lacking).mapInArrow(again, schema).distinct(), "late_prefixes")
@@ -580,31 +624,37 @@ class NgramJoin:
         a component are put into chunks and chunks are paired, so that pairs
         within a component cost next to nothing.  Chunks are dealt into blocks,
         and each pair of blocks is joined apart.  Pairs that cannot be linked go
-        before anything is shuffled.
+        before anything is shuffled: of a pair the smaller set has its gram at a
+        strong place, so strong places meet all, and others only strong ones of
+        smaller sets.
         """
         named = [F.col(c).alias(f"{side}{c}") for side in ("a_", "b_") for c in ("component", "doc", "meta")]
         short, long = (rows.where(f"length {sign} {LONG_LIST}") for sign in ("<=", ">"))
         one, other = short.select("token", *named[:3]), short.select("token", *named[3:])
         pairs = one.join(other, "token").where("a_component < b_component").drop("token", "a_component", "b_component")
 
-        sizes = long.groupBy("token", "component").agg(F.expr(f"(count(*) - 1) div {CHUNK_ROWS} + 1").alias("chunks"))
+        # ``reach`` is the largest set that one may meet there; at strong places that is its own size or more.
+        size, place, matches = _size("meta"), _place("meta"), F.col("meta").bitwiseAND((1 << MATCH_BITS) - 1)
+        reach = F.floor((100 + self.percent) * (size + matches - place - 1) / self.percent) - size
+        long = long.withColumn("size", size).withColumn("reach", reach).withColumn("strong", F.expr("reach >= size"))
+        sizes = long.groupBy("token", "component", "strong").agg(F.expr(f"(count(*) - 1) div {CHUNK_ROWS} + 1").alias("chunks"))
         dealt = sizes.groupBy("token").agg(F.expr(f"(sum(chunks) - 1) div {BLOCK_ROWS} + 1").alias("blocks"))
         chunked = (
-            long.join(sizes, ["token", "component"])
-            .groupBy("token", "component", F.expr("pmod(xxhash64(doc, 11), chunks)").alias("chunk"))
-            .agg(F.collect_list(F.struct("doc", "meta")).alias("docs"))
+            long.join(sizes, ["token", "component", "strong"])
+            .groupBy("token", "component", "strong", F.expr("pmod(xxhash64(doc, 11), chunks)").alias("chunk"))
+            .agg(F.collect_list(F.struct("doc", "meta")).alias("docs"), F.min("size").alias("size"), F.max("reach").alias("reach"))
             .join(dealt, "token")
-            .withColumn("block", F.expr("pmod(xxhash64(component, chunk, 7), blocks)"))
+            .withColumn("block", F.expr("pmod(xxhash64(component, strong, chunk, 7), blocks)"))
         )
         chunked = stored(chunked, "chunks")
         self.scratch.append(chunked)
-        first = chunked.select("token", F.col("block").alias("i"), F.expr("explode(sequence(block, blocks - 1)) AS j"),
-                               F.col("component").alias("a_component"), F.col("docs").alias("a_docs"))
-        second = chunked.select("token", F.expr("explode(sequence(0L, block)) AS i"), F.col("block").alias("j"),
-                                F.col("component").alias("b_component"), F.col("docs").alias("b_docs"))
+        named = [[F.col(c).alias(f"{side}_{c}") for c in ("component", "docs", "size", "reach")] for side in ("a", "b")]
+        first = chunked.select("token", F.col("block").alias("i"), F.expr("explode(sequence(block, blocks - 1)) AS j"), *named[0])
+        second = chunked.select("token", F.expr("explode(sequence(0L, block)) AS i"), F.col("block").alias("j"), *named[1])
         crossing = (
             first.join(second, ["token", "i", "j"])
             .where("a_component <> b_component AND (i < j OR a_component < b_component)")
+            .where("a_size <= b_reach AND b_size <= a_reach")
             .selectExpr("b_docs", "inline(a_docs) AS (a_doc, a_meta)")
             .selectExpr("a_doc", "a_meta", "inline(b_docs) AS (b_doc, b_meta)")
         )

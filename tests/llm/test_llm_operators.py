@@ -152,6 +152,32 @@ def test_ngram_join_equals_brute_force(spark, odd, none, monkeypatch, long_list)
     assert ngram_join.near_components(none).count() == 0
 
 
+@pytest.mark.parametrize("long_list", [256, 20])
+def test_ngram_join_of_many_unlike_copies_of_one_text_compares_few_pairs(spark, monkeypatch, long_list):
+    monkeypatch.setattr(ngram_join, "LONG_LIST", long_list)
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for k in range(200):
+        words = list(base)
+        # Texts with one change are linked, six changes are too many for any link.
+        for place in rng.choice(np.arange(5, 145, 5), 1 if k % 20 == 0 else 6, replace=False):
+            words[place] = f"own{k}x{place}"
+        texts.append(" ".join(words))
+    compared = []
+    verified = ngram_join.NgramJoin._verified
+
+    def counted(self, pairs):
+        compared.append(pairs.count())
+        return verified(self, pairs)
+
+    monkeypatch.setattr(ngram_join.NgramJoin, "_verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for i, r in rows(ngram_join.near_components(docs)).items():
+        assert (r["n_shingles"], r["component_id"]) == (146, i if i % 20 else 0)
+    assert sum(compared) <= 400
+
+
 @pytest.mark.parametrize("block", [2_000, 3])
 def test_ngram_links_equal_brute_force(spark, none, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
