@@ -25,8 +25,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The rejected ones are the smaller set, so only their ids are joined.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality.classify(docs, labels)
-    rejected = stored(judged.where("predicted = 0").selectExpr("doc_id AS _rejected").distinct(), "rejected")
+    with arrow_batches(spark, BATCH_BYTES):
+        judged = quality.classify(docs, labels)
+        rejected = stored(judged.where("predicted = 0").selectExpr("doc_id AS _rejected").distinct(), "rejected")
     return docs.join(exact_dedup._sized(rejected), docs["doc_id"] == rejected["_rejected"], "left_anti")
 
 
@@ -41,16 +42,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced."""
-    return secret_scan.blank_out(docs)
+    """All documents, secrets in their texts replaced; written here, while the size of batches holds."""
+    with arrow_batches(spark, BATCH_BYTES):
+        return stored(secret_scan.blank_out(docs), "blanked")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    return packing.pack(docs, BYTE_BPE)
+    with arrow_batches(spark, BATCH_BYTES):
+        return packing.pack(docs, BYTE_BPE, remembered=REMEMBERED_BYTES)
 
 
+#: Workers and their executor hold a batch of texts several times over, and what they allocate for it stays with them
+#: in later stages.  So stages that hand whole texts to Python bound their batches themselves.
 BATCH_BYTES = 4 << 20
+#: Chunks a worker remembers when it packs: less than a job that packs alone, as the earlier stages' heap is still there.
+REMEMBERED_BYTES = 64 << 20
 STAGES = [
     ("quality", keep_good),
     ("exact_dedup", drop_copies),
@@ -65,8 +72,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    # Workers and their executor hold a batch of texts several times over.
-    with arrow_batches(spark, BATCH_BYTES):
-        for name, stage in STAGES[:-1]:
-            docs = stored(stage(spark, docs, sf_dir), f"stage_{name}")
-        return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -39,12 +39,12 @@ class ChunkEncoder:
     from the chunk's start.
     """
 
-    def __init__(self, path: str, offsets: bool):
+    def __init__(self, path: str, offsets: bool, remembered: int = REMEMBERED_BYTES):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.offsets = offsets
-        self.memory = Remembered(REMEMBERED_BYTES)
+        self.memory = Remembered(remembered)
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         # The byte-level alphabet writes a space as this letter.

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pageloom.llm.chunks import ChunkEncoder
+from pageloom.llm.chunks import REMEMBERED_BYTES, ChunkEncoder
 from pageloom.llm.tables import stored, texts_of
 
 CAPACITY = 2048
@@ -39,7 +39,7 @@ END_ID = 0
 ISLANDS, POPULATION, GENERATIONS, EPOCHS = 4, 4, 4, 2
 #: More groups than this make a solution too large to hand on; best-fit itself stays far below.
 MAX_GROUPS = 60_000
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
 #: A bin is the tuple of its lengths, longest first; a solution counts equal bins.
 Solution = Counter
@@ -48,11 +48,11 @@ Solution = Counter
 # -- pieces ---------------------------------------------------------------------------------
 
 
-def document_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """Token ids of each whole text and the end token."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path, offsets=False)
-    for _, packed in _encoders[path].batch(texts):
+def document_ids(texts: list[str], path: str, remembered: int = REMEMBERED_BYTES) -> Iterator[np.ndarray]:
+    """Token ids of each whole text and the end token; a worker remembers chunks of ``remembered`` bytes."""
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = ChunkEncoder(path, False, remembered)
+    for _, packed in _encoders[path, remembered].batch(texts):
         yield np.frombuffer(b"".join([*packed, END_ID.to_bytes(4, "little")]), "<u4")
 
 
@@ -63,13 +63,14 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(starts, [*starts[1:], total])]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, remembered: int = REMEMBERED_BYTES) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of every whole text."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), document_ids(batch["text"].to_pylist(), path)):
+            encoded = document_ids(batch["text"].to_pylist(), path, remembered)
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoded):
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length])))
             columns = zip(*rows) if rows else [[]] * 5
@@ -313,10 +314,11 @@ def numbered(parts: DataFrame, groups: int) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, **settings) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, remembered: int = REMEMBERED_BYTES,
+         **settings) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``, one row a piece."""
     spark = docs.sparkSession
-    parts = stored(pieces(docs, path, capacity), "pieces")
+    parts = stored(pieces(docs, path, capacity, remembered), "pieces")
     # At most ``capacity`` rows.
     counts = Counter({r["length"]: r["count"] for r in parts.groupBy("length").count().collect()})
     total = sum(counts.values())

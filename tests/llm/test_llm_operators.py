@@ -509,3 +509,33 @@ def test_batch_size_holds_inside_only(spark):
     with arrow_batches(spark, 1 << 18):
         assert largest() < 1 << 20
     assert spark.conf.get(key) == before and largest() > 1 << 20
+
+
+def test_each_pipeline_stage_bounds_batches_and_memory_itself(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    key, seen, taken = "spark.sql.execution.arrow.maxBytesPerBatch", [], []
+    before = spark.conf.get(key)
+    write, pack = corpus_pipeline.stored, packing.pack
+
+    def stored(df, name):
+        seen.append((name, spark.conf.get(key)))
+        return write(df, name)
+
+    def packed(docs, path, **settings):
+        seen.append(("pieces", spark.conf.get(key)))
+        taken.append(settings["remembered"])
+        return pack(docs, path, **settings)
+
+    monkeypatch.setattr(corpus_pipeline, "stored", stored)
+    monkeypatch.setattr(packing, "pack", packed)
+    docs = spark.createDataFrame([(1, "secret = abcdef12"), (2, None)], "doc_id bigint, text string")
+    spark.createDataFrame([(1, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    stages["quality"](spark, docs, str(tmp_path))
+    blanked = stages["secrets"](spark, docs, str(tmp_path))
+    assert {r["doc_id"]: r["text"] for r in blanked.collect()} == {1: "[secret]", 2: None}
+    assert stages["packing"](spark, docs, str(tmp_path)).count() == 2
+    bound = f"{corpus_pipeline.BATCH_BYTES}b"
+    assert seen == [("rejected", bound), ("blanked", bound), ("pieces", bound)]
+    assert taken == [corpus_pipeline.REMEMBERED_BYTES] and spark.conf.get(key) == before
