@@ -57,7 +57,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 #: in later stages.  So stages that hand whole texts to Python bound their batches themselves.
 BATCH_BYTES = 4 << 20
 #: Chunks a worker remembers when it packs: less than a job that packs alone, as the earlier stages' heap is still there.
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED_BYTES = 32 << 20
 STAGES = [
     ("quality", keep_good),
     ("exact_dedup", drop_copies),

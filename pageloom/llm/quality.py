@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.memory import Remembered
+from pageloom.llm.memory import Remembered, give_back
 from pageloom.llm.tables import texts_of
 
 BITS = 18
@@ -137,6 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
             yield pa.RecordBatch.from_pydict(
                 {"i": pa.array(i, pa.int32()), "w": pa.array(w[i] * len(rows), pa.float64()),
                  "n": pa.array(np.full(len(i), len(rows)), pa.int64())})
+        del rows
+        give_back()
 
     # max_rows pairs of numbers at most: a proven bound for the broadcast.
     known = texts_of(docs).join(F.broadcast(sample), "doc_id")
@@ -164,6 +166,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch["doc_id"], "score": pa.array(1 / (1 + np.exp(-np.clip(sums, -30, 30))))}
             )
+        give_back()
 
     return texts_of(docs).mapInArrow(dot, "doc_id bigint, score double")
 

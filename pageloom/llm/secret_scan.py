@@ -28,6 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.memory import give_back
 from pageloom.llm.tables import texts_of
 
 # The base kinds in their order, with pattern, group and least length.
@@ -220,6 +221,7 @@ def blank_out(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         for batch in batches:
             texts = pa.array([clean(t.as_py()) for t in batch["text"]], pa.string())
             yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
+        give_back()
 
     cleaned = docs.mapInArrow(rewrite, docs.schema)
     if "n_chars" in docs.columns:
