@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, a stage at a time.
 
 Each stage takes what its predecessor kept, as a table that was written and read
-again.  All stages but the last return the columns of ``documents``, other
+again, and has the executors give back first what memory their heaps have free.
+All stages but the last return the columns of ``documents``, other
 columns of any name included.
 
 Defined results: an empty table stays empty; NULL text is empty text, and stays
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm import exact_dedup, ngram_join, packing, quality, secret_scan
 from pageloom.llm.queries import BYTE_BPE
-from pageloom.llm.tables import arrow_batches, stored
+from pageloom.llm.tables import arrow_batches, collect_garbage, stored
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +25,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The rejected ones are the smaller set, so only their ids are joined.
     """
+    collect_garbage(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     with arrow_batches(spark, BATCH_BYTES):
         judged = quality.classify(docs, labels)
@@ -33,22 +35,26 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest id."""
+    collect_garbage(spark)
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar word shingles the one with the least id."""
+    collect_garbage(spark)
     return ngram_join.keep_one(docs)
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced; written here, while the size of batches holds."""
+    collect_garbage(spark)
     with arrow_batches(spark, BATCH_BYTES):
         return stored(secret_scan.blank_out(docs), "blanked")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
+    collect_garbage(spark)
     with arrow_batches(spark, BATCH_BYTES):
         return packing.pack(docs, BYTE_BPE, remembered=REMEMBERED_BYTES)
 

@@ -6,16 +6,23 @@ such spaces and each chunk encoded alone; chunks come back often and are
 remembered.  For the same reason new chunks are encoded many at a time, as one
 text: each starts at the token that starts with its space.  A text in which a
 space meets other white space is encoded as one.
+
+A task has one core, so the library's threads are kept off: they would take the
+cores of other tasks, and each of them keeps memory of its own.  Encodings are
+many times as large as the ids in them; so one is read before the next is made.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from pageloom.llm.memory import Remembered
+from pageloom.llm.memory import Remembered, give_back
+
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 REMEMBERED_BYTES = 256 << 20
 GROUP = 200
@@ -40,19 +47,21 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str, offsets: bool, remembered: int = REMEMBERED_BYTES):
+        self.memory = Remembered(remembered)
+        self.memory.take_over()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.offsets = offsets
-        self.memory = Remembered(remembered)
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         # The byte-level alphabet writes a space as this letter.
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        give_back()
 
-    def _encode(self, texts: list[str]) -> list:
+    def _encode(self, text: str):
         encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
-        return encode(texts, add_special_tokens=False)
+        return encode([text], add_special_tokens=False)[0]
 
     def _kept(self, encoding) -> np.ndarray:
         return np.array(encoding.offsets, "<i4").reshape(-1, 2) if self.offsets else np.array(encoding.ids, "<u4")
@@ -63,7 +72,8 @@ class ChunkEncoder:
         alone = list(set(chunks).difference(plain))
         parts = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
         found = {}
-        for part, encoding in zip(parts, self._encode(["".join(p) for p in parts])):
+        for part in parts:
+            encoding = self._encode("".join(part))
             kept = self._kept(encoding)
             ids = np.array(encoding.ids, "<u4") if self.offsets else kept
             first = np.flatnonzero(self.spaced[ids])
@@ -79,9 +89,7 @@ class ChunkEncoder:
             for chunk, end in zip(part, ends):
                 found[chunk] = data[start:end]
                 start = end
-        for start in range(0, len(alone), JOINED):
-            some = alone[start : start + JOINED]
-            found.update((c, self._kept(e).tobytes()) for c, e in zip(some, self._encode(some)))
+        found.update((c, self._kept(self._encode(c)).tobytes()) for c in alone)
         return found
 
     def batch(self, texts: list[str]) -> Iterator[tuple[list[str], list[bytes]]]:

@@ -44,12 +44,16 @@ class Remembered(dict):
         self.update(made)
         self.held += size
 
-    def _make_room(self) -> None:
+    def take_over(self) -> None:
+        """What another operator has remembered goes; its place is this one's."""
         if Remembered._active is not self:
             if Remembered._active is not None:
                 Remembered._active.forget()
                 give_back()
             Remembered._active = self
+
+    def _make_room(self) -> None:
+        self.take_over()
         if self.held > self.limit // 2:
             self.earlier, self.held = dict(self), 0
             self.clear()

@@ -49,6 +49,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Has executors collect their garbage, and so give heap that earlier steps have filled back to the system.
+
+    They would keep it otherwise, and the next step's Python workers would come
+    on top.  One task a core reaches all of them.  Where explicit collections are
+    turned off, nothing happens; results do not depend on it.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    collected = spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc') AS done")
+    collected.write.format("noop").mode("overwrite").save()
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
     """Keeps Arrow batches of what runs inside to ``size`` bytes; then the session's own setting holds again."""

@@ -4,9 +4,12 @@ import base64
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import string
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from pageloom.llm import bpe, exact_dedup, ngram_join, packing, pii, quality, secret_scan, token_counts, topk, wrappers
 from pageloom.llm.components import components
 from pageloom.llm.queries import BYTE_BPE, PIECE_BPE, WORD_BPE
-from pageloom.llm.tables import arrow_batches
+from pageloom.llm.tables import arrow_batches, collect_garbage
 
 BYTE, WORD = BYTE_BPE, WORD_BPE
 PROSE = "the quick brown fox jumps over the lazy dog while seven wizards watch from a distant hill in the rain"
@@ -539,3 +542,45 @@ def test_each_pipeline_stage_bounds_batches_and_memory_itself(spark, monkeypatch
     bound = f"{corpus_pipeline.BATCH_BYTES}b"
     assert seen == [("rejected", bound), ("blanked", bound), ("pieces", bound)]
     assert taken == [corpus_pipeline.REMEMBERED_BYTES] and spark.conf.get(key) == before
+
+
+def test_pipeline_stages_begin_with_collected_heaps(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+    before = full()
+    collect_garbage(spark)
+    assert full() > before
+
+    called = []
+    monkeypatch.setattr(corpus_pipeline, "collect_garbage", called.append)
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
+    spark.createDataFrame([(1, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path))
+        assert called == [spark] * (k + 1)
+
+
+def test_chunks_are_encoded_without_threads_and_one_text_at_a_time():
+    """Threads of the tokenizers library would keep memory of their own, and encodings are many times as large as ids."""
+    code = """
+import os, sys
+from pageloom.llm.chunks import ChunkEncoder
+threads = lambda: len(os.listdir("/proc/self/task"))
+encoder, most = ChunkEncoder(sys.argv[1], False, 1 << 20), []
+class Watched:
+    def encode_batch_fast(self, texts, **settings):
+        most.append(max(len(texts), max(map(len, texts)) / 1000))
+        return tokenizer.encode_batch_fast(texts, **settings)
+tokenizer, encoder.tokenizer = encoder.tokenizer, Watched()
+texts = [" ".join(f"w{k * 7919 % 100003}" for k in range(i, i + 3000)) for i in range(0, 60000, 3000)] + ["a  b", "c\\n d "]
+before, found = threads(), [b"".join(packed) for _, packed in encoder.batch(texts)]
+assert threads() == before, (before, threads())
+whole = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+assert [[int.from_bytes(f[k:k + 4], "little") for k in range(0, len(f), 4)] for f in found] == whole
+assert max(most) < 5, max(most)
+"""
+    folder = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    ran = subprocess.run([sys.executable, "-c", code, BYTE_BPE], cwd=folder, capture_output=True, text=True)
+    assert ran.returncode == 0, ran.stderr
