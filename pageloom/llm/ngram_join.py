@@ -13,8 +13,9 @@ Groups of near copies may be of any size, so pairs are not listed within them:
 
 1. in each gram's list, all documents are compared with one pivot; links join
    them to components;
-2. this is repeated in long lists that hold several components, with other
-   pivots, while pivots still find links;
+2. this is repeated in long lists that hold several components, while pivots
+   still find links: documents outside the list's largest component are
+   compared with some of it, the more of it the fewer they are;
 3. what is left are pairs of different components: each of them that shares
    enough prefix grams is compared.
 
@@ -59,9 +60,11 @@ POWER_BITS, LEAST_POWER = 22, 3
 #: Bits of the map of repeated grams: eight for each of them, within these bounds (128 MB at most).
 LEAST_MAP_BITS, MOST_MAP_BITS = 20, 30
 BLOCK_BITS = 12
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 12
 #: Longer lists get further pivots before their pairs are listed.
 LONG_LIST = 256
+#: Comparisons with pivots in a round, for each row of a long list; a list with no more pairs than that needs no pivots.
+PIVOTED = 8
 #: Rows of a block of a list, where all its pairs are listed.
 BLOCK_ROWS = 2_000
 #: Documents of one component that are kept together in a long list.
@@ -501,17 +504,31 @@ class NgramJoin:
         discard(likely, sets)
         return found
 
-    def _pivots(self, lists: DataFrame, salt: int) -> DataFrame:
-        """Rows of lists that hold several components, each with its list's pivot and length."""
-        head = F.struct(F.xxhash64("doc", F.lit(salt)).alias("h"), "component", "doc", "meta")
-        heads = (
-            lists.groupBy("token")
-            .agg(F.min(head).alias("head"), F.min("component").alias("low"), F.max("component").alias("high"),
-                 F.count("*").alias("length"))
-            .where("low <> high")
-            .selectExpr("token", "head.component AS b_component", "head.doc AS b", "head.meta AS b_meta", "length")
-        )
-        return lists.join(heads, "token")
+    def _open_lists(self, long: DataFrame, salt: int) -> DataFrame:
+        """``(token, b_component, share)``: long lists with many pairs of different components, and where their pivots are.
+
+        ``b_component`` is the largest component there, and ``share`` the part of
+        it that others are compared with: a link to any of it will do, so there
+        are the more pivots the fewer others there are.
+        """
+        parts = long.groupBy("token", "component", "length").agg(F.count("*").alias("n"))
+        largest = F.max(F.struct("n", F.xxhash64("component", F.lit(salt)).alias("h"), "component"))
+        tops = parts.groupBy("token", "length").agg(largest.alias("most"), F.sum(F.expr("n * n")).alias("within"))
+        return tops.where(f"length * length - within > 2 * {PIVOTED} * length").selectExpr(
+            "token", "most.component AS b_component", f"{PIVOTED} * length / ((length - most.n) * most.n) AS share"
+        )
+
+    def _pivoted(self, rows: DataFrame, lists: DataFrame, salt: int) -> DataFrame:
+        """Rows outside the largest component of one of these ``lists``, each with all pivots of its list.
+
+        A document's hash tells whether it is a pivot, so that the lists of a
+        group have the same ones.
+        """
+        rows = rows.join(lists, "token")
+        drawn = (F.xxhash64("doc", F.lit(salt)).bitwiseAND((1 << 32) - 1) / (1 << 32)) < F.col("share")
+        pivots = rows.where((F.col("component") == F.col("b_component")) & drawn)
+        pivots = pivots.select("token", F.col("doc").alias("b"), F.col("meta").alias("b_meta"))
+        return rows.where("component <> b_component").join(pivots, "token")
 
     def _stars(self, rows: DataFrame) -> DataFrame:
         """``(a, b)``: documents and those of their pivots that may be linked with them."""
@@ -531,25 +548,32 @@ class NgramJoin:
         new = self._verified(self._stars(lists.where("doc <> b")))
         found, salt = [new], 1
         labels = stored(self._relabelled(labels, new), "labels")
-        rows = self._next_lists(lists, labels, salt)
+        rows = self._next_lists(lists, labels)
+        # Only long lists are worth further pivots; the others' pairs are few.
+        short = stored(rows.where(f"length <= {LONG_LIST}"), "lists")
+        long = stored(rows.where(f"length > {LONG_LIST}"), "long_lists")
+        discard(rows)
         while salt < PIVOT_ROUNDS:
-            # Only long lists are worth further pivots; the others' pairs are few.
-            long = rows.where((F.col("length") > LONG_LIST) & (F.col("component") != F.col("b_component")))
-            if long.isEmpty():
+            wanting = stored(self._open_lists(long, salt), "open_lists")
+            self.scratch.append(wanting)
+            if wanting.isEmpty():
                 break
-            new = self._verified(self._stars(long))
+            new = self._verified(self._stars(self._pivoted(long, wanting, salt)))
             if new.isEmpty():
                 break
             salt += 1
             found.append(new)
             labels = self._next_labels(labels, new)
-            rows = self._next_lists(rows, labels, salt)
+            long = self._next_lists(long, labels)
+        if salt > 1:
+            short = self._next_lists(short, labels)
+        rows = short.unionByName(long)
         if not rows.isEmpty():
             new = self._verified(self._matching(self._crossing(rows)))
             found.append(new)
             if not new.isEmpty():
                 labels = self._next_labels(labels, new)
-        discard(rows, *self.scratch)
+        discard(short, long, *self.scratch)
         links = found[0]
         for more in found[1:]:
             links = links.unionByName(more)
@@ -560,10 +584,15 @@ class NgramJoin:
         discard(labels)
         return made
 
-    def _next_lists(self, lists: DataFrame, labels: DataFrame, salt: int) -> DataFrame:
-        """The lists that still hold several components, with other pivots; ``lists`` are gone after this."""
-        rows = stored(self._pivots(lists.select("token", "doc", "meta").join(labels, "doc"), salt), "lists")
+    def _next_lists(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
+        """The lists that still hold several components, and their lengths; ``lists`` are gone after this."""
+        labelled = stored(lists.select("token", "doc", "meta").join(labels, "doc"), "labelled")
         discard(lists)
+        spans = labelled.groupBy("token").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("length")
+        )
+        rows = stored(labelled.join(spans.where("low <> high").select("token", "length"), "token"), "lists")
+        discard(labelled)
         release(self.spark)
         return rows
 

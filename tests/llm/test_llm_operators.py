@@ -181,6 +181,32 @@ def test_ngram_join_of_many_unlike_copies_of_one_text_compares_few_pairs(spark,
     assert sum(compared) <= 400
 
 
+def test_ngram_join_of_a_group_with_few_links_a_text_compares_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 20)
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(300)]
+    # Texts are linked if they have six changes in all, or fewer: those with five only with those with one.
+    changes = [5, *(1 + k % 5 for k in range(399)), 9, 9]
+    texts = []
+    for k, n in enumerate(changes):
+        words = list(base)
+        for place in rng.choice(np.arange(5, 295, 5), n, replace=False):
+            words[place] = f"own{k}x{place}"
+        texts.append(" ".join(words))
+    compared = []
+    verified = ngram_join.NgramJoin._verified
+
+    def counted(self, pairs):
+        compared.append(pairs.count())
+        return verified(self, pairs)
+
+    monkeypatch.setattr(ngram_join.NgramJoin, "_verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for i, r in rows(ngram_join.near_components(docs)).items():
+        assert (r["n_shingles"], r["component_id"]) == (296, i if changes[i] == 9 else 0)
+    assert sum(compared) <= 20 * len(texts), compared
+
+
 @pytest.mark.parametrize("block", [2_000, 3])
 def test_ngram_links_equal_brute_force(spark, none, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
