@@ -158,24 +158,25 @@ class WordBpe:
         self.words = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE_CLASS}"))
         self.bytes = byte_symbols()
         self.memory = _Memory(self.chunk)
+        self.known = _Memory(self.word)
 
     def normalise(self, chunk: str) -> str:
         """NFC and lower case, each character alone (a final sigma is no special case)."""
         return unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.cut.split(chunk):
-            if piece in self.special:
-                ids.append(self.special[piece])
-                continue
-            for word in self.words.findall(self.normalise(piece)):
-                ids += self.automaton.encode("".join(self.bytes[b] for b in word.encode("utf-8", "replace")))
-        return ids
+    def word(self, word: str) -> tuple[str, str]:
+        """Decimal ids and labels of one normalised word; chunks too long to be remembered are made of few words."""
+        ids = self.automaton.encode("".join(self.bytes[b] for b in word.encode("utf-8", "replace")))
+        return " ".join(map(str, ids)), " ".join(self.automaton.decode(ids))
 
     def chunk(self, chunk: str) -> tuple[str, str]:
-        ids = self.chunk_ids(chunk)
-        return " ".join(map(str, ids)), " ".join(self.automaton.decode(ids))
+        pairs: list[tuple[str, str]] = []
+        for piece in self.cut.split(chunk):
+            if piece in self.special:
+                pairs.append((str(self.special[piece]), piece))
+            else:
+                pairs += map(self.known.__getitem__, self.words.findall(self.normalise(piece)))
+        return " ".join([ids for ids, _ in pairs]), " ".join([labels for _, labels in pairs])
 
     def chunks(self, text: str) -> list[str]:
         if _ODD_SPACE.search(text):

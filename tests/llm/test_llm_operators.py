@@ -53,6 +53,15 @@ def test_bpe_equals_the_library(odd, none):
     assert bpe.encode_digests(none, WORD).count() == 0
 
 
+def test_bpe_takes_each_word_through_the_automaton_once(monkeypatch):
+    coder, taken = bpe.WordBpe(WORD), []
+    encode = coder.automaton.encode
+    monkeypatch.setattr(coder.automaton, "encode", lambda word: taken.append(word) or encode(word))
+    words = [f"{a}{b}" for a in "klmnop" for b in "aeiou"]
+    coder.encode_decode(" ".join(f"{x}.{y}({x})" for x in words for y in words))
+    assert len(taken) == len(set(taken)) > len(words)
+
+
 def test_token_counts_keep_totals(odd, none):
     from tokenizers import Tokenizer
 
