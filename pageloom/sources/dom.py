@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.session import estimated_bytes
-from pageloom.sources import tree
+from pageloom.sources import fold, tree
+from pageloom.sources.fold import body_markdown
 from pageloom.sources.tree import TreeBuilder, flatten, flatten_into
 
 # Ship this code with the task, so that executors need no installed package.
-for _module in (tree, sys.modules[__name__]):
+for _module in (tree, fold, sys.modules[__name__]):
     cloudpickle.register_pickle_by_value(_module)
 
 NODE_SCHEMA = T.StructType(
@@ -53,6 +54,7 @@ _ARROW = {
     "ancestor_tags": pa.list_(pa.string()),
 }
 ROWS_PER_BATCH = 20_000
+CHARACTERS_PER_BATCH = 16_000_000
 SMALL_SPLIT = 16 * 1024 * 1024
 
 
@@ -120,6 +122,26 @@ def _tree_batches(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Itera
         yield packed(pages, flat, offsets)
 
 
+def page_markdown(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, markdown)`` of the whole body of every page with HTML, as it is; trees stay in the tasks."""
+    schema = T.StructType([NODE_SCHEMA["page_id"], NODE_SCHEMA["url"], T.StructField("markdown", T.StringType())])
+    source = spread(pages.select("page_id", "url", "html").where("html IS NOT NULL"))
+    return source.mapInArrow(_markdown_batches, schema)
+
+
+def _markdown_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, urls = batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string())
+        start, made, size = 0, [], 0
+        for at, html in enumerate(batch.column(2).to_numpy(zero_copy_only=False), 1):
+            made.append(body_markdown(TreeBuilder(html).build()))
+            size += len(made[-1])
+            if size >= CHARACTERS_PER_BATCH or at == batch.num_rows:
+                columns = [ids[start:at], urls[start:at], pa.array(made, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "markdown"])
+                start, made, size = at, [], 0
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core work when the input is too small to fill its splits.
 

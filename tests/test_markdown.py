@@ -1,7 +1,17 @@
+import gc
 import random
 import re
+import time
 
+import pyarrow as pa
+
+from pageloom.operators.content import page_nodes, whole_body
+from pageloom.operators.markdown import to_markdown
 from pageloom.plans.convert import html_to_markdown, pages_to_markdown
+from pageloom.sources import dom
+from pageloom.sources.fold import body_markdown
+from pageloom.sources.pages import PAGE_SCHEMA
+from pageloom.sources.tree import TreeBuilder
 
 CASES = [
     ("<h1>Title</h1>", "# Title"),
@@ -125,3 +135,82 @@ def test_levels_take_no_arrays_of_ancestor_rows(make_pages):
     levels = found.selectExpr("array_sort(array_distinct(transform(filter(pool, f -> f.kind = 'box li'), f -> f.level))) AS l")
     assert levels.first().l == list(range(2, 2 * depth + 1, 2))
     assert converted(html_to_markdown(make_pages(["<ul><li>" * 3 + "x" + "</li></ul>" * 3]))) == ["- - - x\n- x\n- - x\n- x"]
+
+
+def plain_page(k):
+    cells = "".join(f"<tr><td>{name}</td><td>{k}</td></tr>" for name in ("key", "status", "priority"))
+    return f"<p>order</p><table><tr><th>field</th><th> value</th></tr>{cells}</table>"
+
+
+def test_whole_bodies_leave_the_parser_as_markdown(make_pages):
+    """No tree of a page is carried to expressions, and time on small pages is a small part of theirs."""
+    pages = make_pages([plain_page(k) for k in range(8000)]).repartition(8).cache()
+    pages.count()
+
+    def expressions(found):
+        return to_markdown(whole_body(page_nodes(found, noise=True)))
+
+    plan = html_to_markdown(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "nodes" not in plan and "lambdafunction" not in plan
+
+    def seconds(convert):
+        begin = time.time()
+        convert(pages).write.format("noop").mode("overwrite").save()
+        return time.time() - begin
+
+    for convert in (expressions, html_to_markdown):
+        seconds(convert)
+    assert seconds(html_to_markdown) < seconds(expressions) / 2
+    pages.unpersist()
+
+
+def random_soup(rng):
+    """Tags in any order, most of them plain, with texts of all kinds between."""
+    tags = "table tr td th tbody p ul ol li a b i h1 h2 div span pre code blockquote img hr caption select".split()
+    texts = ["", "x", " ", "\n", " a\nb ", "&amp;", "&lt", "<", "a < b", "\xa0k　", "|", "|y|", "<!-- <td>z</td> -->"]
+    out = ""
+    for _ in range(rng.randint(0, 40)):
+        tag, kind = rng.choice(tags), rng.random()
+        attrs = rng.choice(["", "", "", " class='language-q'", " href=u&amp;v", " src=s alt='t'", " /"])
+        out += f"</{tag}>" if kind < 0.35 else f"<{tag}{attrs}>" if kind < 0.7 else rng.choice(texts)
+    return out
+
+
+def test_whole_bodies_equal_the_expressions(make_pages):
+    rng = random.Random(23)
+    docs = [random_soup(rng) for _ in range(500)] + [random_html(rng, 4) for _ in range(200)]
+    docs += ["", "<", "<td>x", "<table><tr><td>1<table><tr><th>2<td>3</table><td>4</table>", "<ul><li>" * 8 + "x"]
+    pages = make_pages(docs)
+    want = converted(to_markdown(whole_body(page_nodes(pages, noise=True))))
+    for html, markdown, other in zip(docs, converted(html_to_markdown(pages)), want):
+        assert markdown == other, html
+
+
+def test_whole_bodies_take_missing_values(spark):
+    rows = [(None, "u", "<p>a"), (1, None, "<ol><li>b"), (2, "v", None), (2, "v", "<hr>"), (2, "v", "<hr>")]
+    found = html_to_markdown(spark.createDataFrame(rows, PAGE_SCHEMA)).collect()
+    assert sorted(map(str, map(tuple, found))) == [
+        "(1, None, '1. b')", "(2, 'v', '---')", "(2, 'v', '---')", "(None, 'u', 'a')"
+    ]
+
+
+def test_long_batches_are_given_in_pieces(monkeypatch):
+    monkeypatch.setattr(dom, "CHARACTERS_PER_BATCH", 10)
+    texts = ["<p>" + "x" * n for n in (3, 12, 0, 4, 5, 6, 1)]
+    batch = pa.RecordBatch.from_pydict({"page_id": range(7), "url": [str(n) for n in range(7)], "html": texts})
+    found = list(dom._markdown_batches(iter([batch, batch.slice(0, 0)])))
+    assert [b.num_rows for b in found] == [2, 4, 1]
+    rows = [row for b in found for row in b.to_pylist()]
+    assert rows == [{"page_id": n, "url": str(n), "markdown": texts[n][3:]} for n in range(7)]
+
+
+def test_trees_of_whole_bodies_are_freed_at_once():
+    page = "<title>t</title><!--c--><p>a<b>x<p>y</b><table><tr><td>1<td>2</table><ul><li>q<li>r</ul><a href=q>s</a>"
+    gc.collect()
+    gc.disable()
+    try:
+        for _ in range(200):
+            body_markdown(TreeBuilder(page).build())
+        assert gc.collect() < 200
+    finally:
+        gc.enable()
