@@ -11,6 +11,9 @@ items appear more than once.
 
 All of it is expressions over one row per page: no shuffle, no stored table, and
 each page goes as many levels as it has.
+
+``sources/fold.py`` has the same rules for whole bodies, which are rendered where they
+are parsed; a change here is one there.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
-"""Trees of captured pages: one row per page with its nodes as an array, or one row per node.
+"""Trees of captured pages: one row per page with its nodes as an array or with its Markdown, or one row per node.
 
-This is the only Python in the library.  It runs on Arrow batches inside the
-tasks; one page is one input row, so a batch never needs more than its pages.
+Python runs here on Arrow batches inside the tasks; outside ``llm`` it is the only
+one.  One page is one input row, so a batch never needs more than its pages.
 Columns that the caller does not ask for are not built.
 """
 
